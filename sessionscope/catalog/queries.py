@@ -175,7 +175,7 @@ def parse_counters(spark, sf_dir):
 def retain(spark, sf_dir):
     path = _stored(spark, sf_dir, "retain")
     deleted = history.retain(spark, path, 7, NOW)
-    return history.read_history(spark, path).select("dtcol", "pid", "mem", F.lit(deleted).alias("deleted"))
+    return history.read_history(spark, path).select("dtcol", "pid", "mem", F.lit(deleted).cast("bigint").alias("deleted"))
 
 
 @query

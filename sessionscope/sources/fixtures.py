@@ -132,7 +132,7 @@ FROM {events} GROUP BY 1
 """)
 
 _define("database_sizes", "orders", """
-SELECT CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS dtcol,
+SELECT CAST(date_trunc('week', o_orderdate) AS TIMESTAMP) AS dtcol,
        concat('db', CAST(o_custkey % 5 AS STRING)) AS datname,
        CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS size_bytes,
        CASE WHEN min(o_custkey % 5) = 4 THEN true ELSE false END AS is_template

@@ -49,6 +49,21 @@ def oracle_rows(connection, sql):
     return rows_of(columns, cursor.fetchall())
 
 
+# Spark type -> the DuckDB type of the same values
+TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+    "timestamp": "TIMESTAMP", "boolean": "BOOLEAN",
+}
+
+
+def type_differences(frame, connection, sql):
+    described = connection.execute(f"DESCRIBE {sql}").fetchall()
+    theirs = {row[0]: row[1] for row in described}
+    return {
+        name: (kind, theirs.get(name)) for name, kind in frame.dtypes if TYPES.get(kind, kind) != theirs.get(name)
+    }
+
+
 def session():
     from pyspark.sql import SparkSession
 
@@ -73,13 +88,15 @@ def main() -> int:
     for name in names:
         started = time.time()
         try:
-            mine = spark_rows(entry.queries()[name](spark, sf_dir))
+            frame = entry.queries()[name](spark, sf_dir)
+            mine = spark_rows(frame)
             middle = time.time()
             if name not in oracles:
                 print(f"rows {name} {len(mine[1])}")
                 continue
             theirs = oracle_rows(connection, oracles[name])
-            same = mine == theirs
+            kinds = type_differences(frame, connection, oracles[name])
+            same = mine == theirs and not kinds
             print(
                 f"{'ok  ' if same else 'DIFF'} {name} {len(mine[1])}/{len(theirs[1])}"
                 f" {middle - started:.2f}s oracle {time.time() - middle:.2f}s",
@@ -87,6 +104,8 @@ def main() -> int:
             )
             if not same:
                 bad += 1
+                if kinds:
+                    print("  types", kinds)
                 if mine[0] != theirs[0]:
                     print("  columns", mine[0], theirs[0])
                 here, there = set(mine[1]), set(theirs[1])
