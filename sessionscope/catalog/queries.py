@@ -17,7 +17,7 @@ from sessionscope.operators import counters, enrich, filters, locks, report, ser
 from sessionscope.plans.collect import collect
 from sessionscope.plans.report import build_report, report_lines
 from sessionscope.schema import DERIVED_COLUMNS
-from sessionscope.session import configure, new_folder
+from sessionscope.session import configure, materialize, new_folder
 from sessionscope.sources import flatfile, history
 from sessionscope.sources.fixtures import fixture
 from sessionscope.streaming import aas
@@ -53,6 +53,11 @@ def _enriched(spark, sf_dir):
     return enrich.fingerprint(_samples(spark, sf_dir))
 
 
+def _history(spark, sf_dir):
+    """The enriched samples as a stored table, which is what reports read."""
+    return materialize(_enriched(spark, sf_dir), "history")
+
+
 def _object_locks(spark, sf_dir):
     """Lock snapshots without transaction ids, so that locks share objects and form chains."""
     return fixture(spark, sf_dir, "lock_snapshots").withColumn("transactionid", F.lit(None).cast("bigint"))
@@ -472,7 +477,7 @@ def top_events(spark, sf_dir):
 
 @query
 def top_queries(spark, sf_dir):
-    return report.top_queries(_enriched(spark, sf_dir), n=10)
+    return report.top_queries(_history(spark, sf_dir), n=10)
 
 
 @query
@@ -529,7 +534,7 @@ def distinct_executions(spark, sf_dir):
 
 def _report_sections(spark, sf_dir):
     return build_report(
-        _enriched(spark, sf_dir),
+        _history(spark, sf_dir),
         _cluster(spark, sf_dir),
         _host(spark, sf_dir),
         _io(spark, sf_dir),

@@ -60,29 +60,37 @@ def lock_graph(locks: DataFrame) -> DataFrame:
     return materialize(graph, "lock-graph")
 
 
-def _waits(graph: DataFrame) -> DataFrame:
-    return graph.filter("waiting").select("dtcol", "object", F.col("pid").alias("blocked"))
-
-
 def _roots(graph: DataFrame) -> DataFrame:
     return graph.filter("not blocked").select("dtcol", "object", F.col("pid").alias("blocker"))
 
 
 def _root_edges(graph: DataFrame) -> DataFrame:
     return (
-        _waits(graph)
+        graph.filter("waiting")
+        .select("dtcol", "object", F.col("pid").alias("blocked"))
         .join(_roots(graph), ["dtcol", "object"])
         .select("dtcol", "blocked", "blocker")
         .distinct()
     )
 
 
-def _indirect_waits(graph: DataFrame) -> DataFrame:
-    """Waits of processes not directly under a root: the only ones a chain descends to."""
-    waits = _waits(graph)
-    rooted = _roots(graph).select("dtcol", "object").distinct()
-    under_root = waits.join(rooted, ["dtcol", "object"], "left_semi").select("dtcol", "blocked").distinct()
-    return waits.join(under_root, ["dtcol", "blocked"], "left_anti")
+def descent_waits(graph: DataFrame) -> DataFrame:
+    """(dtcol, object, pid, rooted): the waits a descent from the roots goes through.
+
+    ``rooted`` objects have a root blocker on them, and all their waiters count. On other
+    objects only processes that are nowhere directly under a root count, because a
+    descent does not come back to those that are.
+    """
+    roots = _roots(graph).select("dtcol", "object").distinct().withColumn("rooted", F.lit(True))
+    waits = (
+        graph.filter("waiting")
+        .select("dtcol", "object", "pid")
+        .join(roots, ["dtcol", "object"], "left")
+        .withColumn("rooted", F.coalesce("rooted", F.lit(False)))
+    )
+    under_root = waits.filter("rooted").select("dtcol", "pid").distinct()
+    elsewhere = waits.filter("not rooted").join(under_root, ["dtcol", "pid"], "left_anti")
+    return waits.filter("rooted").unionByName(elsewhere)
 
 
 def wait_edges(locks: DataFrame) -> DataFrame:
@@ -116,10 +124,12 @@ def blocking_chains(locks: DataFrame, depth: int = 2) -> DataFrame:
     """
     graph = lock_graph(locks)
     steps = (
-        _indirect_waits(graph)
+        descent_waits(graph)
+        .filter("not rooted")
+        .select("dtcol", "object", F.col("pid").alias("next"))
         .join(graph.select("dtcol", "object", "pid"), ["dtcol", "object"])
-        .filter("blocked <> pid")
-        .select("dtcol", "pid", F.col("blocked").alias("next"))
+        .filter("next <> pid")
+        .select("dtcol", "pid", "next")
         .distinct()
     )
     level = _root_edges(graph).select(
@@ -151,51 +161,79 @@ def blocking_chains(locks: DataFrame, depth: int = 2) -> DataFrame:
     return chains
 
 
-def top_blockers(locks: DataFrame, depth: int = 2) -> DataFrame:
-    """Distinct (dtcol, blocked, top_blocker) reached within ``depth`` levels below the first.
+def _descend(graph: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """The waits to report, and the distinct (dtcol, object, top_blocker) above them.
 
-    A breadth-first walk over (object, process) memberships: a reached process leads to
-    the objects it is on, an object to the processes waiting for it. Each round keeps
-    distinct new pairs, so neither paths nor edges are listed. The graph and each round
-    are written to the shared folder: the plan stays short at any depth, and a lost
-    executor costs at most one round.
+    A breadth-first walk from object to object: a process waiting for one object leads to
+    the other objects it is on, if somebody waits there. It carries the top blockers of
+    an object, not of each of its waiters, so a lock with very many waiters is one node.
+    Beyond the default depth each round is written to the shared folder with only what
+    is new in it: the plan stays short, and a lost executor costs at most one round.
     """
-    graph = lock_graph(locks)
-    reached = _root_edges(graph).withColumnRenamed("blocker", "top_blocker")
+    reached = _roots(graph).select("dtcol", "object", F.col("blocker").alias("top_blocker"))
+    waits = descent_waits(graph)
     if depth == 0:
-        return reached
-    reached = frontier = materialize(reached, "reached")
-    indirect = materialize(_indirect_waits(graph), "indirect")
-    present = graph.join(indirect.select("dtcol", "object").distinct(), ["dtcol", "object"], "left_semi").select(
-        "dtcol", "object", F.col("pid").alias("blocked")
-    )
-    for level in range(1, depth + 1):
-        objects = frontier.join(present, ["dtcol", "blocked"]).select("dtcol", "object", "top_blocker").distinct()
+        return waits.filter("rooted"), reached
+    waits = materialize(waits, "waits")
+    targets = (
+        graph.select("dtcol", F.col("object").alias("next"), "pid")
+        .join(
+            waits.filter("not rooted").select("dtcol", F.col("object").alias("next")).distinct(),
+            ["dtcol", "next"],
+            "left_semi",
+        )
+    )
+    steps = (
+        waits.join(targets, ["dtcol", "pid"])
+        .filter(~F.col("object").eqNullSafe(F.col("next")))
+        .select("dtcol", "object", "next")
+        .distinct()
+    )
+    steps = materialize(steps, "steps")
+    deep = depth > 2
+    if deep:
+        reached = materialize(reached, "reached")
+    frontier = reached
+    for _ in range(depth):
         frontier = (
-            objects.join(indirect, ["dtcol", "object"])
-            .select("dtcol", "blocked", "top_blocker")
+            frontier.join(steps, ["dtcol", "object"])
+            .select("dtcol", F.col("next").alias("object"), "top_blocker")
             .distinct()
-            .join(reached, ["dtcol", "blocked", "top_blocker"], "left_anti")
         )
-        if level < depth:
-            frontier = materialize(frontier, "frontier")
+        if deep:
+            frontier = materialize(
+                frontier.join(reached, ["dtcol", "object", "top_blocker"], "left_anti"), "frontier"
+            )
             if frontier.isEmpty():
                 break
         reached = reached.unionByName(frontier)
-    return reached
+    return waits, reached
+
+
+def top_blockers(locks: DataFrame, depth: int = 2) -> DataFrame:
+    """Distinct (dtcol, blocked, top_blocker) reached within ``depth`` levels below the first."""
+    waits, reached = _descend(lock_graph(locks), depth)
+    return (
+        waits.join(reached, ["dtcol", "object"])
+        .select("dtcol", F.col("pid").alias("blocked"), "top_blocker")
+        .distinct()
+    )
 
 
 def final_blockers(locks: DataFrame, depth: int = 2, blocked_in: DataFrame | None = None) -> DataFrame:
     """Per (dtcol, blocked): the sorted root blockers above it. No root, no row.
 
-    ``blocked_in`` (dtcol, pid) restricts the blocked processes reported.
+    ``blocked_in`` (dtcol, pid) restricts the blocked processes reported. The blockers
+    are gathered once per object and then handed to its waiters.
     """
-    pairs = top_blockers(locks, depth)
+    waits, reached = _descend(lock_graph(locks), depth)
     if blocked_in is not None:
-        chosen = blocked_in.select("dtcol", F.col("pid").alias("blocked"))
-        pairs = pairs.join(chosen, ["dtcol", "blocked"], "left_semi")
-    return pairs.groupBy("dtcol", "blocked").agg(
-        F.sort_array(F.collect_set("top_blocker")).alias("final_blockers")
+        waits = waits.join(blocked_in.select("dtcol", "pid"), ["dtcol", "pid"], "left_semi")
+    above = reached.groupBy("dtcol", "object").agg(F.collect_set("top_blocker").alias("top_blockers"))
+    return (
+        waits.join(above, ["dtcol", "object"])
+        .groupBy("dtcol", F.col("pid").alias("blocked"))
+        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("top_blockers")))).alias("final_blockers"))
     )
 
 
