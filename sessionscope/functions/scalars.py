@@ -6,6 +6,8 @@ projections using them stay inside whole-stage code generation.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +42,11 @@ ENGLISH_STOP_WORDS = (
 ).split()
 
 
+def instant(value: str | dt.datetime) -> Column:
+    """A literal instant, read in the session's time zone whatever the driver's own zone is."""
+    return F.lit(str(value)).cast("timestamp")
+
+
 def query_hash(text: Column) -> Column:
     """Fingerprint of a text: magnitude of the leading 32 bits of its SHA-256, as BIGINT."""
     word = F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("bigint")
@@ -84,7 +91,7 @@ def hash_hex(value: Column) -> Column:
 
 
 def size_pretty(size: Column) -> Column:
-    """A byte count as text, in the largest unit that keeps at least five digits' meaning.
+    """A byte count as text.
 
     Up to 10239 the count itself; then kB, MB, ... with halves rounded up, moving to
     the next unit once the rounded value would reach 10240.

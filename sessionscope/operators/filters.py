@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionscope.functions.scalars import query_tokens
+from sessionscope.functions.scalars import instant, query_tokens
 from sessionscope.schema import is_host_row, is_session
 
 # The sampler's own sessions and the server's background workers are left out.
@@ -23,17 +21,13 @@ def window_scan(samples: DataFrame, start, end) -> DataFrame:
     On a table partitioned by ``day`` the days are bounded too, so only their folders
     are listed and read; the bounds on ``dtcol`` reach the Parquet scan.
     """
-    start, end = _instant(start), _instant(end)
-    result = samples.filter(F.col("dtcol").between(F.lit(start), F.lit(end)))
+    low, high = instant(start), instant(end)
+    result = samples.filter(F.col("dtcol").between(low, high))
     if "day" in samples.columns:
-        result = result.filter(F.col("day").between(F.lit(start.date()), F.lit(end.date())))
+        result = result.filter(F.col("day").between(F.to_date(low), F.to_date(high)))
     return result
 
 
-def _instant(value) -> dt.datetime:
-    return dt.datetime.fromisoformat(value) if isinstance(value, str) else value
-
-
 def active_sessions(samples: DataFrame, own_pid: int | None = None) -> DataFrame:
     """Sessions running a query, except the sampler's own."""
     result = samples.filter("state = 'active' and pid is not null")

@@ -168,11 +168,8 @@ def top_queries(samples: DataFrame, n: int = 5, predicate: str | Column = DEFAUL
     ).orderBy(*order)
 
 
-# The default columns of the interactive ranking.
-SESSION_COLUMNS = ["db", "pid", "pg_user", "client_ip", "application", "query", "wait_event_type", "blockers"]
-
-
 def session_columns() -> list[Column]:
+    """The default columns of the interactive ranking."""
     return [
         F.col("datname").alias("db"),
         F.col("pid"),
@@ -192,29 +189,25 @@ def _keyed(samples: DataFrame, columns) -> tuple[DataFrame, list[str]]:
     """Session rows with the key columns (SQL text or Columns) next to the measured ones."""
     rows = samples.filter(is_process())
     if isinstance(columns, str):
-        chosen = rows.sparkSession.sql(f"SELECT {columns} FROM {{rows}}", rows=rows) if columns else None
-        names = chosen.columns if chosen is not None else []
-        prefix = ", ".join([*[f"{name} AS m_{name}" for name in MEASURED], *([columns] if columns else [])])
-        rows = rows.sparkSession.sql(f"SELECT {prefix} FROM {{rows}}", rows=rows)
+        text = columns.strip() or "'' AS everything"
+        measured = ", ".join(f"{name} AS measured_{name}" for name in MEASURED)
+        rows = rows.sparkSession.sql(f"SELECT {measured}, {text} FROM {{rows}}", rows=rows)
     else:
-        columns = list(columns)
-        names = rows.select(*columns).columns
-        rows = rows.select(*[F.col(name).alias(f"m_{name}") for name in MEASURED], *columns)
-    renamed = [f"k{position}" for position in range(len(names))]
-    return rows.toDF(*MEASURED, *renamed), names
+        rows = rows.select(*[F.col(name).alias(f"measured_{name}") for name in MEASURED], *columns)
+    names = rows.columns[len(MEASURED):]
+    return rows.toDF(*MEASURED, *[f"key{position}" for position in range(len(names))]), names
 
 
 def busy_by(samples: DataFrame, columns, iterations: int) -> DataFrame:
     """Busy percentage and measures of session rows grouped by the user's columns.
 
     ``columns`` is SQL text such as ``"datname AS db, substring(query, 1, 10) AS q"`` or
-    a list of Columns; empty text ranks everything together. ``iterations`` is the
-    number of samples taken, so 100 means one session busy all the time.
+    a list of Columns. ``iterations`` is the number of samples taken, so 100 means one
+    session busy all the time.
     """
     rows, names = _keyed(samples, columns)
-    keys = [f"k{position}" for position in range(len(names))]
-    measures = session_measures(rows, keys)
-    return measures.select(
+    keys = [f"key{position}" for position in range(len(names))]
+    return session_measures(rows, keys).select(
         round_half_even(F.col("detections").cast("double") / F.lit(float(iterations)) * 100).alias("busy_pc"),
         F.concat_ws(" / ", "distinct_executions", "executions").alias("distinct_exe"),
         *[F.col(key).alias(name) for key, name in zip(keys, names)],
@@ -230,8 +223,8 @@ def busy_sessions(samples: DataFrame, iterations: int) -> DataFrame:
 
 
 def busy_total(samples: DataFrame, iterations: int) -> DataFrame:
-    """One row: how busy the whole server was."""
-    return busy_by(samples, "", iterations)
+    """One row: how busy the whole server was. No samples, no row."""
+    return busy_by(samples, "", iterations).drop("everything")
 
 
 def busy_multi(samples: DataFrame, choices: list, iterations: int) -> list[DataFrame]:

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sessionscope.functions.scalars import instant
+
 PLACEMENT = ("day", "batch")
 
 
@@ -77,8 +79,12 @@ def partition_days(spark: SparkSession, path: str) -> list[dt.date]:
 
 def _drop_days(spark: SparkSession, path: str, days: list[dt.date]) -> None:
     for day in days:
-        folder = _folder(spark, f"{path}/day={day.isoformat()}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _delete(spark, f"{path}/day={day.isoformat()}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = _folder(spark, path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def retain(spark: SparkSession, path: str, days: int, now: dt.datetime) -> int:
@@ -93,23 +99,37 @@ def retain(spark: SparkSession, path: str, days: int, now: dt.datetime) -> int:
         _drop_days(spark, path, present)
         return deleted
     cutoff = now - dt.timedelta(days=days)
-    old = table.filter((F.col("day") <= F.lit(cutoff.date())) & (F.col("dtcol") < F.lit(cutoff)))
+    old = table.filter((F.col("day") <= F.lit(cutoff.date())) & (F.col("dtcol") < instant(cutoff)))
     deleted = old.count()
     _drop_days(spark, path, [day for day in present if day < cutoff.date()])
-    if cutoff.date() not in present:
-        return deleted
-    boundary = table.filter((F.col("day") == F.lit(cutoff.date())) & (F.col("dtcol") >= F.lit(cutoff)))
-    if boundary.isEmpty():
-        _drop_days(spark, path, [cutoff.date()])
-    elif old.filter(F.col("day") == F.lit(cutoff.date())).count() if deleted else 0:
-        placement = [name for name in PLACEMENT if name in boundary.columns]
+    if deleted and cutoff.date() in present:
+        _trim_day(spark, path, table.filter(F.col("day") == F.lit(cutoff.date())), cutoff)
+    return deleted
+
+
+def _trim_day(spark: SparkSession, path: str, rows: DataFrame, cutoff: dt.datetime) -> None:
+    """Drop the folders of one day that lie before the limit, and rewrite those it cuts.
+
+    The driver sees one row per folder of that day.
+    """
+    placement = [name for name in PLACEMENT if name in rows.columns]
+    folders = rows.groupBy(*placement).agg(
+        (F.max("dtcol") < instant(cutoff)).alias("gone"), (F.min("dtcol") < instant(cutoff)).alias("touched")
+    )
+    touched = folders.filter("touched").collect()
+    kept = rows.filter(F.col("dtcol") >= instant(cutoff))
+    if "batch" in placement:
+        kept = kept.filter(F.col("batch").isin([row["batch"] for row in touched]))
+    if any(not row["gone"] for row in touched):
         (
-            boundary.write.mode("overwrite")
+            kept.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*placement)
             .parquet(path)
         )
-    return deleted
+    for row in touched:
+        if row["gone"]:
+            _delete(spark, "/".join([path, *[f"{name}={row[name]}" for name in placement]]))
 
 
 def retain_all(spark: SparkSession, paths: dict[str, str], days: int, now: dt.datetime) -> dict[str, int]:

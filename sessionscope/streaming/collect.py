@@ -20,13 +20,14 @@ def enrich_batch(batch: DataFrame, table: str, number: int, interval_seconds: in
     sessions = with_application_info(fingerprint(not_idle(active_sessions(batch))))
     probes = sessions.select("dtcol", "pid", "mem", "swapped")
     if table_exists(spark, table):
-        first = probes.agg(F.min("dtcol").alias("first")).first()["first"]
+        first = probes.agg(F.unix_micros(F.min("dtcol")).alias("at")).first()["at"]
         if first is not None:
-            earliest = F.lit(first) - F.make_dt_interval(secs=F.lit(memory_horizon(interval_seconds)))
+            latest = F.timestamp_micros(F.lit(first))
+            earliest = F.timestamp_micros(F.lit(first - memory_horizon(interval_seconds) * 1_000_000))
             stored = (
                 read_history(spark, table)
-                .filter(F.col("day") >= F.to_date(earliest))
-                .filter((F.col("dtcol") > earliest) & (F.col("dtcol") < F.lit(first)))
+                .filter(F.col("day").between(F.to_date(earliest), F.to_date(latest)))
+                .filter((F.col("dtcol") > earliest) & (F.col("dtcol") < latest))
                 .filter((F.col("batch") != number) & F.col("pid").isNotNull())
                 .select("dtcol", "pid", "mem", "swapped")
             )
