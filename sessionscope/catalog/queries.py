@@ -548,6 +548,9 @@ def full_report(spark, sf_dir):
     return report_lines(_report_sections(spark, sf_dir))
 
 
+QUERIES["report"] = QUERIES.pop("full_report")
+
+
 # ---- the sampling series
 
 

@@ -76,19 +76,16 @@ def _at_window_ends(io_stats: DataFrame) -> DataFrame:
     second scan to the files that hold them.
     """
     bounds = io_stats.agg(F.min("dtcol").alias("first"), F.max("dtcol").alias("last"))
-    first, last = bounds.select("first").scalar(), bounds.select("last").scalar()
+    at_first = F.col("dtcol") == bounds.select("first").scalar()
+    at_last = F.col("dtcol") == bounds.select("last").scalar()
+    counted = [column for _, *pair in IO_OPERATIONS for column in pair] + ["evictions"]
     sums = []
-    for end, instant in (("first", first), ("last", last)):
-        at_end = F.col("dtcol") == instant
-        sums += [
-            F.count(F.when(at_end, F.lit(1))).alias(f"{end}_rows"),
-            *[
-                F.sum(F.when(at_end, F.col(name))).alias(f"{end}_{name}")
-                for name in [column for _, *pair in IO_OPERATIONS for column in pair] + ["evictions"]
-            ],
-        ]
+    for end in ("first", "last"):
+        sums.append(F.count_if(f"at_{end}").alias(f"{end}_rows"))
+        sums += [F.sum(F.when(F.col(f"at_{end}"), F.col(name))).alias(f"{end}_{name}") for name in counted]
     return (
-        io_stats.filter((F.col("dtcol") == first) | (F.col("dtcol") == last))
+        io_stats.filter(at_first | at_last)
+        .withColumns({"at_first": at_first, "at_last": at_last})
         .groupBy("context", "stats_reset")
         .agg(*sums)
         .filter("first_rows > 0 and last_rows > 0")

@@ -14,7 +14,9 @@ from sessionscope.functions.scalars import (
     round_half_even,
 )
 
-DAY_SECONDS = 86400
+# A time bucket is this many seconds, or this many horizons if that is more.
+BUCKET_SECONDS = 3600
+BUCKET_HORIZONS = 24
 
 
 def fingerprint(samples: DataFrame, normalize: bool = True) -> DataFrame:
@@ -57,7 +59,7 @@ def _with_overlap(probes: DataFrame, horizon: int) -> DataFrame:
     A window per (pid, bucket) then sees the whole horizon before each of its own rows,
     so one long-lived pid is spread over many tasks. Copies have ``own`` = false.
     """
-    width = max(DAY_SECONDS, horizon)
+    width = max(BUCKET_SECONDS, BUCKET_HORIZONS * horizon)
     second = F.unix_seconds("dtcol")
     bucket = F.floor(second / width)
     return (

@@ -11,12 +11,17 @@ from sessionscope.functions.scalars import size_pretty
 
 
 def number_instants(samples: DataFrame) -> DataFrame:
-    """(dtcol, i, last): the 1-based position of every sample instant, and the last position.
+    """(dtcol, i, last): the 1-based position of every sample instant, and the last position."""
+    return _number(samples.select("dtcol").distinct())
 
-    Instants are numbered inside each hour, in parallel; only the counts per hour, one
-    row per hour of history, are added up in order.
+
+def _number(instants: DataFrame) -> DataFrame:
+    """Add ``i`` and ``last`` to rows with distinct ``dtcol``.
+
+    Rows are numbered inside each hour, in parallel; only the counts per hour, one row
+    per hour of history, are added up in order.
     """
-    instants = samples.select("dtcol").distinct().withColumn("hour", F.date_trunc("hour", "dtcol"))
+    instants = instants.withColumn("hour", F.date_trunc("hour", "dtcol"))
     hours = instants.groupBy("hour").agg(F.count("*").alias("instants"))
     before = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -27,9 +32,10 @@ def number_instants(samples: DataFrame) -> DataFrame:
     )
     inside = F.row_number().over(Window.partitionBy("hour").orderBy("dtcol"))
     return (
-        instants.withColumn("inside", inside)
+        instants.withColumn("i", inside)
         .join(offsets, "hour")
-        .select("dtcol", (F.col("before") + F.col("inside")).alias("i"), "last")
+        .withColumn("i", F.col("before") + F.col("i"))
+        .drop("hour", "before")
     )
 
 
@@ -46,28 +52,28 @@ def thin_snapshots(samples: DataFrame, every: int | None) -> DataFrame:
 
 
 def planned_instants(spark: SparkSession, start: dt.datetime, count: int, interval_seconds: int) -> DataFrame:
-    """(dtcol): the planned series, generated in parallel."""
+    """(dtcol, i): the planned series with positions from 1, generated in parallel."""
     first = int(start.replace(tzinfo=dt.timezone.utc).timestamp())
-    return spark.range(count).select(F.timestamp_seconds(F.lit(first) + F.col("id") * interval_seconds).alias("dtcol"))
+    at = F.timestamp_seconds(F.lit(first) + F.col("id") * interval_seconds)
+    return spark.range(count).select(at.alias("dtcol"), (F.col("id") + 1).alias("i"))
 
 
 def stop_instant(samples: DataFrame, planned: DataFrame, streak: int) -> DataFrame:
     """One row, ``end_at``: where the first run of ``streak`` empty samples ends; null if never.
 
     An empty sample has no session row. Positions of empty samples minus their order
-    number are constant within a run, so runs are plain groups.
+    number are constant within a run, so runs are plain groups. ``planned`` is
+    (dtcol, i) as :func:`planned_instants` makes it.
     """
     present = samples.filter("pid is not null").select("dtcol").distinct()
-    positions = number_instants(planned).select("dtcol", "i")
-    empty = positions.join(present, "dtcol", "left_anti")
-    order = number_instants(empty).select("dtcol", F.col("i").alias("n"))
+    empty = planned.withColumnRenamed("i", "position").join(present, "dtcol", "left_anti")
     runs = (
-        empty.join(order, "dtcol")
-        .groupBy((F.col("i") - F.col("n")).alias("run"))
-        .agg(F.min("i").alias("first"), F.count("*").alias("length"))
+        _number(empty)
+        .groupBy((F.col("position") - F.col("i")).alias("run"))
+        .agg(F.min("position").alias("first"), F.count("*").alias("length"))
     )
-    stop = runs.filter(F.col("length") >= streak).agg((F.min("first") + streak - 1).alias("i"))
-    return positions.join(stop, "i").agg(F.max("dtcol").alias("end_at"))
+    stop = runs.filter(F.col("length") >= streak).agg((F.min("first") + streak - 1).alias("position"))
+    return planned.filter(F.col("i") == stop.scalar()).agg(F.max("dtcol").alias("end_at"))
 
 
 def stop_after_empty(samples: DataFrame, planned: DataFrame, streak: int) -> DataFrame:
