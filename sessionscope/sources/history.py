@@ -43,13 +43,13 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.add("day", T.DateType())).parquet(path)
 
 
-def append_samples(samples: DataFrame, path: str, batch: int | None = None) -> None:
+def append_samples(samples: DataFrame, path: str, batch: int | None = None, lookup: tuple[str, ...] = ()) -> None:
     """Append samples to a table.
 
     Rows are gathered by day and rebalanced: a large day is split over many tasks and
     files, small days share one. With ``batch`` the rows get a folder of their own per
     (day, batch), and repeating a batch replaces it, so a restarted stream adds nothing
-    twice.
+    twice. ``lookup`` columns get a Parquet bloom filter, for searches by equality.
     """
     rows = samples.withColumn("day", F.to_date("dtcol"))
     placement = ["day"]
@@ -58,12 +58,10 @@ def append_samples(samples: DataFrame, path: str, batch: int | None = None) -> N
         rows = rows.withColumn("batch", F.lit(batch).cast("bigint"))
         placement, writer_mode = list(PLACEMENT), "overwrite"
     rows = rows.hint("rebalance", F.col("day")).sortWithinPartitions(*placement, "dtcol")
-    (
-        rows.write.mode(writer_mode)
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*placement)
-        .parquet(path)
-    )
+    writer = rows.write.mode(writer_mode).option("partitionOverwriteMode", "dynamic")
+    for name in lookup:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
+    writer.partitionBy(*placement).parquet(path)
 
 
 def _folder(spark: SparkSession, path: str):

@@ -42,6 +42,16 @@ def test_append_and_repeat(spark, tmp_path):
     assert H.partition_days(spark, path) == [dt.date(2024, 1, 1), dt.date(2024, 1, 2)]
 
 
+def test_lookup_columns_get_bloom_filters(spark, tmp_path):
+    sizes = []
+    for lookup in ((), ("pid",)):
+        path = tmp_path / f"table{len(lookup)}"
+        H.append_samples(hours(spark, range(24)), str(path), lookup=lookup)
+        assert pids(spark, str(path)) == list(range(24))
+        sizes.append(sum(file.stat().st_size for file in path.rglob("*.parquet")))
+    assert sizes[1] > sizes[0] + 1000
+
+
 @pytest.mark.parametrize("days", [1, 2, 3, 9])
 def test_retain(spark, table, days):
     now = START + dt.timedelta(days=3) - dt.timedelta(minutes=30)
