@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sessionscope.functions import scalars
 from sessionscope.operators import counters, enrich, filters, locks, report, series
-from sessionscope.plans.collect import collect
+from sessionscope.plans.collect import collect, with_blockers
 from sessionscope.plans.report import build_report, report_lines
 from sessionscope.schema import DERIVED_COLUMNS
 from sessionscope.session import configure, materialize, new_folder
@@ -495,10 +495,8 @@ def peak_sum(spark, sf_dir):
 
 @query
 def busy_sessions(spark, sf_dir):
-    blockers = locks.final_blockers(_session_locks(spark, sf_dir)).select(
-        "dtcol", F.col("blocked").alias("pid"), F.col("final_blockers").alias("blockers")
-    )
-    samples = _enriched(spark, sf_dir).join(blockers, ["dtcol", "pid"], "left")
+    blockers = locks.final_blockers(_session_locks(spark, sf_dir))
+    samples = with_blockers(_enriched(spark, sf_dir), blockers)
     return report.busy_sessions(samples, PLANNED).withColumn("blockers", F.array_join("blockers", ","))
 
 
@@ -613,8 +611,10 @@ def _drops(spark, sf_dir, label):
 def stream_collect(spark, sf_dir):
     table, checkpoint = new_folder(spark, "history"), new_folder(spark, "offsets")
     for stream in _drops(spark, sf_dir, "raw"):
-        collect_stream(stream, table, checkpoint, INTERVAL)
-    return history.read_history(spark, table).select(*ENRICHED_COLUMNS)
+        collect_stream(stream, table, checkpoint, INTERVAL, locks=_session_locks(spark, sf_dir))
+    return history.read_history(spark, table).select(
+        *ENRICHED_COLUMNS, F.array_join("blockers", ",").alias("blockers")
+    )
 
 
 @query

@@ -47,6 +47,11 @@ def instant(value: str | dt.datetime) -> Column:
     return F.lit(str(value)).cast("timestamp")
 
 
+def instant_from_micros(value: int) -> Column:
+    """A literal instant from microseconds since the epoch."""
+    return F.timestamp_micros(F.lit(value))
+
+
 def query_hash(text: Column) -> Column:
     """Fingerprint of a text: magnitude of the leading 32 bits of its SHA-256, as BIGINT."""
     word = F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("bigint")

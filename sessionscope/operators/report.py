@@ -14,6 +14,7 @@ from sessionscope.functions.scalars import (
 )
 from sessionscope.operators.filters import DEFAULT_REPORT_FILTER, report_filter
 from sessionscope.schema import is_heartbeat, is_host_row, is_process, is_session
+from sessionscope.session import materialize
 
 # A top-n result this short is sent to every task; a longer one is joined by shuffle.
 BROADCAST_ROWS = 10_000
@@ -66,19 +67,23 @@ def top_events(samples: DataFrame, n: int = 5, predicate: str | Column = DEFAULT
     )
 
 
-def session_measures(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts, distinct executions, mean CPU and peak memory per group of ``keys``.
+def session_measures(samples: DataFrame, *key_sets: list[str]) -> DataFrame:
+    """Counts, distinct executions, mean CPU and peak memory per group of each set of keys.
 
     The peak of a group is the largest sum over the rows of one instant. One scan feeds
-    both the per-instant sums and the distinct executions, as two grouping sets: rows
-    are first added up per (keys, instant) and per (keys, execution), which spreads even
-    a group with a third of all rows over many tasks, then per keys.
+    the per-instant sums and the distinct executions of every key set, as grouping sets:
+    rows are first added up per (keys, instant) and per (keys, execution), which spreads
+    even a group with a third of all rows over many tasks, then per keys. ``choice`` is
+    the position of the key set; key columns of different sets must have different names.
     """
-    instants, executions = [*keys, "dtcol"], [*keys, "query_start"]
+    every_key = [name for keys in key_sets for name in keys]
+    sets = [[*keys, part] for keys in key_sets for part in ("dtcol", "query_start")]
+    choice = F.coalesce(*[F.when(F.grouping(keys[0]) == 0, F.lit(number)) for number, keys in enumerate(key_sets)])
     parts = samples.groupingSets(
-        [[F.col(name) for name in instants], [F.col(name) for name in executions]],
-        *[F.col(name) for name in [*keys, "dtcol", "query_start"]],
+        [[F.col(name) for name in names] for names in sets],
+        *[F.col(name) for name in [*every_key, "dtcol", "query_start"]],
     ).agg(
+        choice.alias("choice"),
         F.grouping("dtcol").alias("by_execution"),
         F.count("*").alias("rows"),
         F.count_if(F.col("leader_pid").isNull()).alias("leaderless"),
@@ -90,7 +95,7 @@ def session_measures(samples: DataFrame, keys: list[str]) -> DataFrame:
     by_instant = F.col("by_execution") == 0
     by_execution = F.col("by_execution") == 1
     return (
-        parts.groupBy(*keys)
+        parts.groupBy("choice", *every_key)
         .agg(
             F.sum(F.when(by_instant, F.col("rows"))).alias("detections"),
             F.sum(F.when(by_instant, F.col("leaderless"))).alias("detections_without_leader"),
@@ -185,17 +190,33 @@ def session_columns() -> list[Column]:
 MEASURED = ("dtcol", "leader_pid", "query_start", "pourcentage_cpu", "mem", "swapped")
 
 
-def _keyed(samples: DataFrame, columns) -> tuple[DataFrame, list[str]]:
-    """Session rows with the key columns (SQL text or Columns) next to the measured ones."""
-    rows = samples.filter(is_process())
-    if isinstance(columns, str):
-        text = columns.strip() or "'' AS everything"
-        measured = ", ".join(f"{name} AS measured_{name}" for name in MEASURED)
-        rows = rows.sparkSession.sql(f"SELECT {measured}, {text} FROM {{rows}}", rows=rows)
-    else:
-        rows = rows.select(*[F.col(name).alias(f"measured_{name}") for name in MEASURED], *columns)
-    names = rows.columns[len(MEASURED):]
-    return rows.toDF(*MEASURED, *[f"key{position}" for position in range(len(names))]), names
+def _keyed(samples: DataFrame, choices: list) -> tuple[DataFrame, list[list[str]]]:
+    """Session rows with the key columns of every choice, and the names of those.
+
+    A choice is SQL text or a list of Columns. Choice 1's second key becomes ``key1_1``.
+    """
+    rows, names = samples.filter(is_process()), []
+    for number, columns in enumerate(choices):
+        if isinstance(columns, str):
+            text = columns.strip() or "'' AS everything"
+            wider = rows.sparkSession.sql(f"SELECT *, {text} FROM {{rows}}", rows=rows)
+        else:
+            wider = rows.select("*", *columns)
+        names.append(wider.columns[len(rows.columns):])
+        rows = wider.toDF(*rows.columns, *_keys(number, names[-1]))
+    keys = [key for number, shown in enumerate(names) for key in _keys(number, shown)]
+    return rows.select(*MEASURED, *keys), names
+
+
+def _ranking(measures: DataFrame, number: int, names: list[str], iterations: int) -> DataFrame:
+    return measures.select(
+        round_half_even(F.col("detections").cast("double") / F.lit(float(iterations)) * 100).alias("busy_pc"),
+        F.concat_ws(" / ", "distinct_executions", "executions").alias("distinct_exe"),
+        *[F.col(f"key{number}_{place}").alias(name) for place, name in enumerate(names)],
+        non_cpu_pct(F.try_divide("cpu", "cpu_rows")).alias("non_cpu_pc"),
+        size_pretty(F.col("peak_mem")).alias("mem"),
+        size_pretty(F.col("peak_swapped")).alias("swap"),
+    ).orderBy(F.desc("busy_pc"))
 
 
 def busy_by(samples: DataFrame, columns, iterations: int) -> DataFrame:
@@ -205,16 +226,12 @@ def busy_by(samples: DataFrame, columns, iterations: int) -> DataFrame:
     a list of Columns. ``iterations`` is the number of samples taken, so 100 means one
     session busy all the time.
     """
-    rows, names = _keyed(samples, columns)
-    keys = [f"key{position}" for position in range(len(names))]
-    return session_measures(rows, keys).select(
-        round_half_even(F.col("detections").cast("double") / F.lit(float(iterations)) * 100).alias("busy_pc"),
-        F.concat_ws(" / ", "distinct_executions", "executions").alias("distinct_exe"),
-        *[F.col(key).alias(name) for key, name in zip(keys, names)],
-        non_cpu_pct(F.try_divide("cpu", "cpu_rows")).alias("non_cpu_pc"),
-        size_pretty(F.col("peak_mem")).alias("mem"),
-        size_pretty(F.col("peak_swapped")).alias("swap"),
-    ).orderBy(F.desc("busy_pc"))
+    rows, (names,) = _keyed(samples, [columns])
+    return _ranking(session_measures(rows, _keys(0, names)), 0, names, iterations)
+
+
+def _keys(number: int, names: list[str]) -> list[str]:
+    return [f"key{number}_{place}" for place in range(len(names))]
 
 
 def busy_sessions(samples: DataFrame, iterations: int) -> DataFrame:
@@ -228,5 +245,15 @@ def busy_total(samples: DataFrame, iterations: int) -> DataFrame:
 
 
 def busy_multi(samples: DataFrame, choices: list, iterations: int) -> list[DataFrame]:
-    """One ranking per choice of columns. Persist ``samples`` first if they are costly to derive."""
-    return [busy_by(samples, columns, iterations) for columns in choices]
+    """One ranking per choice of columns, from a single pass over the samples.
+
+    The measures of all choices are written to the shared folder once; the rankings read
+    their part of them.
+    """
+    rows, names = _keyed(samples, choices)
+    measures = session_measures(rows, *[_keys(number, shown) for number, shown in enumerate(names)])
+    measures = materialize(measures, "rankings")
+    return [
+        _ranking(measures.filter(F.col("choice") == number), number, shown, iterations)
+        for number, shown in enumerate(names)
+    ]

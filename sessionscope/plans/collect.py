@@ -17,6 +17,12 @@ from sessionscope.operators.locks import final_blockers
 PROBE_COLUMNS = ("pourcentage_cpu", "mem", "swapped")
 
 
+def with_blockers(sessions: DataFrame, blockers: DataFrame) -> DataFrame:
+    """Add ``blockers`` from (dtcol, blocked, final_blockers)."""
+    blocked = blockers.select("dtcol", F.col("blocked").alias("pid"), F.col("final_blockers").alias("blockers"))
+    return sessions.drop("blockers").join(blocked, ["dtcol", "pid"], "left")
+
+
 def enrich_samples(
     sessions: DataFrame,
     heartbeats: DataFrame,
@@ -32,11 +38,9 @@ def enrich_samples(
     whole-host CPU and nothing else.
     """
     keys = ["dtcol", "pid"]
-    sessions = sessions.drop(*PROBE_COLUMNS, "blockers")
-    blocked = blockers.select("dtcol", F.col("blocked").alias("pid"), F.col("final_blockers").alias("blockers"))
     cpu = cpu_probes.select("dtcol", "pid", F.col("cpu").alias("pourcentage_cpu"))
     rows = (
-        sessions.join(blocked, keys, "left")
+        with_blockers(sessions.drop(*PROBE_COLUMNS), blockers)
         .join(cpu, keys, "left")
         .join(memory.select("dtcol", "pid", "mem", "swapped"), keys, "left")
     )

@@ -39,9 +39,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def working_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder name below the shared folder (nothing is created yet)."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh folder name below the working folder (nothing is created yet)."""
+    return f"{working_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_working_folder(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once no DataFrame reads them any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(working_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df, label: str):

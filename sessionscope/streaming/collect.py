@@ -5,51 +5,80 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessionscope.functions.scalars import instant_from_micros
 from sessionscope.operators.enrich import carry_memory, fingerprint, memory_horizon, with_application_info
 from sessionscope.operators.filters import active_sessions, not_idle
+from sessionscope.operators.locks import final_blockers
+from sessionscope.plans.collect import with_blockers
 from sessionscope.sources.history import append_samples, read_history, table_exists
 
 
-def enrich_batch(batch: DataFrame, table: str, number: int, interval_seconds: int) -> DataFrame:
+def enrich_batch(
+    batch: DataFrame,
+    table: str,
+    number: int,
+    interval_seconds: int,
+    locks: DataFrame | None = None,
+    depth: int = 2,
+) -> DataFrame:
     """Enrich one micro-batch, continuing the memory runs of the stored history.
 
-    Only the stored rows inside the horizon before the batch are read. Rows an earlier
-    attempt at this batch may have left are not looked at.
+    Only the locks of the batch's time span are read, and of the history only the rows
+    inside the horizon before it. Rows an earlier attempt at this batch may have left
+    are not looked at.
     """
     spark = batch.sparkSession
     sessions = with_application_info(fingerprint(not_idle(active_sessions(batch))))
     probes = sessions.select("dtcol", "pid", "mem", "swapped")
-    if table_exists(spark, table):
-        first = probes.agg(F.unix_micros(F.min("dtcol")).alias("at")).first()["at"]
-        if first is not None:
-            latest = F.timestamp_micros(F.lit(first))
-            earliest = F.timestamp_micros(F.lit(first - memory_horizon(interval_seconds) * 1_000_000))
-            stored = (
-                read_history(spark, table)
-                .filter(F.col("day").between(F.to_date(earliest), F.to_date(latest)))
-                .filter((F.col("dtcol") > earliest) & (F.col("dtcol") < latest))
-                .filter((F.col("batch") != number) & F.col("pid").isNotNull())
-                .select("dtcol", "pid", "mem", "swapped")
-            )
-            probes = probes.unionByName(stored)
+    span = batch.agg(F.unix_micros(F.min("dtcol")).alias("low"), F.unix_micros(F.max("dtcol")).alias("high")).first()
+    if span["low"] is not None and table_exists(spark, table):
+        latest = instant_from_micros(span["low"])
+        earliest = instant_from_micros(span["low"] - memory_horizon(interval_seconds) * 1_000_000)
+        stored = (
+            read_history(spark, table)
+            .filter(F.col("day").between(F.to_date(earliest), F.to_date(latest)))
+            .filter((F.col("dtcol") > earliest) & (F.col("dtcol") < latest))
+            .filter((F.col("batch") != number) & F.col("pid").isNotNull())
+            .select("dtcol", "pid", "mem", "swapped")
+        )
+        probes = probes.unionByName(stored)
     memory = carry_memory(probes, interval_seconds)
     rows = sessions.drop("mem", "swapped").join(memory, ["dtcol", "pid"], "left")
+    if locks is not None and span["low"] is not None:
+        held = locks.filter(
+            F.col("dtcol").between(instant_from_micros(span["low"]), instant_from_micros(span["high"]))
+        )
+        rows = with_blockers(rows, final_blockers(held, depth, blocked_in=not_idle(batch)))
+    else:
+        rows = rows.withColumn("blockers", F.lit(None).cast("array<bigint>"))
     host = batch.filter("pid is null and datid is null")
     return rows.unionByName(host, allowMissingColumns=True)
 
 
-def stream_collect(samples: DataFrame, table: str, checkpoint: str, interval_seconds: int) -> None:
+def stream_collect(
+    samples: DataFrame,
+    table: str,
+    checkpoint: str,
+    interval_seconds: int,
+    locks: DataFrame | None = None,
+    depth: int = 2,
+) -> None:
     """Take what the stream holds now into the history table.
 
-    A batch is written to (day, batch) folders of its own: after a failure the stream
-    repeats the batch, which replaces them.
+    ``locks`` is the table of lock snapshots, if blockers are wanted. A batch is written
+    to (day, batch) folders of its own: after a failure the stream repeats the batch,
+    which replaces them.
     """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()  # read once for its span, its sessions and its heartbeats
+        try:
+            append_samples(enrich_batch(batch, table, number, interval_seconds, locks, depth), table, batch=number)
+        finally:
+            batch.unpersist()
+
     (
-        samples.writeStream.foreachBatch(
-            lambda batch, number: append_samples(
-                enrich_batch(batch, table, number, interval_seconds), table, batch=number
-            )
-        )
+        samples.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -111,6 +111,14 @@ def test_busy_by_may_name_a_measured_column(samples):
     assert found.count() == 3
 
 
+def test_busy_multi_equals_one_by_one(samples):
+    choices = ["datname AS db, query", [F.col("wait_event_type")], "", "query"]
+    for columns, ranking in zip(choices, report.busy_multi(samples, choices, 3)):
+        alone = report.busy_by(samples, columns, 3)
+        assert ranking.columns == alone.columns
+        assert sorted(map(str, ranking.collect())) == sorted(map(str, alone.collect()))
+
+
 def test_busy_total(samples):
     assert report.busy_total(samples, 3).first().busy_pc == 200.0
 
