@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sessionscope.functions import scalars
 from sessionscope.operators import counters, enrich, filters, locks, report, series
 from sessionscope.plans.collect import collect, with_blockers
-from sessionscope.plans.report import build_report, report_lines
+from sessionscope.plans.report import build_interactive_report, build_report, report_lines
 from sessionscope.schema import DERIVED_COLUMNS
 from sessionscope.session import configure, materialize, new_folder
 from sessionscope.sources import flatfile, history
@@ -549,6 +549,19 @@ def full_report(spark, sf_dir):
 QUERIES["report"] = QUERIES.pop("full_report")
 
 
+@query
+def interactive_report(spark, sf_dir):
+    sections = build_interactive_report(
+        _history(spark, sf_dir),
+        _cluster(spark, sf_dir),
+        _host(spark, sf_dir),
+        _io(spark, sf_dir),
+        list(CHOICES),
+        PLANNED,
+    )
+    return report_lines(sections)
+
+
 # ---- the sampling series
 
 
@@ -587,8 +600,15 @@ def effective_iterations(spark, sf_dir):
 @query
 def cluster_info(spark, sf_dir):
     sizes = fixture(spark, sf_dir, "database_sizes")
-    processes = sizes.groupBy("dtcol").agg(F.count("*").cast("int").alias("cluster_processes"))
-    return series.cluster_info(sizes, processes, every=100, comment="inventory")
+    host = sizes.groupBy("dtcol").agg(
+        F.concat(F.lit("host"), (F.count("*") % 3).cast("string")).alias("cluster_hostname"),
+        F.lit("Linux").alias("cluster_os_family"),
+        F.lit("16").alias("cluster_postgres_version"),
+        F.count("*").cast("int").alias("cluster_processes"),
+    )
+    names = {"setting_0": "shared_buffers", "setting_1": "port", "setting_2": "archive_mode"}
+    settings = fixture(spark, sf_dir, "settings").replace(names, subset="name")
+    return series.cluster_info(sizes, host, settings, every=100, comment="inventory")
 
 
 @query

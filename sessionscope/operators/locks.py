@@ -189,10 +189,9 @@ def _descend(graph: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
         .select("dtcol", "object", "next")
         .distinct()
     )
-    steps = materialize(steps, "steps")
     deep = depth > 2
     if deep:
-        reached = materialize(reached, "reached")
+        steps, reached = materialize(steps, "steps"), materialize(reached, "reached")
     frontier = reached
     for _ in range(depth):
         frontier = (

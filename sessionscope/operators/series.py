@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sessionscope.functions.scalars import size_pretty
+from sessionscope.functions.scalars import memory_setting, size_pretty
+from sessionscope.schema import CLUSTER_INFORMATION
 
 
 def number_instants(samples: DataFrame) -> DataFrame:
@@ -117,10 +118,31 @@ def database_list(sizes: DataFrame) -> DataFrame:
     )
 
 
-def cluster_info(sizes: DataFrame, processes: DataFrame, every: int = 100, comment: str | None = None) -> DataFrame:
-    """Inventory row per thinned instant; ``processes`` is (dtcol, cluster_processes)."""
+def _setting(settings: DataFrame, name: str, value: Column) -> Column:
+    """A setting's value as a scalar: names are unique."""
+    return settings.filter(F.col("name") == name).agg(F.max(value)).scalar()
+
+
+def cluster_info(
+    sizes: DataFrame, host: DataFrame, settings: DataFrame, every: int = 100, comment: str | None = None
+) -> DataFrame:
+    """Inventory row per thinned instant, with the columns of ``CLUSTER_INFORMATION``.
+
+    ``sizes`` (dtcol, datname, size_bytes, is_template), ``host`` (dtcol,
+    cluster_hostname, cluster_os_family, cluster_postgres_version, cluster_processes),
+    ``settings`` (name, setting, unit).
+    """
+    buffers = size_pretty(memory_setting(F.col("unit"), F.col("setting")))
     return (
         database_list(thin_snapshots(sizes, every))
-        .join(processes, "dtcol", "left")
-        .withColumn("cluster_comment", F.lit(comment).cast("string"))
+        .join(host, "dtcol", "left")
+        .withColumns(
+            {
+                "cluster_port": _setting(settings, "port", F.col("setting")),
+                "cluster_archive_mode": _setting(settings, "archive_mode", F.upper("setting")),
+                "cluster_shared_buffers": _setting(settings, "shared_buffers", buffers),
+                "cluster_comment": F.lit(comment).cast("string"),
+            }
+        )
+        .select(*[F.col(field.name).cast(field.dataType) for field in CLUSTER_INFORMATION])
     )

@@ -42,6 +42,27 @@ def build_report(
     }
 
 
+def build_interactive_report(
+    samples: DataFrame,
+    cluster_information: DataFrame,
+    host_counters: DataFrame,
+    io_stats: DataFrame,
+    choices: list,
+    iterations: int,
+) -> dict[str, DataFrame]:
+    """One ranking per choice of columns, then the host and I/O sections, over one collection."""
+    rankings = report.busy_multi(samples, choices, iterations)
+    return {
+        **{f"ranking_{number}": ranking for number, ranking in enumerate(rankings, start=1)},
+        "host_cpu": report.host_cpu_avg(samples),
+        "cpu_time": counters.cpu_time_delta(host_counters, cluster_information),
+        "memory": counters.memory_stats(host_counters).select("max_pct"),
+        "swap": counters.swap_stats(host_counters).select("max_pct"),
+        "swapped": counters.swapped_bytes(host_counters),
+        "io_latency": counters.io_latency(io_stats),
+    }
+
+
 def report_lines(sections: dict[str, DataFrame]) -> DataFrame:
     """All sections as text: (section, line), a line being ``name=value`` pairs."""
     parts = []
