@@ -53,10 +53,24 @@ def lock_graph(locks: DataFrame) -> DataFrame:
     lock tables are read once, and what follows works on the contended locks alone.
     """
     members = materialize(contended_locks(locks), "contended")
-    shared = members.groupBy("dtcol", "object").agg(F.min("pid").alias("low"), F.max("pid").alias("high"))
-    members = members.join(shared.filter("low <> high"), ["dtcol", "object"], "left_semi")
-    blocked = members.groupBy("dtcol", "pid").agg(F.max("waiting").alias("blocked"))
-    graph = members.join(blocked, ["dtcol", "pid"]).select("dtcol", "object", "pid", "waiting", "blocked")
+    shared = (
+        members.groupBy("dtcol", "object")
+        .agg(F.min("pid").alias("low"), F.max("pid").alias("high"))
+        .filter("low <> high")
+        .select("dtcol", "object")
+    )
+    blocked = (
+        members.filter("waiting")
+        .join(shared, ["dtcol", "object"], "left_semi")
+        .select("dtcol", "pid")
+        .distinct()
+        .withColumn("blocked", F.lit(True))
+    )
+    graph = (
+        members.join(shared, ["dtcol", "object"], "left_semi")
+        .join(blocked, ["dtcol", "pid"], "left")
+        .select("dtcol", "object", "pid", "waiting", F.coalesce("blocked", F.lit(False)).alias("blocked"))
+    )
     return materialize(graph, "lock-graph")
 
 

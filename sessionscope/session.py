@@ -15,6 +15,8 @@ RUNTIME_OPTIONS = {
     # a hot lock object or group key is split even when that costs one more shuffle
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # no sorting for a join whose every partition, measured after the shuffle, is this small
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
 }
 
 
@@ -25,6 +27,10 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# applicationId -> folder of a local-mode session that names none
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
@@ -32,10 +38,12 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="sessionscope-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if context.applicationId not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="sessionscope-")
+        folder = _LOCAL_FOLDERS[context.applicationId]
     return folder.rstrip("/")
 
 
