@@ -246,7 +246,9 @@ def same_reset(spark, sf_dir):
 
 @query
 def wait_edges(spark, sf_dir):
-    return locks.wait_edges(_object_locks(spark, sf_dir))
+    return locks.wait_edges(_object_locks(spark, sf_dir)).select(
+        "dtcol", "locktype", "database", "relation", "pid", "waiting", "blocked", "blockers"
+    )
 
 
 @query
@@ -256,8 +258,7 @@ def root_edges(spark, sf_dir):
 
 @query
 def blocking_chains(spark, sf_dir):
-    chains = locks.blocking_chains(_object_locks(spark, sf_dir))
-    return chains.withColumn("path", F.array_join("path", ","))
+    return locks.blocking_chains(_object_locks(spark, sf_dir))
 
 
 @query

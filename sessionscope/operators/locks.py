@@ -2,9 +2,10 @@
 
 Every step is keyed by the sample instant, so work spreads over snapshots and over
 the objects or processes inside them. A lock that ``w`` processes wait for is kept
-as ``w`` (object, process) memberships; the quadratic process-to-process edges are
-formed only by the operators whose result they are (:func:`wait_edges`,
-:func:`root_edges`, :func:`blocking_chains`).
+as ``w`` (object, process) memberships, from which blocked processes, root blockers and
+the levels between them follow. Edges from waiter to waiter, which grow with the square
+of ``w``, are formed for chosen processes and instants only (:func:`blockers_of`,
+:func:`blocking_paths`).
 
 Locks on objects nobody waits for are left out first, by a semi join against the
 distinct waited-for objects. On a real server that is nearly all of them.
@@ -15,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionscope.functions.scalars import instant
 from sessionscope.schema import LOCK_IDENTITY
 from sessionscope.session import materialize
 
@@ -108,16 +110,28 @@ def descent_waits(graph: DataFrame) -> DataFrame:
 
 
 def wait_edges(locks: DataFrame) -> DataFrame:
-    """Distinct (dtcol, blocked, blocker). Other waiters on the same object count as blockers.
+    """The wait graph, one row per process on a contended object.
 
-    The edges themselves are the result here; no other operator forms them.
+    The object's columns, ``pid``, ``waiting``, ``blocked``, and ``blockers``: how many
+    processes block this one here. They are all the other rows of the object, since a
+    waiter is blocked by holders and by other waiters, so the rows stand for all edges.
     """
-    members = materialize(contended_locks(locks), "contended")
-    blockers = members.select("dtcol", "object", F.col("pid").alias("blocker"))
+    graph = lock_graph(locks)
+    sizes = graph.groupBy("dtcol", "object").agg(F.count("*").alias("processes"))
+    blockers = F.when(F.col("waiting"), F.col("processes") - 1).otherwise(F.lit(0))
+    return graph.join(sizes, ["dtcol", "object"]).select(
+        "dtcol", "object.*", "pid", "waiting", "blocked", blockers.alias("blockers")
+    )
+
+
+def blockers_of(locks: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Distinct (dtcol, blocked, blocker) edges of the chosen (dtcol, pid) processes."""
+    members = contended_locks(locks.join(chosen.select("dtcol").distinct(), "dtcol", "left_semi"))
     return (
         members.filter("waiting")
+        .join(chosen.select("dtcol", "pid"), ["dtcol", "pid"], "left_semi")
         .select("dtcol", "object", F.col("pid").alias("blocked"))
-        .join(blockers, ["dtcol", "object"])
+        .join(members.select("dtcol", "object", F.col("pid").alias("blocker")), ["dtcol", "object"])
         .filter("blocked <> blocker")
         .select("dtcol", "blocked", "blocker")
         .distinct()
@@ -129,13 +143,14 @@ def root_edges(locks: DataFrame) -> DataFrame:
     return _root_edges(lock_graph(locks))
 
 
-def blocking_chains(locks: DataFrame, depth: int = 2) -> DataFrame:
+def blocking_paths(locks: DataFrame, instants: list, depth: int = 2) -> DataFrame:
     """Every descent from a root blocker: blocked, blocker, top_blocker, path, cycle, level.
 
-    ``depth`` further levels follow the first; a chain stops where it meets itself. The
-    result lists paths, which multiply with depth: use it on chosen snapshots, and
-    :func:`final_blockers` for whole histories.
+    ``depth`` further levels follow the first; a chain stops where it meets itself. Paths
+    multiply with depth and with the processes on a lock, so they are listed for chosen
+    instants; :func:`blocking_chains` covers whole histories.
     """
+    locks = locks.filter(F.col("dtcol").isin(*[instant(value) for value in instants]))
     graph = lock_graph(locks)
     steps = (
         descent_waits(graph)
@@ -176,7 +191,7 @@ def blocking_chains(locks: DataFrame, depth: int = 2) -> DataFrame:
 
 
 def _descend(graph: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
-    """The waits to report, and the distinct (dtcol, object, top_blocker) above them.
+    """The waits to report, and (dtcol, object, top_blocker, level) above them.
 
     A breadth-first walk from object to object: a process waiting for one object leads to
     the other objects it is on, if somebody waits there. It carries the top blockers of
@@ -184,7 +199,8 @@ def _descend(graph: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
     Beyond the default depth each round is written to the shared folder with only what
     is new in it: the plan stays short, and a lost executor costs at most one round.
     """
-    reached = _roots(graph).select("dtcol", "object", F.col("blocker").alias("top_blocker"))
+    keys = ["dtcol", "object", "top_blocker"]
+    reached = _roots(graph).select("dtcol", "object", F.col("blocker").alias("top_blocker"), F.lit(1).alias("level"))
     waits = descent_waits(graph)
     if depth == 0:
         return waits.filter("rooted"), reached
@@ -207,29 +223,34 @@ def _descend(graph: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
     if deep:
         steps, reached = materialize(steps, "steps"), materialize(reached, "reached")
     frontier = reached
-    for _ in range(depth):
+    for number in range(2, depth + 2):
         frontier = (
             frontier.join(steps, ["dtcol", "object"])
             .select("dtcol", F.col("next").alias("object"), "top_blocker")
             .distinct()
         )
         if deep:
-            frontier = materialize(
-                frontier.join(reached, ["dtcol", "object", "top_blocker"], "left_anti"), "frontier"
-            )
+            frontier = frontier.join(reached, keys, "left_anti")
+        frontier = frontier.withColumn("level", F.lit(number))
+        if deep:
+            frontier = materialize(frontier, "frontier")
             if frontier.isEmpty():
                 break
         reached = reached.unionByName(frontier)
     return waits, reached
 
 
-def top_blockers(locks: DataFrame, depth: int = 2) -> DataFrame:
-    """Distinct (dtcol, blocked, top_blocker) reached within ``depth`` levels below the first."""
+def blocking_chains(locks: DataFrame, depth: int = 2) -> DataFrame:
+    """(dtcol, blocked, top_blocker, level): each root blocker above a process, and how far.
+
+    Level 1 waits for the root itself; ``depth`` further levels follow. The level is that
+    of the shortest chain.
+    """
     waits, reached = _descend(lock_graph(locks), depth)
     return (
         waits.join(reached, ["dtcol", "object"])
-        .select("dtcol", F.col("pid").alias("blocked"), "top_blocker")
-        .distinct()
+        .groupBy("dtcol", F.col("pid").alias("blocked"), "top_blocker")
+        .agg(F.min("level").alias("level"))
     )
 
 
