@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionscope.operators.enrich import (
+    cache_sampling,
     carry_memory,
     fingerprint,
     with_application_info,
@@ -58,19 +59,27 @@ def collect(
     interval_seconds: int,
     depth: int = 2,
     text_search: bool = False,
+    batch: bool = False,
 ) -> DataFrame:
-    """Everything one collection tick does, for all ticks in ``samples`` at once."""
+    """Everything one collection tick does, for all ticks in ``samples`` at once.
+
+    In ``batch`` collection a cached memory value is used with a probability that grows
+    with the number of active sessions, so that small loads are measured afresh more often.
+    """
     chosen = not_idle(active_sessions(samples))
     sessions = with_application_info(fingerprint(chosen))
     if text_search:
         sessions = with_query_tokens(sessions)
     else:
         sessions = sessions.withColumn("dquery", F.lit(None).cast("array<string>"))
-    probes = memory_probes.join(chosen.select("dtcol", "pid"), ["dtcol", "pid"], "left_semi")
+    probes, fresh = memory_probes.join(chosen.select("dtcol", "pid"), ["dtcol", "pid"], "left_semi"), None
+    if batch:
+        draws = cache_sampling(chosen).select("dtcol", "pid", "use_cache")
+        probes, fresh = probes.join(draws, ["dtcol", "pid"]), ~F.col("use_cache")
     return enrich_samples(
         sessions,
         samples.filter("pid is null and datid is null"),
         final_blockers(locks, depth, blocked_in=not_idle(samples)),
         cpu_probes,
-        carry_memory(probes, interval_seconds),
+        carry_memory(probes, interval_seconds, fresh),
     )

@@ -62,6 +62,23 @@ def test_collect_store_report(spark):
     assert "PartitionFilters: [isnotnull(day" in scanned
 
 
+def test_batch_collection_probes_small_loads_afresh(spark):
+    """With few sessions a cached value is rarely used, so nearly every row keeps its own probe."""
+    probes = Q._memory_probes(spark, SF_DIR)
+    rows = [
+        collect(Q._samples(spark, SF_DIR), Q._session_locks(spark, SF_DIR), Q._cpu_probes(spark, SF_DIR),
+                probes, Q.INTERVAL, batch=batch).filter("pid is not null")
+        for batch in (False, True)
+    ]
+    own = [
+        row.join(probes.withColumnsRenamed({"mem": "probed"}).drop("swapped"), ["dtcol", "pid"])
+        .filter("mem <> probed").count()
+        for row in rows
+    ]
+    assert rows[0].count() == rows[1].count()
+    assert own[1] <= own[0] and own[0] > 0
+
+
 def test_lock_joins_have_no_cross_product(spark):
     plan = locks.final_blockers(Q._object_locks(spark, SF_DIR))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
