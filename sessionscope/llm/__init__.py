@@ -1 +1,8 @@
 """Operators of a training-data pipeline: deduplication, encoding, mixing, scoring, sharding."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

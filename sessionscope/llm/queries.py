@@ -9,12 +9,19 @@ from pyspark.sql import functions as F
 
 from .mixing import mix
 from .sharding import shard_documents
+from .simhash import hexadecimal, near_duplicates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), hexadecimal("fingerprint").alias("fingerprint"), "component_id"
+    )
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "size", "source_size", "target", "taken"
@@ -36,6 +43,7 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_simhash": op4_simhash,
     "op5_mix_sources": op5_mix_sources,
     "op9_shard": op9_shard,
 }
