@@ -46,31 +46,25 @@ def shard_documents(
     )
     total = docs.agg(F.sum(_size(text_column))).first()[0] or 0
     buckets = int(total // bucket_bytes) + 1
-    scattered = rows.select(
-        F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.lit(buckets)).cast("int").alias("bucket"), "key", "record"
-    ).repartitionById(buckets, F.col("bucket"))
-    permuted = (
-        scattered.groupBy("bucket")
-        .agg(F.sort_array(F.collect_list(F.struct("key", "record"))).alias("rows"))
-        .select("bucket", F.posexplode(F.shuffle("rows", seed)).alias("place", "row"))
-        .select("bucket", F.col("place").cast("long").alias("place"), "row.record")
-    )
+    bucket = F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.lit(buckets)).cast("int").alias("bucket")
     # the counts of the buckets give each bucket's first position: one row a bucket, ids and texts only hashed
-    counts = rows.groupBy(
-        F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.lit(buckets)).cast("int").alias("bucket")
-    ).agg(F.count("*").alias("n"))
+    counts = rows.groupBy(bucket).agg(F.count("*").alias("n"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = counts.select(
         "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.sum("n").over(everything).alias("all")
     )
-    position = F.col("first") + F.col("place")
-    shard = F.expr(f"(first + place) * {int(shards)} div all")
+    # a bucket's offset travels with its rows, so they are scattered once and joined to nothing
+    row = F.struct("key", "record")
+    scattered = rows.select(bucket, row.alias("row")).unionByName(offsets, allowMissingColumns=True)
     placed = (
-        permuted.join(offsets, "bucket")
-        .withColumn("shard", shard.cast("int"))
-        .withColumn("slot", position - F.expr(f"(cast(shard as bigint) * all + {int(shards) - 1}) div {int(shards)}"))
-        .select("record", "slot", "shard")
+        scattered.repartitionById(buckets, F.col("bucket"))
+        .groupBy("bucket")
+        .agg(F.max("first").alias("first"), F.max("all").alias("all"), F.sort_array(F.collect_list("row")).alias("rows"))
+        .select("first", "all", F.posexplode(F.shuffle("rows", seed)).alias("place", "row"))
+        .withColumn("shard", F.expr(f"(first + place) * {int(shards)} div all").cast("int"))
+        .withColumn("start", F.expr(f"(cast(shard as bigint) * all + {int(shards) - 1}) div {int(shards)}"))
+        .select("row.record", (F.col("first") + F.col("place") - F.col("start")).alias("slot"), "shard")
     )
     path = write_shards(placed)
     return spark.read.schema(placed.schema).parquet(path)
