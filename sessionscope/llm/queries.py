@@ -12,6 +12,7 @@ from .bpe import decode_documents, encode_documents, ids_digest
 from .mixing import mix
 from .sharding import shard_documents
 from .simhash import hexadecimal, near_duplicates
+from .suffix_dedup import remove_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +57,16 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op4_simhash": op4_simhash,
     "op5_mix_sources": op5_mix_sources,
     "op9_shard": op9_shard,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
