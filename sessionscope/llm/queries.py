@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest_neighbours
 from .bpe import decode_documents, encode_documents, ids_digest
 from .embedding_dedup import link_embeddings
 from .mixing import mix
@@ -50,6 +51,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
     text = F.coalesce("record.text", F.lit(""))
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op4_simhash": op4_simhash,
     "op5_mix_sources": op5_mix_sources,
+    "op7_nearest": op7_nearest,
     "op9_shard": op9_shard,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
