@@ -15,6 +15,7 @@ from .mixing import mix
 from .sharding import shard_documents
 from .simhash import hexadecimal, near_duplicates
 from .suffix_dedup import remove_repeats
+from .token_files import read_token_files, write_token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    path = write_token_files(table(spark, sf_dir, "documents"), tokenizer, end_id=2)
+    return read_token_files(spark, path, with_ids=False)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), hexadecimal("fingerprint").alias("fingerprint"), "component_id"
@@ -78,6 +85,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_bpe": op2_bpe,
+    "op3_token_files": op3_token_files,
     "op4_simhash": op4_simhash,
     "op5_mix_sources": op5_mix_sources,
     "op7_nearest": op7_nearest,
