@@ -16,6 +16,7 @@ from .sharding import shard_documents
 from .simhash import hexadecimal, near_duplicates
 from .suffix_dedup import remove_repeats
 from .token_files import read_token_files, write_token_files
+from .toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +59,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_simhash": op4_simhash,
     "op5_mix_sources": op5_mix_sources,
+    "op6_toxicity": op6_toxicity,
     "op7_nearest": op7_nearest,
     "op9_shard": op9_shard,
     "op10_suffix_dedup": op10_suffix_dedup,
