@@ -23,11 +23,11 @@ from .common import stored
 MOST_TOXIC = 4_000
 MOST_CLEAN = 8_000
 MOST_FEATURES = 4_096
-ROWS_PER_FEATURE = 4
+ROWS_PER_FEATURE = 1
 LEAST_TEXTS = 3
 #: Weight of the counterfactual penalty and of the ridge.
 FAIRNESS = 5.0
-RIDGE = 2e-4
+RIDGE = 3e-5
 BEGINNINGS = (4, 5, 6)
 MOST_WORDS = 400_000
 
