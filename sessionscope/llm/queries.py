@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from .ann import nearest_neighbours
 from .bpe import decode_documents, encode_documents, ids_digest
 from .embedding_dedup import link_embeddings
+from .gru_lm import score_documents
 from .mixing import mix
 from .sharding import shard_documents
 from .simhash import hexadecimal, near_duplicates
 from .suffix_dedup import remove_repeats
 from .token_files import read_token_files, write_token_files
-from .toxicity import toxicity
+from .toxicity import fold, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +69,14 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_documents(table(spark, sf_dir, "documents"), fold("id", 7) != 2)
+    return scored.select(
+        F.col("id").alias("doc_id"), (fold("id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        "base_score", "score",
+    )
+
+
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
     text = F.coalesce("record.text", F.lit(""))
@@ -96,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mix_sources": op5_mix_sources,
     "op6_toxicity": op6_toxicity,
     "op7_nearest": op7_nearest,
+    "op8_language_model": op8_language_model,
     "op9_shard": op9_shard,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
