@@ -150,3 +150,18 @@ def near_duplicates(
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of_class = named.join(least, "component").select("fingerprint", "component_id")
     return rows.join(of_class, "fingerprint").select("id", "fingerprint", "component_id")
+
+
+def keep_representatives(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options
+) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates: the one with the smallest id.
+
+    Rows that repeat an id and its text count once. Rows without an id stay: nothing can
+    name them.
+    """
+    groups = near_duplicates(docs.filter(F.col(id_column).isNotNull()), id_column, text_column, **options)
+    kept = groups.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias(id_column)).distinct()
+    named = docs.join(kept, id_column, "left_semi").withColumn("text hash", F.xxhash64(text_column))
+    single = named.dropDuplicates([id_column, "text hash"]).drop("text hash")
+    return single.unionByName(docs.filter(F.col(id_column).isNull()))

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from .common import drop_table, group_starts, read_table, stored, text_bytes, whole_groups, write_table
 
@@ -379,12 +379,13 @@ def repeated_starts(
 
 def remove_repeats(
     docs: DataFrame, text_column: str = "text", length: int = LENGTH, gram: int = GRAM, width: int = WIDTH,
-    most_strings: int = MOST_STRINGS,
+    most_strings: int = MOST_STRINGS, as_text: bool = False,
 ) -> DataFrame:
     """``docs`` with what is left of each text once repeats of ``length`` bytes are cut out.
 
     Added are ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs) and ``kept``,
-    the remaining bytes; columns of these names are replaced. Matches are between byte
+    the remaining bytes (``as_text``: as a string, without what is left of a character that
+    a cut has split); columns of these names are replaced. Matches are between byte
     strings of the input, in the same text or another one, and never cross texts. A row that
     repeats another's text repeats all of it. Null texts are empty; texts shorter than
     ``length`` lose nothing; an empty table gives no rows.
@@ -406,11 +407,12 @@ def remove_repeats(
             for number, data in enumerate(text_bytes(batch.column(1))):
                 out.append(cut_out(data, column[number].as_py() or [], length))
             counts = [pa.array([values[at] for values in out], type=pa.int64()) for at in range(3)]
-            kept = pa.array([values[3] for values in out], type=pa.binary())
+            left = [values[3] for values in out]
+            kept = pa.array([b.decode("utf-8", "ignore") for b in left], type=pa.string()) if as_text else pa.array(left, type=pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, kept], ["row", *added])
 
     schema = StructType([
-        StructField("row", row_type), *[StructField(name, LongType()) for name in added[:3]], StructField("kept", BinaryType()),
+        StructField("row", row_type), *[StructField(name, LongType()) for name in added[:3]], StructField("kept", StringType() if as_text else BinaryType()),
     ])
     joined = rows.join(spans, ["t1", "t2"], "left").select("row", "text", "spans")
     return joined.mapInArrow(run, schema).select(*[f"row.`{name}`" for name in names], *added)
