@@ -16,8 +16,8 @@ from sessionscope.functions import scalars
 from sessionscope.operators import counters, enrich, filters, locks, report, series
 from sessionscope.plans.collect import collect, with_blockers
 from sessionscope.plans.report import build_interactive_report, build_report, report_lines
-from sessionscope.schema import DERIVED_COLUMNS
-from sessionscope.session import configure, materialize, new_folder
+from sessionscope.schema import DERIVED_COLUMNS, LOCK_IDENTITY, is_heartbeat
+from sessionscope.session import configure, new_folder
 from sessionscope.sources import flatfile, history
 from sessionscope.sources.fixtures import fixture
 from sessionscope.streaming import aas
@@ -55,12 +55,13 @@ def _enriched(spark, sf_dir):
 
 def _history(spark, sf_dir):
     """The enriched samples as a stored table, which is what reports read."""
-    return materialize(_enriched(spark, sf_dir), "history")
+    path = new_folder(spark, "history")
+    history.append_samples(_enriched(spark, sf_dir), path)
+    return history.read_history(spark, path)
 
 
 def _object_locks(spark, sf_dir):
-    """Lock snapshots without transaction ids, so that locks share objects and form chains."""
-    return fixture(spark, sf_dir, "lock_snapshots").withColumn("transactionid", F.lit(None).cast("bigint"))
+    return fixture(spark, sf_dir, "lock_snapshots")
 
 
 def _session_locks(spark, sf_dir):
@@ -106,6 +107,31 @@ def window_scan(spark, sf_dir):
     return filters.window_scan(_samples(spark, sf_dir), *WINDOW).select("dtcol", "pid", "wait_event_type", "mem")
 
 
+@query
+def window_scan_day_table(spark, sf_dir):
+    """A stored table, read by a session in another time zone than its writer's."""
+    path = _stored(spark, sf_dir, "zones")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        first, last = (dt.datetime.fromisoformat(end).replace(tzinfo=dt.timezone.utc) for end in WINDOW)
+        found = filters.window_scan(history.read_history(spark, path), first, last).select("dtcol", "pid", "mem")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    return found
+
+
+@query
+def compact_days(spark, sf_dir):
+    path = new_folder(spark, "compact")
+    samples = _samples(spark, sf_dir)
+    history.append_samples(filters.session_rows(samples), path, "one", 1)
+    history.append_samples(filters.host_rows(samples), path, "two", 1)
+    for day in (SERIES_START.date(), SERIES_START.date() + dt.timedelta(days=1)):
+        history.compact(spark, path, day)
+    return history.read_history(spark, path).select("dtcol", "pid", "mem", (F.col("writer") == "compact").alias("merged"))
+
+
 @query
 def append_samples(spark, sf_dir):
     samples = _samples(spark, sf_dir)
@@ -169,6 +195,20 @@ def load_flat(spark, sf_dir):
     )
 
 
+@query
+def two_flat_folders_one_table(spark, sf_dir):
+    """Two folders of flat files, each with a load of its own, into the table a sampler writes too."""
+    rows = _flat_rows(spark, sf_dir)
+    table = new_folder(spark, "loaded")
+    history.append_samples(_samples(spark, sf_dir), table, "sampler", 0)
+    for label in ("first", "second"):
+        path, checkpoint = new_folder(spark, label), new_folder(spark, "offsets")
+        flatfile.dump_flat(rows, path)
+        for _ in range(2):  # a second load of the same folder adds nothing
+            flatfile.load_flat(spark, path, rows.schema, table, checkpoint)
+    return history.read_history(spark, table).select("dtcol", "pid", "query", "iquery", "pourcentage_cpu", "mem")
+
+
 @query
 def parse_counters(spark, sf_dir):
     return counters.parsed_counters(
@@ -247,7 +287,7 @@ def same_reset(spark, sf_dir):
 @query
 def wait_edges(spark, sf_dir):
     return locks.wait_edges(_object_locks(spark, sf_dir)).select(
-        "dtcol", "locktype", "database", "relation", "pid", "waiting", "blocked", "blockers"
+        "dtcol", *LOCK_IDENTITY, "pid", "waiting", "blocked", "blockers"
     )
 
 
@@ -258,19 +298,35 @@ def root_edges(spark, sf_dir):
 
 @query
 def blocking_chains(spark, sf_dir):
-    return locks.blocking_chains(_object_locks(spark, sf_dir))
+    return locks.blocking_chains(_object_locks(spark, sf_dir), folder=new_folder(spark, "locks"))
+
+
+def _waiting(spark, sf_dir):
+    """The processes that wait at each instant."""
+    locked = _object_locks(spark, sf_dir).filter("not granted and pid is not null")
+    return locked.select("dtcol", "pid").distinct()
+
+
+@query
+def blockers_of(spark, sf_dir):
+    return locks.blockers_of(_object_locks(spark, sf_dir), _waiting(spark, sf_dir))
+
+
+@query
+def chains_of(spark, sf_dir):
+    return locks.chains_of(_object_locks(spark, sf_dir), _waiting(spark, sf_dir), folder=new_folder(spark, "locks"))
 
 
 @query
 def final_blockers(spark, sf_dir):
-    return locks.final_blockers(_object_locks(spark, sf_dir)).select(
+    return locks.final_blockers(_object_locks(spark, sf_dir), folder=new_folder(spark, "locks")).select(
         "dtcol", "blocked", F.array_join("final_blockers", ",").alias("final_blockers")
     )
 
 
 @query
 def final_blockers_deep(spark, sf_dir):
-    return locks.final_blockers(_object_locks(spark, sf_dir), depth=4).select(
+    return locks.final_blockers(_object_locks(spark, sf_dir), depth=4, folder=new_folder(spark, "locks")).select(
         "dtcol", "blocked", F.array_join("final_blockers", ",").alias("final_blockers")
     )
 
@@ -278,7 +334,9 @@ def final_blockers_deep(spark, sf_dir):
 @query
 def session_blockers(spark, sf_dir):
     samples = _samples(spark, sf_dir)
-    blockers = locks.final_blockers(_session_locks(spark, sf_dir), blocked_in=filters.not_idle(samples))
+    blockers = locks.final_blockers(
+        _session_locks(spark, sf_dir), blocked_in=filters.not_idle(samples), folder=new_folder(spark, "locks")
+    )
     return blockers.select("dtcol", "blocked", F.array_join("final_blockers", ",").alias("final_blockers"))
 
 
@@ -295,6 +353,7 @@ def enrich_samples(spark, sf_dir):
         _cpu_probes(spark, sf_dir),
         _memory_probes(spark, sf_dir),
         INTERVAL,
+        folder=new_folder(spark, "locks"),
     )
     return rows.select(
         *ENRICHED_COLUMNS,
@@ -303,6 +362,69 @@ def enrich_samples(spark, sf_dir):
     )
 
 
+@query
+def collect_pids(spark, sf_dir):
+    """Chosen processes only, the sampler's own left out."""
+    samples = _samples(spark, sf_dir)
+    rows = collect(
+        samples, _session_locks(spark, sf_dir), _cpu_probes(spark, sf_dir), _memory_probes(spark, sf_dir), INTERVAL,
+        pids=samples.filter("wait_event_type = 'Lock'"), own_pid=1001,
+        folder=new_folder(spark, "locks"),
+    )
+    return rows.select(*ENRICHED_COLUMNS, F.array_join("blockers", ",").alias("blockers"))
+
+
+@query
+def collect_plain(spark, sf_dir):
+    """Without normalizing and application fields."""
+    rows = collect(
+        _samples(spark, sf_dir), None, _cpu_probes(spark, sf_dir), _memory_probes(spark, sf_dir), INTERVAL,
+        normalize=False, application_fields=False,
+    )
+    return rows.select(*ENRICHED_COLUMNS, F.col("application_info").isNull().alias("no_fields"))
+
+
+def _clusters(spark, sf_dir, name):
+    """The table of two clusters with equal pids and instants; the west has every value doubled where it can."""
+    east = fixture(spark, sf_dir, name)
+    west = east
+    for column in ("mem", "swapped", "user_s"):
+        if column in west.columns:
+            west = west.withColumn(column, F.col(column) * 2)
+    return history.union_clusters({"east": east, "west": west})
+
+
+@query
+def collect_clusters(spark, sf_dir):
+    samples = _clusters(spark, sf_dir, "session_samples")
+    cpu = samples.select(
+        "cluster", "dtcol", F.coalesce("pid", F.lit(0).cast("bigint")).alias("pid"), F.col("pourcentage_cpu").alias("cpu")
+    )
+    # the west has no locks
+    held = history.union_clusters({"east": _session_locks(spark, sf_dir)})
+    rows = collect(samples, held, cpu, samples.filter("pid is not null"), INTERVAL, folder=new_folder(spark, "locks"))
+    return rows.select("cluster", *ENRICHED_COLUMNS, F.array_join("blockers", ",").alias("blockers"))
+
+
+@query
+def final_blockers_clusters(spark, sf_dir):
+    found = locks.final_blockers(_clusters(spark, sf_dir, "lock_snapshots"), folder=new_folder(spark, "locks"))
+    return found.select("cluster", "dtcol", "blocked", F.array_join("final_blockers", ",").alias("final_blockers"))
+
+
+@query
+def report_clusters(spark, sf_dir):
+    samples = _clusters(spark, sf_dir, "session_samples")
+    peaks = report.peak_sum(filters.session_rows(samples), ["datname"], "mem")
+    summary = report.activity(samples).select("cluster", "db_time", "average_active_sessions", "host_cpu")
+    times = counters.host_summary(_clusters(spark, sf_dir, "host_counters"), _clusters(spark, sf_dir, "cluster_information"))
+    lines = summary.join(times.select("cluster", "user_time", "io_time"), "cluster")
+    shown = lambda *names: F.concat_ws("; ", *[F.col(name).cast("decimal(38,2)").cast("string") for name in names])
+    return lines.select(
+        "cluster", shown("db_time", "average_active_sessions", "host_cpu", "user_time", "io_time").alias("line")
+    ).unionByName(peaks.select(F.col("datname").alias("cluster"), F.col("peak_mem").cast("string").alias("line")))
+
+
 @query
 def blocking_sessions(spark, sf_dir):
     found = locks.blocking_sessions(_samples(spark, sf_dir), _session_locks(spark, sf_dir), own_pid=1001)
@@ -316,6 +438,13 @@ def blocking_prepared(spark, sf_dir):
     )
 
 
+@query
+def blocking_prepared_snapshots(spark, sf_dir):
+    return locks.blocking_prepared(
+        fixture(spark, sf_dir, "lock_snapshots"), fixture(spark, sf_dir, "prepared_snapshots")
+    )
+
+
 @query
 def probe_needed(spark, sf_dir):
     return enrich.probe_needed(_memory_probes(spark, sf_dir), INTERVAL)
@@ -496,7 +625,7 @@ def peak_sum(spark, sf_dir):
 
 @query
 def busy_sessions(spark, sf_dir):
-    blockers = locks.final_blockers(_session_locks(spark, sf_dir))
+    blockers = locks.final_blockers(_session_locks(spark, sf_dir), folder=new_folder(spark, "locks"))
     samples = with_blockers(_enriched(spark, sf_dir), blockers)
     return report.busy_sessions(samples, PLANNED).withColumn("blockers", F.array_join("blockers", ","))
 
@@ -504,7 +633,7 @@ def busy_sessions(spark, sf_dir):
 @query
 def busy_by(spark, sf_dir):
     samples = enrich.with_application_info(_enriched(spark, sf_dir))
-    columns = "datname AS db, substring(tquery, 1, 24) AS shape, itquery, application_info['action'] AS action"
+    columns = "datname AS db, tquery AS shape, itquery, application_info['action'] AS action"
     return report.busy_by(samples, columns, PLANNED)
 
 
@@ -516,6 +645,19 @@ def busy_total(spark, sf_dir):
 CHOICES = ("datname AS label", "usename AS label", "wait_event_type AS label")
 
 
+@query
+def busy_after_stop(spark, sf_dir):
+    """The ranking of a collection that stopped early, by the samples that were taken."""
+    samples = _samples(spark, sf_dir).filter(is_heartbeat() | (F.col("wait_event_type") == "Lock"))
+    taken = series.effective_iterations(samples, None, 2)
+    return report.busy_by(series.stop_after_empty(samples, None, 2), "datname AS db", taken)
+
+
+@query
+def busy_ranked(spark, sf_dir):
+    return report.busy_ranked(_samples(spark, sf_dir), list(CHOICES), PLANNED)
+
+
 @query
 def busy_multi(spark, sf_dir):
     rankings = report.busy_multi(_samples(spark, sf_dir), list(CHOICES), PLANNED)
@@ -598,15 +740,33 @@ def effective_iterations(spark, sf_dir):
     return series.effective_iterations(waits, planned, 2)
 
 
-@query
-def cluster_info(spark, sf_dir):
-    sizes = fixture(spark, sf_dir, "database_sizes")
-    host = sizes.groupBy("dtcol").agg(
+def _inventory_host(sizes):
+    return sizes.groupBy("dtcol").agg(
         F.concat(F.lit("host"), (F.count("*") % 3).cast("string")).alias("cluster_hostname"),
         F.lit("Linux").alias("cluster_os_family"),
         F.lit("16").alias("cluster_postgres_version"),
         F.count("*").cast("int").alias("cluster_processes"),
     )
+
+
+@query
+def stop_after_empty_heartbeats(spark, sf_dir):
+    samples = _samples(spark, sf_dir).filter(is_heartbeat() | (F.col("wait_event_type") == "Lock"))
+    return series.stop_after_empty(samples, None, 2).select("dtcol", "pid")
+
+
+@query
+def cluster_info_dated(spark, sf_dir):
+    sizes = fixture(spark, sf_dir, "database_sizes")
+    host = _inventory_host(sizes)
+    found = series.cluster_info(sizes, host, fixture(spark, sf_dir, "dated_settings"), every=10)
+    return found.select("dtcol", "cluster_hostname", "cluster_port", "cluster_archive_mode", "cluster_shared_buffers")
+
+
+@query
+def cluster_info(spark, sf_dir):
+    sizes = fixture(spark, sf_dir, "database_sizes")
+    host = _inventory_host(sizes)
     names = {"setting_0": "shared_buffers", "setting_1": "port", "setting_2": "archive_mode"}
     settings = fixture(spark, sf_dir, "settings").replace(names, subset="name")
     return series.cluster_info(sizes, host, settings, every=100, comment="inventory")
@@ -638,6 +798,53 @@ def stream_collect(spark, sf_dir):
     )
 
 
+def _stored_rows(spark, table):
+    return history.read_history(spark, table).select(
+        *ENRICHED_COLUMNS, F.array_join("blockers", ",").alias("blockers")
+    )
+
+
+@query
+def two_streams_one_table(spark, sf_dir):
+    """Two samplers over the same days into one table."""
+    table = new_folder(spark, "history")
+    for label in ("first", "second"):
+        checkpoint = new_folder(spark, "offsets")
+        for stream in _drops(spark, sf_dir, label):
+            collect_stream(stream, table, checkpoint, INTERVAL)
+    return _stored_rows(spark, table)
+
+
+@query
+def stream_after_append(spark, sf_dir):
+    table = new_folder(spark, "history")
+    history.append_samples(_samples(spark, sf_dir), table)
+    for stream in _drops(spark, sf_dir, "raw"):
+        collect_stream(stream, table, f"{table}-offsets", INTERVAL)
+    return _stored_rows(spark, table)
+
+
+@query
+def stream_after_create_like(spark, sf_dir):
+    table = new_folder(spark, "history")
+    history.create_like(spark, _samples(spark, sf_dir), table, DERIVED_COLUMNS)
+    for stream in _drops(spark, sf_dir, "raw"):
+        collect_stream(stream, table, f"{table}-offsets", INTERVAL)
+    return _stored_rows(spark, table)
+
+
+@query
+def stream_interleaved(spark, sf_dir):
+    """Even hours, then odd hours: late samples correct the memory of rows already stored."""
+    samples = _samples(spark, sf_dir)
+    table, folder = new_folder(spark, "history"), new_folder(spark, "raw")
+    for rest in (0, 1):
+        samples.filter(F.hour("dtcol") % 2 == rest).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(samples.schema).parquet(folder)
+        collect_stream(stream, table, f"{table}-offsets", INTERVAL, locks=_session_locks(spark, sf_dir))
+    return _stored_rows(spark, table)
+
+
 @query
 def stream_aas(spark, sf_dir):
     path, checkpoint = new_folder(spark, "load"), new_folder(spark, "offsets")

@@ -43,10 +43,24 @@ ENGLISH_STOP_WORDS = (
 
 
 def instant(value: str | dt.datetime) -> Column:
-    """A literal instant, read in the session's time zone whatever the driver's own zone is."""
+    """A literal instant; without a zone it is read in the session's, whatever the driver's own zone is."""
+    if isinstance(value, dt.datetime) and value.tzinfo:
+        return instant_from_micros(utc_micros(value))
     return F.lit(str(value)).cast("timestamp")
 
 
+def utc_micros(value: dt.datetime) -> int:
+    """Microseconds since the epoch; a datetime without a zone is UTC."""
+    aware = value if value.tzinfo else value.replace(tzinfo=dt.timezone.utc)
+    return (aware - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) // dt.timedelta(microseconds=1)
+
+
+def utc_day(value: str | Column) -> Column:
+    """The UTC date of an instant, the same in every session time zone."""
+    micros = F.unix_micros(value)
+    return F.date_from_unix_date(F.floor((micros - F.pmod(micros, F.lit(86_400_000_000))) / 86_400_000_000).cast("int"))
+
+
 def instant_from_micros(value: int) -> Column:
     """A literal instant from microseconds since the epoch."""
     return F.timestamp_micros(F.lit(value))
@@ -80,7 +94,7 @@ def application_info(name: Column) -> Column:
 
 def query_tokens(text: Column) -> Column:
     """Sorted distinct words of a text without English stop words (words are not stemmed)."""
-    words = F.split(F.lower(text), r"\W+")
+    words = F.split(F.lower(text), r"[^\p{L}\p{N}_]+")
     kept = F.array_except(words, F.array(*[F.lit(word) for word in ["", *ENGLISH_STOP_WORDS]]))
     return F.sort_array(kept)
 
@@ -122,7 +136,7 @@ def memory_setting(unit: Column, setting: Column) -> Column:
         .otherwise(F.lit(0))
     )
     digits = F.regexp_extract(unit, r"[0-9](.*[0-9])?", 0).try_cast("bigint")
-    return factor.cast("bigint") * setting.cast("bigint") * digits
+    return factor.cast("bigint") * setting.try_cast("bigint") * digits
 
 
 def round_half_away(value: Column, scale: int = 2) -> Column:
@@ -146,9 +160,3 @@ def parse_counters(text: Column, names: list[str]) -> list[Column]:
     """One double column per counter name (null where a tuple lacks it)."""
     pairs = counter_pairs(text)
     return [F.try_element_at(pairs, F.lit(name)).alias(name) for name in names]
-
-
-def counter_names(samples, text: str) -> list[str]:
-    """Counter names of the first non-null printed tuple: a host prints one fixed set."""
-    first = samples.select(F.map_keys(counter_pairs(F.col(text))).alias("names")).filter("names is not null").first()
-    return list(first["names"]) if first else []

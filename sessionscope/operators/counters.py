@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionscope.functions.scalars import parse_counters, round_half_away, round_half_even, size_pretty
 from sessionscope.operators.filters import same_reset
+from sessionscope.schema import keys_of
 
 MEGABYTE = 1024 * 1024
 
@@ -33,26 +34,56 @@ def endpoint_join(counters: DataFrame, columns: list[str], by: list[str] | None
     return counters.groupBy(*(by or [])).agg(*ends)
 
 
+def _cpu_times() -> list[Column]:
+    names = {"user_s": "user_time", "system_s": "system_time", "idle_s": "idle_time", "iowait_s": "io_time"}
+    return [round_half_even(counter_delta(name)).alias(shown) for name, shown in names.items()]
+
+
+def _with_system(host: DataFrame, totals: DataFrame, cluster_information: DataFrame) -> DataFrame:
+    """Leave ``io_time`` to hosts that run Linux; the system is that of the earliest inventory row."""
+    keys = keys_of(host)
+    system = F.min_by("cluster_os_family", "dtcol")
+    if keys:
+        totals = totals.join(cluster_information.groupBy(*keys).agg(system.alias("system")), keys, "left")
+        linux = F.upper("system").contains("LINUX")
+    else:
+        linux = F.upper(cluster_information.agg(system).scalar()).contains("LINUX")
+    return totals.withColumn("io_time", F.when(linux, F.col("io_time"))).drop("system")
+
+
 def cpu_time_delta(host_times: DataFrame, cluster_information: DataFrame) -> DataFrame:
     """Seconds of user, system and idle time; I/O wait as well where the host runs Linux."""
-    system = cluster_information.agg(F.min_by("cluster_os_family", "dtcol").alias("os")).scalar()
-    linux = F.upper(system).contains("LINUX")
-    return host_times.agg(
-        round_half_even(counter_delta("user_s")).alias("user_time"),
-        round_half_even(counter_delta("system_s")).alias("system_time"),
-        round_half_even(counter_delta("idle_s")).alias("idle_time"),
-        round_half_even(counter_delta("iowait_s")).alias("io_time"),
-    ).withColumn("io_time", F.when(linux, F.col("io_time")))
+    totals = host_times.groupBy(*keys_of(host_times)).agg(*_cpu_times())
+    return _with_system(host_times, totals, cluster_information)
+
+
+def _occupied(total: str, percent: str, prefix: str = "") -> list[Column]:
+    return [
+        round_half_even(F.max(total) / 1024 / 1024).alias(f"{prefix}total_mb"),
+        round_half_even(F.min(percent)).alias(f"{prefix}min_pct"),
+        round_half_even(F.avg(percent)).alias(f"{prefix}avg_pct"),
+        round_half_even(F.max(percent)).alias(f"{prefix}max_pct"),
+    ]
 
 
 def occupation(host: DataFrame, total: str, percent: str) -> DataFrame:
     """Total megabytes, and lowest, mean and highest occupied percentage."""
-    return host.agg(
-        round_half_even(F.max(total) / 1024 / 1024).alias("total_mb"),
-        round_half_even(F.min(percent)).alias("min_pct"),
-        round_half_even(F.avg(percent)).alias("avg_pct"),
-        round_half_even(F.max(percent)).alias("max_pct"),
+    return host.groupBy(*keys_of(host)).agg(*_occupied(total, percent))
+
+
+def _moved() -> Column:
+    return size_pretty((counter_delta("swap_in") + counter_delta("swap_out")).cast("bigint")).alias("swapped")
+
+
+def host_summary(host_counters: DataFrame, cluster_information: DataFrame) -> DataFrame:
+    """CPU times, memory, swap and bytes swapped in one pass; one row per cluster."""
+    totals = host_counters.groupBy(*keys_of(host_counters)).agg(
+        *_cpu_times(),
+        *_occupied("mem_total", "mem_percent", "mem_"),
+        *_occupied("swap_total", "swap_percent", "swap_"),
+        _moved(),
     )
+    return _with_system(host_counters, totals, cluster_information)
 
 
 def memory_stats(host_memory: DataFrame) -> DataFrame:
@@ -65,8 +96,7 @@ def swap_stats(host_swap: DataFrame) -> DataFrame:
 
 def swapped_bytes(host_swap: DataFrame) -> DataFrame:
     """Bytes swapped in and out during the window, as text."""
-    moved = (counter_delta("swap_in") + counter_delta("swap_out")).cast("bigint")
-    return host_swap.agg(size_pretty(moved).alias("swapped"))
+    return host_swap.groupBy(*keys_of(host_swap)).agg(_moved())
 
 
 def _at_window_ends(io_stats: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from sessionscope.functions.scalars import (
     query_tokens,
     round_half_even,
 )
+from sessionscope.schema import keys_of
 
 # A time bucket is this many seconds, or this many horizons if that is more.
 BUCKET_SECONDS = 3600
@@ -39,11 +40,12 @@ def with_query_tokens(samples: DataFrame) -> DataFrame:
 
 def cpu_per_pid(samples: DataFrame, probes: DataFrame) -> DataFrame:
     """Add ``pourcentage_cpu`` from probes (dtcol, pid, cpu); pid 0 is the whole host."""
-    cpu = probes.select("dtcol", F.col("pid").alias("probe_pid"), F.col("cpu").alias("pourcentage_cpu"))
+    instant = keys_of(samples, "dtcol")
+    cpu = probes.select(*instant, F.col("pid").alias("probe_pid"), F.col("cpu").alias("pourcentage_cpu"))
     return (
         samples.drop("pourcentage_cpu")
         .withColumn("probe_pid", F.coalesce("pid", F.lit(0).cast("bigint")))
-        .join(cpu, ["dtcol", "probe_pid"], "left")
+        .join(cpu, [*instant, "probe_pid"], "left")
         .drop("probe_pid")
     )
 
@@ -70,7 +72,7 @@ def _with_overlap(probes: DataFrame, horizon: int) -> DataFrame:
 
 
 def _per_pid(probes: DataFrame) -> list[str]:
-    return [name for name in ("cluster", "pid") if name in probes.columns]
+    return keys_of(probes, "pid")
 
 
 def recent_memory(probes: DataFrame, interval_seconds: int) -> DataFrame:
@@ -120,6 +122,8 @@ def carry_memory(probes: DataFrame, interval_seconds: int, fresh: Column | None
     Runs are found per (pid, bucket). The value of a run that began in an earlier bucket
     arrives through a second window over one row per (pid, bucket).
     """
+    if fresh is not None and memory_horizon(interval_seconds) > 2 * interval_seconds:
+        raise ValueError("draws are exact for sampling intervals of ten seconds and more")
     keys = _per_pid(probes)
     rows = _run_starts(probes, memory_horizon(interval_seconds), fresh).filter("own")
     within = Window.partitionBy(*keys, "bucket").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
@@ -146,9 +150,10 @@ def cache_sampling(samples: DataFrame) -> DataFrame:
     The draw is a hash of instant and pid, so a lost task redraws the same answer.
     """
     sessions = samples.filter("pid is not null")
-    load = sessions.groupBy("dtcol").agg(F.least(F.count("*"), F.lit(999)).alias("active"))
+    instant = keys_of(samples, "dtcol")
+    load = sessions.groupBy(*instant).agg(F.least(F.count("*"), F.lit(999)).alias("active"))
     digest = F.md5(F.concat_ws("|", F.unix_micros("dtcol").cast("string"), F.col("pid").cast("string")))
     draw = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(1000))
-    return sessions.select("dtcol", "pid").join(load, "dtcol").select(
-        "dtcol", "pid", "active", draw.alias("draw"), (draw <= F.col("active")).alias("use_cache")
+    return sessions.select(*instant, "pid").join(load, instant).select(
+        *instant, "pid", "active", draw.alias("draw"), (draw < F.col("active")).alias("use_cache")
     )

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionscope.functions.scalars import instant, query_tokens
-from sessionscope.schema import is_host_row, is_session
+from sessionscope.functions.scalars import instant, query_tokens, utc_day
+from sessionscope.schema import is_host_row, is_session, keys_of
 
-# The sampler's own sessions and the server's background workers are left out.
+# The sampler's own sessions and the server's background workers are left out.
 # A null application name is left out too, by three-valued logic.
 DEFAULT_REPORT_FILTER = (
     "application_name <> 'sampler' and backend_type <> 'autovacuum worker' and backend_type <> 'walsender'"
@@ -18,13 +18,13 @@ DEFAULT_REPORT_FILTER = (
 def window_scan(samples: DataFrame, start, end) -> DataFrame:
     """Samples with ``start <= dtcol <= end``.
 
-    On a table partitioned by ``day`` the days are bounded too, so only their folders
-    are listed and read; the bounds on ``dtcol`` reach the Parquet scan.
+    On a table with ``day`` (the UTC date) the days are bounded too, so only their folders
+    are read; the bounds on ``dtcol`` reach the Parquet scan.
     """
     low, high = instant(start), instant(end)
     result = samples.filter(F.col("dtcol").between(low, high))
     if "day" in samples.columns:
-        result = result.filter(F.col("day").between(F.to_date(low), F.to_date(high)))
+        result = result.filter(F.col("day").between(utc_day(low), utc_day(high)))
     return result
 
 
@@ -37,7 +37,7 @@ def active_sessions(samples: DataFrame, own_pid: int | None = None) -> DataFrame
 def pid_filter(samples: DataFrame, pids) -> DataFrame:
     """Samples of the given pids: a list, or a DataFrame with (dtcol, pid) or (pid)."""
     if isinstance(pids, DataFrame):
-        keys = [name for name in ("dtcol", "pid") if name in pids.columns]
+        keys = [name for name in keys_of(samples, "dtcol", "pid") if name in pids.columns]
         return samples.join(pids.select(keys), keys, "left_semi")
     return samples.filter(F.col("pid").isin(list(pids)))
 

@@ -13,12 +13,13 @@ distinct waited-for objects. On a real server that is nearly all of them.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionscope.functions.scalars import instant
-from sessionscope.schema import LOCK_IDENTITY
-from sessionscope.session import materialize
+from sessionscope.schema import LOCK_IDENTITY, keys_of
 
 
 def lock_object(columns=LOCK_IDENTITY) -> Column:
@@ -32,18 +33,23 @@ def contended_locks(locks: DataFrame) -> DataFrame:
     ``waiting`` is true when the process waits for the object, even if it also holds
     it in another mode. A null pid (a prepared transaction) is read as 0.
     """
-    rows = locks.filter(F.col("locktype").isNotNull()).select(
-        "dtcol",
-        lock_object().alias("object"),
+    place = keys_of(locks, "dtcol", "object")
+    rows = locks.filter(F.col("locktype").isNotNull()).withColumn("object", lock_object()).select(
+        *place,
         F.coalesce("pid", F.lit(0).cast("bigint")).alias("pid"),
         (~F.col("granted")).alias("waiting"),
     )
-    wanted = rows.filter("waiting").select("dtcol", "object").distinct()
-    return (
-        rows.join(wanted, ["dtcol", "object"], "left_semi")
-        .groupBy("dtcol", "object", "pid")
-        .agg(F.max("waiting").alias("waiting"))
-    )
+    wanted = rows.filter("waiting").select(place).distinct()
+    return rows.join(wanted, place, "left_semi").groupBy(*place, "pid").agg(F.max("waiting").alias("waiting"))
+
+
+def _cut(rows: DataFrame, folder: str | None, name: str) -> DataFrame:
+    """Cut the lineage through a table in the caller's folder, if there is one."""
+    if folder is None:
+        return rows
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def lock_graph(locks: DataFrame) -> DataFrame:
@@ -51,41 +57,34 @@ def lock_graph(locks: DataFrame) -> DataFrame:
 
     ``waiting``: the process waits for this object. ``blocked``: it waits for some such
     object at that instant. Process-to-process edges are implied: a waiter is blocked by
-    every other process on the object. Both steps are written to the shared folder: the
-    lock tables are read once, and what follows works on the contended locks alone.
+    every other process on the object.
     """
-    members = materialize(contended_locks(locks), "contended")
+    members = contended_locks(locks)
+    place, process = keys_of(members, "dtcol", "object"), keys_of(members, "dtcol", "pid")
     shared = (
-        members.groupBy("dtcol", "object")
+        members.groupBy(*place)
         .agg(F.min("pid").alias("low"), F.max("pid").alias("high"))
         .filter("low <> high")
-        .select("dtcol", "object")
+        .select(place)
     )
-    blocked = (
-        members.filter("waiting")
-        .join(shared, ["dtcol", "object"], "left_semi")
-        .select("dtcol", "pid")
-        .distinct()
-        .withColumn("blocked", F.lit(True))
+    graph = members.join(shared, place, "left_semi")
+    blocked = graph.filter("waiting").select(process).distinct().withColumn("blocked", F.lit(True))
+    return graph.join(blocked, process, "left").select(
+        *place, "pid", "waiting", F.coalesce("blocked", F.lit(False)).alias("blocked")
     )
-    graph = (
-        members.join(shared, ["dtcol", "object"], "left_semi")
-        .join(blocked, ["dtcol", "pid"], "left")
-        .select("dtcol", "object", "pid", "waiting", F.coalesce("blocked", F.lit(False)).alias("blocked"))
-    )
-    return materialize(graph, "lock-graph")
 
 
 def _roots(graph: DataFrame) -> DataFrame:
-    return graph.filter("not blocked").select("dtcol", "object", F.col("pid").alias("blocker"))
+    return graph.filter("not blocked").select(*keys_of(graph, "dtcol", "object"), F.col("pid").alias("blocker"))
 
 
 def _root_edges(graph: DataFrame) -> DataFrame:
+    place = keys_of(graph, "dtcol", "object")
     return (
         graph.filter("waiting")
-        .select("dtcol", "object", F.col("pid").alias("blocked"))
-        .join(_roots(graph), ["dtcol", "object"])
-        .select("dtcol", "blocked", "blocker")
+        .select(*place, F.col("pid").alias("blocked"))
+        .join(_roots(graph), place)
+        .select(*keys_of(graph, "dtcol"), "blocked", "blocker")
         .distinct()
     )
 
@@ -97,15 +96,16 @@ def descent_waits(graph: DataFrame) -> DataFrame:
     objects only processes that are nowhere directly under a root count, because a
     descent does not come back to those that are.
     """
-    roots = _roots(graph).select("dtcol", "object").distinct().withColumn("rooted", F.lit(True))
+    place, process = keys_of(graph, "dtcol", "object"), keys_of(graph, "dtcol", "pid")
+    roots = _roots(graph).select(place).distinct().withColumn("rooted", F.lit(True))
     waits = (
         graph.filter("waiting")
-        .select("dtcol", "object", "pid")
-        .join(roots, ["dtcol", "object"], "left")
+        .select(*place, "pid")
+        .join(roots, place, "left")
         .withColumn("rooted", F.coalesce("rooted", F.lit(False)))
     )
-    under_root = waits.filter("rooted").select("dtcol", "pid").distinct()
-    elsewhere = waits.filter("not rooted").join(under_root, ["dtcol", "pid"], "left_anti")
+    under_root = waits.filter("rooted").select(process).distinct()
+    elsewhere = waits.filter("not rooted").join(under_root, process, "left_anti")
     return waits.filter("rooted").unionByName(elsewhere)
 
 
@@ -117,30 +117,44 @@ def wait_edges(locks: DataFrame) -> DataFrame:
     waiter is blocked by holders and by other waiters, so the rows stand for all edges.
     """
     graph = lock_graph(locks)
-    sizes = graph.groupBy("dtcol", "object").agg(F.count("*").alias("processes"))
+    place = keys_of(graph, "dtcol", "object")
+    sizes = graph.groupBy(*place).agg(F.count("*").alias("processes"))
     blockers = F.when(F.col("waiting"), F.col("processes") - 1).otherwise(F.lit(0))
-    return graph.join(sizes, ["dtcol", "object"]).select(
-        "dtcol", "object.*", "pid", "waiting", "blocked", blockers.alias("blockers")
+    return graph.join(sizes, place).select(
+        *keys_of(graph, "dtcol"), "object.*", "pid", "waiting", "blocked", blockers.alias("blockers")
     )
 
 
 def blockers_of(locks: DataFrame, chosen: DataFrame) -> DataFrame:
     """Distinct (dtcol, blocked, blocker) edges of the chosen (dtcol, pid) processes."""
-    members = contended_locks(locks.join(chosen.select("dtcol").distinct(), "dtcol", "left_semi"))
+    when, place, process = (keys_of(locks, "dtcol", *more) for more in ((), ("object",), ("pid",)))
+    members = contended_locks(locks.join(chosen.select(when).distinct(), when, "left_semi"))
     return (
         members.filter("waiting")
-        .join(chosen.select("dtcol", "pid"), ["dtcol", "pid"], "left_semi")
-        .select("dtcol", "object", F.col("pid").alias("blocked"))
-        .join(members.select("dtcol", "object", F.col("pid").alias("blocker")), ["dtcol", "object"])
+        .join(chosen.select(process), process, "left_semi")
+        .select(*place, F.col("pid").alias("blocked"))
+        .join(members.select(*place, F.col("pid").alias("blocker")), place)
         .filter("blocked <> blocker")
-        .select("dtcol", "blocked", "blocker")
+        .select(*when, "blocked", "blocker")
         .distinct()
     )
 
 
 def root_edges(locks: DataFrame) -> DataFrame:
-    """The wait edges whose blocker is itself not blocked."""
-    return _root_edges(lock_graph(locks))
+    """The wait edges whose blocker is itself not blocked, one row per process on an object.
+
+    The object's columns, ``pid`` and ``root``: a root blocker of the object, or a process
+    that waits for it. Every waiter of an object is under every root on it, so the rows
+    stand for all edges; their number is waiters plus roots, not their product.
+    """
+    graph = lock_graph(locks)
+    place = keys_of(graph, "dtcol", "object")
+    rooted = _roots(graph).select(place).distinct()
+    return (
+        graph.filter("waiting or not blocked")
+        .join(rooted, place, "left_semi")
+        .select(*keys_of(graph, "dtcol"), "object.*", "pid", (~F.col("blocked")).alias("root"))
+    )
 
 
 def blocking_paths(locks: DataFrame, instants: list, depth: int = 2) -> DataFrame:
@@ -152,17 +166,18 @@ def blocking_paths(locks: DataFrame, instants: list, depth: int = 2) -> DataFram
     """
     locks = locks.filter(F.col("dtcol").isin(*[instant(value) for value in instants]))
     graph = lock_graph(locks)
+    when, place, process = (keys_of(graph, "dtcol", *more) for more in ((), ("object",), ("pid",)))
     steps = (
         descent_waits(graph)
         .filter("not rooted")
-        .select("dtcol", "object", F.col("pid").alias("next"))
-        .join(graph.select("dtcol", "object", "pid"), ["dtcol", "object"])
+        .select(*place, F.col("pid").alias("next"))
+        .join(graph.select(*place, "pid"), place)
         .filter("next <> pid")
-        .select("dtcol", "pid", "next")
+        .select(*process, "next")
         .distinct()
     )
     level = _root_edges(graph).select(
-        "dtcol",
+        *when,
         "blocked",
         "blocker",
         F.col("blocker").alias("top_blocker"),
@@ -175,9 +190,9 @@ def blocking_paths(locks: DataFrame, instants: list, depth: int = 2) -> DataFram
         level = (
             level.filter("not cycle")
             .withColumnRenamed("blocked", "pid")
-            .join(steps, ["dtcol", "pid"])
+            .join(steps, process)
             .select(
-                "dtcol",
+                *when,
                 F.col("next").alias("blocked"),
                 F.col("pid").alias("blocker"),
                 "top_blocker",
@@ -190,84 +205,96 @@ def blocking_paths(locks: DataFrame, instants: list, depth: int = 2) -> DataFram
     return chains
 
 
-def _descend(graph: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
-    """The waits to report, and (dtcol, object, top_blocker, level) above them.
+def _descend(locks: DataFrame, depth: int, folder: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The graph, the waits to report, and (dtcol, object, top_blocker, level) above them.
 
     A breadth-first walk from object to object: a process waiting for one object leads to
     the other objects it is on, if somebody waits there. It carries the top blockers of
     an object, not of each of its waiters, so a lock with very many waiters is one node.
-    Beyond the default depth each round is written to the shared folder with only what
-    is new in it: the plan stays short, and a lost executor costs at most one round.
+    A round moves every (object, top blocker) along the steps, or lets it stay, and keeps
+    the lowest level; so the plan grows by one join and one grouping a round.
+
+    The graph, the waits and the moves are used many times over. With ``folder``, a shared
+    folder that the caller deletes when the result is no longer read, each is written there
+    once; without, nothing runs here and Spark works them out again in each place.
     """
-    keys = ["dtcol", "object", "top_blocker"]
-    reached = _roots(graph).select("dtcol", "object", F.col("blocker").alias("top_blocker"), F.lit(1).alias("level"))
-    waits = descent_waits(graph)
+    graph = _cut(lock_graph(locks), folder, "graph")
+    place, process = keys_of(graph, "dtcol", "object"), keys_of(graph, "dtcol", "pid")
+    when = keys_of(graph, "dtcol")
+    reached = _roots(graph).select(*place, F.col("blocker").alias("top_blocker"), F.lit(1).alias("level"))
+    waits = _cut(descent_waits(graph), folder, "waits")
     if depth == 0:
-        return waits.filter("rooted"), reached
-    waits = materialize(waits, "waits")
-    targets = (
-        graph.select("dtcol", F.col("object").alias("next"), "pid")
-        .join(
-            waits.filter("not rooted").select("dtcol", F.col("object").alias("next")).distinct(),
-            ["dtcol", "next"],
-            "left_semi",
-        )
-    )
+        return graph, waits.filter("rooted"), reached
+    open_objects = waits.filter("not rooted").select(*when, F.col("object").alias("next")).distinct()
+    targets = graph.select(*when, F.col("object").alias("next"), "pid").join(open_objects, [*when, "next"], "left_semi")
     steps = (
-        waits.join(targets, ["dtcol", "pid"])
+        waits.join(targets, process)
         .filter(~F.col("object").eqNullSafe(F.col("next")))
-        .select("dtcol", "object", "next")
+        .select(*place, "next", F.lit(1).alias("more"))
         .distinct()
     )
-    deep = depth > 2
-    if deep:
-        steps, reached = materialize(steps, "steps"), materialize(reached, "reached")
-    frontier = reached
-    for number in range(2, depth + 2):
-        frontier = (
-            frontier.join(steps, ["dtcol", "object"])
-            .select("dtcol", F.col("next").alias("object"), "top_blocker")
-            .distinct()
+    stays = waits.select(*place, F.col("object").alias("next"), F.lit(0).alias("more")).distinct()
+    moves = _cut(steps.unionByName(stays), folder, "moves")
+    for _ in range(depth):
+        reached = (
+            reached.join(moves, place)
+            .select(*when, F.col("next").alias("object"), "top_blocker", (F.col("level") + F.col("more")).alias("level"))
+            .groupBy(*place, "top_blocker")
+            .agg(F.min("level").alias("level"))
         )
-        if deep:
-            frontier = frontier.join(reached, keys, "left_anti")
-        frontier = frontier.withColumn("level", F.lit(number))
-        if deep:
-            frontier = materialize(frontier, "frontier")
-            if frontier.isEmpty():
-                break
-        reached = reached.unionByName(frontier)
-    return waits, reached
-
-
-def blocking_chains(locks: DataFrame, depth: int = 2) -> DataFrame:
-    """(dtcol, blocked, top_blocker, level): each root blocker above a process, and how far.
-
-    Level 1 waits for the root itself; ``depth`` further levels follow. The level is that
-    of the shortest chain.
+    return graph, waits, reached
+
+
+def blocking_chains(locks: DataFrame, depth: int = 2, folder: str | None = None) -> DataFrame:
+    """Chains of blocking in factored form: one row per process over or at an object.
+
+    The object's columns, ``pid`` and ``level``. A row with a level is a root blocker above
+    the object: level 1 waits for it directly, ``depth`` further levels follow, and the
+    level is that of the shortest chain. A row without is a process that waits for the
+    object; it is under all root blockers of the object's other rows, so no pair of
+    processes is formed. :func:`chains_of` lists pairs for chosen processes.
     """
-    waits, reached = _descend(lock_graph(locks), depth)
+    graph, waits, reached = _descend(locks, depth, folder)
+    place = keys_of(graph, "dtcol", "object")
+    reached = _cut(reached, folder, "reached")
+    waiting = waits.join(reached.select(place).distinct(), place, "left_semi").select(
+        *place, "pid", F.lit(None).cast("int").alias("level")
+    )
+    above = reached.join(waits.select(place).distinct(), place, "left_semi")
+    rows = waiting.unionByName(above.withColumnRenamed("top_blocker", "pid"))
+    return rows.select(*keys_of(graph, "dtcol"), "object.*", "pid", "level")
+
+
+def chains_of(locks: DataFrame, chosen: DataFrame, depth: int = 2, folder: str | None = None) -> DataFrame:
+    """(dtcol, blocked, top_blocker, level) of the chosen (dtcol, pid) processes, by the shortest chain."""
+    graph, waits, reached = _descend(locks, depth, folder)
+    when, place, process = (keys_of(graph, "dtcol", *more) for more in ((), ("object",), ("pid",)))
     return (
-        waits.join(reached, ["dtcol", "object"])
-        .groupBy("dtcol", F.col("pid").alias("blocked"), "top_blocker")
+        waits.join(chosen.select(process), process, "left_semi")
+        .join(reached, place)
+        .groupBy(*when, F.col("pid").alias("blocked"), "top_blocker")
         .agg(F.min("level").alias("level"))
     )
 
 
-def final_blockers(locks: DataFrame, depth: int = 2, blocked_in: DataFrame | None = None) -> DataFrame:
+def final_blockers(
+    locks: DataFrame, depth: int = 2, blocked_in: DataFrame | None = None, folder: str | None = None
+) -> DataFrame:
     """Per (dtcol, blocked): the sorted root blockers above it. No root, no row.
 
     ``blocked_in`` (dtcol, pid) restricts the blocked processes reported. The blockers
-    are gathered once per object and then handed to its waiters.
+    are gathered once per object and then handed to its waiters; a history row holds them
+    as an array, so their number per process is that of the root blockers above it.
     """
-    waits, reached = _descend(lock_graph(locks), depth)
+    graph, waits, reached = _descend(locks, depth, folder)
+    when, place, process = (keys_of(graph, "dtcol", *more) for more in ((), ("object",), ("pid",)))
     if blocked_in is not None:
-        waits = waits.join(blocked_in.select("dtcol", "pid"), ["dtcol", "pid"], "left_semi")
-    above = reached.groupBy("dtcol", "object").agg(F.collect_set("top_blocker").alias("top_blockers"))
+        waits = waits.join(blocked_in.select(process), process, "left_semi")
+    above = reached.groupBy(*place).agg(F.collect_set("top_blocker").alias("top_blockers"))
     return (
-        waits.join(above, ["dtcol", "object"])
-        .groupBy("dtcol", F.col("pid").alias("blocked"))
-        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("top_blockers")))).alias("final_blockers"))
+        waits.join(above, place)
+        .groupBy(*when, F.col("pid").alias("blocked"))
+        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("top_blockers")))).alias("final_blockers"))
     )
 
 
@@ -277,18 +304,21 @@ def blocking_sessions(sessions: DataFrame, locks: DataFrame, own_pid: int | None
     Only the lowest and highest waiting pid per object are needed to know whether
     somebody else waits, so no holder-waiter pairs are formed.
     """
-    known = locks.filter(F.col("locktype").isNotNull() & F.col("pid").isNotNull()).select(
-        "dtcol", lock_object().alias("object"), "pid", "granted"
+    place, process = keys_of(locks, "dtcol", "object"), keys_of(locks, "dtcol", "pid")
+    known = (
+        locks.filter(F.col("locktype").isNotNull() & F.col("pid").isNotNull())
+        .withColumn("object", lock_object())
+        .select(*place, "pid", "granted")
     )
     waiting = (
         known.filter("not granted")
-        .groupBy("dtcol", "object")
+        .groupBy(*place)
         .agg(F.min("pid").alias("low"), F.max("pid").alias("high"))
     )
-    holders = known.filter("granted").join(waiting, ["dtcol", "object"]).filter("pid <> low or pid <> high")
+    holders = known.filter("granted").join(waiting, place).filter("pid <> low or pid <> high")
     if own_pid is not None:
         holders = holders.filter(F.col("pid") != own_pid)
-    return sessions.join(holders.select("dtcol", "pid").distinct(), ["dtcol", "pid"], "left_semi")
+    return sessions.join(holders.select(process).distinct(), process, "left_semi")
 
 
 def blocking_prepared(locks: DataFrame, prepared: DataFrame) -> DataFrame:
@@ -296,23 +326,23 @@ def blocking_prepared(locks: DataFrame, prepared: DataFrame) -> DataFrame:
 
     A prepared transaction's granted locks have no pid. The wait is matched without
     ``transactionid``; the holder's virtual transaction then gives its transaction id.
+    ``prepared`` with ``dtcol`` is a series of snapshots, matched instant by instant.
     """
     identity = [name for name in LOCK_IDENTITY if name != "transactionid"]
-    rows = locks.filter(F.col("locktype").isNotNull()).select(
-        "dtcol", lock_object(identity).alias("object"), "virtualtransaction", "pid", "granted"
-    )
-    waiting = rows.filter("not granted").select("dtcol", "object").distinct()
-    blockers = (
-        rows.filter("granted and pid is null")
-        .join(waiting, ["dtcol", "object"], "left_semi")
-        .select("dtcol", "virtualtransaction")
-        .distinct()
+    place, virtual = keys_of(locks, "dtcol", "object"), keys_of(locks, "dtcol", "virtualtransaction")
+    rows = (
+        locks.filter(F.col("locktype").isNotNull())
+        .withColumn("object", lock_object(identity))
+        .select(*place, "virtualtransaction", "pid", "granted")
     )
+    waiting = rows.filter("not granted").select(place).distinct()
+    blockers = rows.filter("granted and pid is null").join(waiting, place, "left_semi").select(virtual).distinct()
     transactions = (
         locks.filter("transactionid is not null")
-        .select("dtcol", "virtualtransaction", F.col("transactionid").alias("transaction_id"))
-        .join(blockers, ["dtcol", "virtualtransaction"], "left_semi")
-        .select("dtcol", "transaction_id")
+        .select(*virtual, F.col("transactionid").alias("transaction_id"))
+        .join(blockers, virtual, "left_semi")
+        .select(*keys_of(locks, "dtcol"), "transaction_id")
         .distinct()
     )
-    return transactions.join(prepared, "transaction_id")
+    common = [name for name in keys_of(locks, "dtcol", "transaction_id") if name in prepared.columns]
+    return transactions.join(prepared, common)

@@ -13,11 +13,7 @@ from sessionscope.functions.scalars import (
     size_pretty,
 )
 from sessionscope.operators.filters import DEFAULT_REPORT_FILTER, report_filter
-from sessionscope.schema import is_heartbeat, is_host_row, is_process, is_session
-from sessionscope.session import materialize
-
-# A top-n result this short is sent to every task; a longer one is joined by shuffle.
-BROADCAST_ROWS = 10_000
+from sessionscope.schema import is_heartbeat, is_host_row, is_process, is_session, keys_of
 
 
 def report_bounds(samples: DataFrame) -> DataFrame:
@@ -31,25 +27,47 @@ def report_host(cluster_information: DataFrame) -> DataFrame:
     return cluster_information.agg(F.min_by("cluster_hostname", "dtcol").alias("host"))
 
 
-def db_time(samples: DataFrame, predicate: str | Column = DEFAULT_REPORT_FILTER) -> DataFrame:
-    """Elapsed seconds, seconds spent in sessions, and average active sessions.
-
-    Each sample stands for an equal share of the elapsed time, counted by heartbeats.
-    One pass with conditional counts; null where no time elapsed.
-    """
+def _load(samples: DataFrame, predicate: str | Column) -> list[Column]:
+    """Aggregates: elapsed seconds between heartbeats, session rows, heartbeats."""
     chosen = F.expr(predicate) if isinstance(predicate, str) else predicate
     beat = F.when(is_heartbeat(), F.unix_micros("dtcol"))
-    totals = samples.agg(
+    return [
         ((F.max(beat) - F.min(beat)) / 1_000_000).alias("elapsed"),
         F.count_if(is_session() & chosen).alias("sessions"),
         F.count_if(is_heartbeat()).alias("samples"),
-    )
+    ]
+
+
+def _load_shown() -> list[Column]:
     spent = F.try_divide(F.col("elapsed") * F.col("sessions"), F.col("samples"))
-    return totals.select(
+    return [
         round_half_away(F.col("elapsed")).alias("elapsed"),
         round_half_away(spent).alias("db_time"),
         round_half_away(F.try_divide(spent, F.col("elapsed"))).alias("average_active_sessions"),
+    ]
+
+
+def db_time(samples: DataFrame, predicate: str | Column = DEFAULT_REPORT_FILTER) -> DataFrame:
+    """Elapsed seconds, seconds spent in sessions, and average active sessions.
+
+    Each sample stands for an equal share of the elapsed time, counted by heartbeats.
+    One pass with conditional counts; null where no time elapsed. One row per cluster where
+    the samples are of several.
+    """
+    totals = samples.groupBy(*keys_of(samples)).agg(*_load(samples, predicate))
+    return totals.select(*keys_of(samples), *_load_shown())
+
+
+def activity(samples: DataFrame, predicate: str | Column = DEFAULT_REPORT_FILTER) -> DataFrame:
+    """Bounds, DB time and mean host CPU in one pass; one row per cluster."""
+    shown = lambda instant: F.date_format(instant, "dd/MM/yyyy HH:mm:ss")
+    totals = samples.groupBy(*keys_of(samples)).agg(
+        shown(F.min("dtcol")).alias("first_sample"),
+        shown(F.max("dtcol")).alias("last_sample"),
+        *_load(samples, predicate),
+        round_half_even(F.avg(F.when(is_host_row(), F.col("pourcentage_cpu")))).alias("host_cpu"),
     )
+    return totals.select(*keys_of(samples), "first_sample", "last_sample", *_load_shown(), "host_cpu")
 
 
 def host_cpu_avg(samples: DataFrame) -> DataFrame:
@@ -70,21 +88,15 @@ def top_events(samples: DataFrame, n: int = 5, predicate: str | Column = DEFAULT
 def session_measures(samples: DataFrame, *key_sets: list[str]) -> DataFrame:
     """Counts, distinct executions, mean CPU and peak memory per group of each set of keys.
 
-    The peak of a group is the largest sum over the rows of one instant. One scan feeds
-    the per-instant sums and the distinct executions of every key set, as grouping sets:
-    rows are first added up per (keys, instant) and per (keys, execution), which spreads
-    even a group with a third of all rows over many tasks, then per keys. ``choice`` is
-    the position of the key set; key columns of different sets must have different names.
+    The peak of a group is the largest sum over the rows of one instant (of one cluster).
+    Rows are first added up per (keys, instant, execution), in one shuffle; these sums are
+    rolled up per (keys, instant) and per (keys, execution), which spreads even a group
+    with a third of all rows over many tasks, then per keys. ``choice`` is the position of
+    the key set; key columns of different sets must have different names.
     """
     every_key = [name for keys in key_sets for name in keys]
-    sets = [[*keys, part] for keys in key_sets for part in ("dtcol", "query_start")]
-    choice = F.coalesce(*[F.when(F.grouping(keys[0]) == 0, F.lit(number)) for number, keys in enumerate(key_sets)])
-    parts = samples.groupingSets(
-        [[F.col(name) for name in names] for names in sets],
-        *[F.col(name) for name in [*every_key, "dtcol", "query_start"]],
-    ).agg(
-        choice.alias("choice"),
-        F.grouping("dtcol").alias("by_execution"),
+    instant = keys_of(samples, "dtcol")
+    sums = samples.groupBy(*every_key, *instant, "query_start").agg(
         F.count("*").alias("rows"),
         F.count_if(F.col("leader_pid").isNull()).alias("leaderless"),
         F.sum("pourcentage_cpu").alias("cpu"),
@@ -92,6 +104,16 @@ def session_measures(samples: DataFrame, *key_sets: list[str]) -> DataFrame:
         F.sum("mem").alias("mem"),
         F.sum("swapped").alias("swapped"),
     )
+    sets = [[*keys, *part] for keys in key_sets for part in (instant, ["query_start"])]
+    choice = F.coalesce(*[F.when(F.grouping(keys[0]) == 0, F.lit(number)) for number, keys in enumerate(key_sets)])
+    parts = sums.groupingSets(
+        [[F.col(name) for name in names] for names in sets],
+        *[F.col(name) for name in [*every_key, *instant, "query_start"]],
+    ).agg(
+        choice.alias("choice"),
+        F.grouping("dtcol").alias("by_execution"),
+        *[F.sum(name).alias(name) for name in ("rows", "leaderless", "cpu", "cpu_rows", "mem", "swapped")],
+    )
     by_instant = F.col("by_execution") == 0
     by_execution = F.col("by_execution") == 1
     return (
@@ -116,9 +138,9 @@ def non_cpu_pct(cpu: Column) -> Column:
 
 
 def peak_sum(samples: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Per group: the largest per-instant sum of ``value``."""
+    """Per group: the largest per-instant sum of ``value``; instants of different clusters are different."""
     return (
-        samples.groupBy(*by, "dtcol")
+        samples.groupBy(*by, *[name for name in keys_of(samples, "dtcol") if name not in by])
         .agg(F.sum(value).alias("total"))
         .groupBy(*by)
         .agg(F.max("total").alias(f"peak_{value}"))
@@ -149,7 +171,7 @@ def top_queries(samples: DataFrame, n: int = 5, predicate: str | Column = DEFAUL
         F.coalesce("tquery", "query").alias("query"),
         "application_name",
         "leader_pid",
-        "dtcol",
+        *keys_of(samples, "dtcol"),
         "query_start",
         "pourcentage_cpu",
         "mem",
@@ -158,8 +180,6 @@ def top_queries(samples: DataFrame, n: int = 5, predicate: str | Column = DEFAUL
     order = [F.desc("detections"), *[F.asc_nulls_first(name) for name in QUERY_KEYS]]
     top = rows.groupBy(*QUERY_KEYS).agg(F.count("*").alias("detections")).orderBy(*order).limit(n)
     top = top.select(*[F.col(name).alias(f"top_{name}") for name in QUERY_KEYS])
-    if n <= BROADCAST_ROWS:
-        top = F.broadcast(top)
     match = [F.col(name).eqNullSafe(F.col(f"top_{name}")) for name in QUERY_KEYS]
     measures = session_measures(rows.join(top, match, "left_semi"), QUERY_KEYS)
     return measures.select(
@@ -175,6 +195,7 @@ def top_queries(samples: DataFrame, n: int = 5, predicate: str | Column = DEFAUL
 
 def session_columns() -> list[Column]:
     """The default columns of the interactive ranking."""
+    # Which columns, under which names
     return [
         F.col("datname").alias("db"),
         F.col("pid"),
@@ -205,13 +226,16 @@ def _keyed(samples: DataFrame, choices: list) -> tuple[DataFrame, list[list[str]
         names.append(wider.columns[len(rows.columns):])
         rows = wider.toDF(*rows.columns, *_keys(number, names[-1]))
     keys = [key for number, shown in enumerate(names) for key in _keys(number, shown)]
-    return rows.select(*MEASURED, *keys), names
+    return rows.select(*keys_of(rows), *MEASURED, *keys), names
 
 
-def _ranking(measures: DataFrame, number: int, names: list[str], iterations: int) -> DataFrame:
+def _ranking(measures: DataFrame, number: int, names: list[str], iterations: int | DataFrame, *more: str) -> DataFrame:
+    # The names of the measures, as the ranking shows them
+    samples = iterations.scalar().cast("double") if isinstance(iterations, DataFrame) else F.lit(float(iterations))
     return measures.select(
-        round_half_even(F.col("detections").cast("double") / F.lit(float(iterations)) * 100).alias("busy_pc"),
+        round_half_even(F.col("detections").cast("double") / samples * 100).alias("busy_pc"),
         F.concat_ws(" / ", "distinct_executions", "executions").alias("distinct_exe"),
+        *more,
         *[F.col(f"key{number}_{place}").alias(name) for place, name in enumerate(names)],
         non_cpu_pct(F.try_divide("cpu", "cpu_rows")).alias("non_cpu_pc"),
         size_pretty(F.col("peak_mem")).alias("mem"),
@@ -219,12 +243,12 @@ def _ranking(measures: DataFrame, number: int, names: list[str], iterations: int
     ).orderBy(F.desc("busy_pc"))
 
 
-def busy_by(samples: DataFrame, columns, iterations: int) -> DataFrame:
+def busy_by(samples: DataFrame, columns, iterations: int | DataFrame) -> DataFrame:
     """Busy percentage and measures of session rows grouped by the user's columns.
 
     ``columns`` is SQL text such as ``"datname AS db, substring(query, 1, 10) AS q"`` or
     a list of Columns. ``iterations`` is the number of samples taken, so 100 means one
-    session busy all the time.
+    session busy all the time; it may be the one-row result of ``effective_iterations``.
     """
     rows, (names,) = _keyed(samples, [columns])
     return _ranking(session_measures(rows, _keys(0, names)), 0, names, iterations)
@@ -234,26 +258,37 @@ def _keys(number: int, names: list[str]) -> list[str]:
     return [f"key{number}_{place}" for place in range(len(names))]
 
 
-def busy_sessions(samples: DataFrame, iterations: int) -> DataFrame:
+def busy_sessions(samples: DataFrame, iterations: int | DataFrame) -> DataFrame:
     """The default ranking: by database, process, user, client, application, query, wait, blockers."""
     return busy_by(samples, session_columns(), iterations)
 
 
-def busy_total(samples: DataFrame, iterations: int) -> DataFrame:
+def busy_total(samples: DataFrame, iterations: int | DataFrame) -> DataFrame:
     """One row: how busy the whole server was. No samples, no row."""
     return busy_by(samples, "", iterations).drop("everything")
 
 
-def busy_multi(samples: DataFrame, choices: list, iterations: int) -> list[DataFrame]:
-    """One ranking per choice of columns, from a single pass over the samples.
+def busy_multi(samples: DataFrame, choices: list, iterations: int | DataFrame) -> list[DataFrame]:
+    """One ranking per choice of columns.
+
+    Each reads its own columns of the samples. :func:`busy_ranked` gives all of them as one
+    table, from a single pass.
+    """
+    return [busy_by(samples, columns, iterations) for columns in choices]
+
+
+def busy_ranked(samples: DataFrame, choices: list, iterations: int | DataFrame) -> DataFrame:
+    """All rankings as one table, from one pass: ``choice`` (from 0), ``label`` and the measures.
 
-    The measures of all choices are written to the shared folder once; the rankings read
-    their part of them.
+    ``label`` holds the key columns as one struct of texts, since choices differ in columns.
     """
     rows, names = _keyed(samples, choices)
     measures = session_measures(rows, *[_keys(number, shown) for number, shown in enumerate(names)])
-    measures = materialize(measures, "rankings")
-    return [
-        _ranking(measures.filter(F.col("choice") == number), number, shown, iterations)
+    label = F.coalesce(*[
+        F.when(
+            F.col("choice") == number,
+            F.concat_ws(" | ", *[F.coalesce(F.col(key).cast("string"), F.lit("")) for key in _keys(number, shown)]),
+        )
         for number, shown in enumerate(names)
-    ]
+    ])
+    return _ranking(measures.withColumn("label", label), 0, [], iterations, "choice", "label")

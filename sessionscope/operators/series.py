@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionscope.functions.scalars import memory_setting, size_pretty
-from sessionscope.schema import CLUSTER_INFORMATION
+from sessionscope.schema import CLUSTER_INFORMATION, is_heartbeat, keys_of
 
 
 def number_instants(samples: DataFrame) -> DataFrame:
     """(dtcol, i, last): the 1-based position of every sample instant, and the last position."""
-    return _number(samples.select("dtcol").distinct())
+    return _number(samples.select(*keys_of(samples, "dtcol")).distinct())
 
 
 def _number(instants: DataFrame) -> DataFrame:
@@ -22,19 +22,21 @@ def _number(instants: DataFrame) -> DataFrame:
     Rows are numbered inside each hour, in parallel; only the counts per hour, one row
     per hour of history, are added up in order.
     """
+    cluster, hour = keys_of(instants), keys_of(instants, "hour")
     instants = instants.withColumn("hour", F.date_trunc("hour", "dtcol"))
-    hours = instants.groupBy("hour").agg(F.count("*").alias("instants"))
-    before = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    hours = instants.groupBy(*hour).agg(F.count("*").alias("instants"))
+    line = Window.partitionBy(*cluster).orderBy("hour")
+    before = line.rowsBetween(Window.unboundedPreceding, -1)
+    everything = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = hours.select(
-        "hour",
+        *hour,
         F.coalesce(F.sum("instants").over(before), F.lit(0)).alias("before"),
         F.sum("instants").over(everything).alias("last"),
     )
-    inside = F.row_number().over(Window.partitionBy("hour").orderBy("dtcol"))
+    inside = F.row_number().over(Window.partitionBy(*hour).orderBy("dtcol"))
     return (
         instants.withColumn("i", inside)
-        .join(offsets, "hour")
+        .join(offsets, hour)
         .withColumn("i", F.col("before") + F.col("i"))
         .drop("hour", "before")
     )
@@ -49,7 +51,8 @@ def thin_instants(samples: DataFrame, every: int | None) -> DataFrame:
 
 
 def thin_snapshots(samples: DataFrame, every: int | None) -> DataFrame:
-    return samples.join(thin_instants(samples, every).select("dtcol"), "dtcol", "left_semi")
+    keys = keys_of(samples, "dtcol")
+    return samples.join(thin_instants(samples, every).select(keys), keys, "left_semi")
 
 
 def planned_instants(spark: SparkSession, start: dt.datetime, count: int, interval_seconds: int) -> DataFrame:
@@ -59,13 +62,22 @@ def planned_instants(spark: SparkSession, start: dt.datetime, count: int, interv
     return spark.range(count).select(at.alias("dtcol"), (F.col("id") + 1).alias("i"))
 
 
-def stop_instant(samples: DataFrame, planned: DataFrame, streak: int) -> DataFrame:
+def heartbeat_instants(samples: DataFrame) -> DataFrame:
+    """(dtcol, i): the samples taken, by their heartbeats, with positions from 1.
+
+    Real instants jitter, so a sample is known by its heartbeat, not by its place on a grid.
+    """
+    return number_instants(samples.filter(is_heartbeat())).select("dtcol", "i")
+
+
+def stop_instant(samples: DataFrame, planned: DataFrame | None, streak: int) -> DataFrame:
     """One row, ``end_at``: where the first run of ``streak`` empty samples ends; null if never.
 
     An empty sample has no session row. Positions of empty samples minus their order
     number are constant within a run, so runs are plain groups. ``planned`` is
-    (dtcol, i) as :func:`planned_instants` makes it.
+    (dtcol, i) as :func:`planned_instants` makes it; without it the heartbeats count.
     """
+    planned = heartbeat_instants(samples) if planned is None else planned
     present = samples.filter("pid is not null").select("dtcol").distinct()
     empty = planned.withColumnRenamed("i", "position").join(present, "dtcol", "left_anti")
     runs = (
@@ -77,7 +89,7 @@ def stop_instant(samples: DataFrame, planned: DataFrame, streak: int) -> DataFra
     return planned.filter(F.col("i") == stop.scalar()).agg(F.max("dtcol").alias("end_at"))
 
 
-def stop_after_empty(samples: DataFrame, planned: DataFrame, streak: int) -> DataFrame:
+def stop_after_empty(samples: DataFrame, planned: DataFrame | None, streak: int) -> DataFrame:
     """The samples taken when collection stops after ``streak`` empty samples in a row."""
     end = stop_instant(samples, planned, streak).scalar()
     return samples.filter(end.isNull() | (F.col("dtcol") <= end))
@@ -92,8 +104,9 @@ def planned_iterations(duration: int, interval: int, batch: bool) -> int:
     return 1000 * duration if interval == 0 else 100 * duration // interval
 
 
-def effective_iterations(samples: DataFrame, planned: DataFrame, streak: int | None = None) -> DataFrame:
+def effective_iterations(samples: DataFrame, planned: DataFrame | None, streak: int | None = None) -> DataFrame:
     """One row: the planned number of samples, or the number taken if collection stopped early."""
+    planned = heartbeat_instants(samples) if planned is None else planned
     if streak is None:
         return planned.agg(F.count("*").alias("iterations"))
     return stop_after_empty_instants(samples, planned, streak).agg(F.count("*").alias("iterations"))
@@ -118,9 +131,18 @@ def database_list(sizes: DataFrame) -> DataFrame:
     )
 
 
-def _setting(settings: DataFrame, name: str, value: Column) -> Column:
-    """A setting's value as a scalar: names are unique."""
-    return settings.filter(F.col("name") == name).agg(F.max(value)).scalar()
+def _settings(settings: DataFrame) -> DataFrame:
+    """The settings of the inventory as one row, or one per instant where they are dated."""
+    buffers = size_pretty(memory_setting(F.col("unit"), F.col("setting")))
+    shown = {
+        "cluster_port": ("port", F.col("setting")),
+        "cluster_archive_mode": ("archive_mode", F.upper("setting")),
+        "cluster_shared_buffers": ("shared_buffers", buffers),
+    }
+    when = ["dtcol"] if "dtcol" in settings.columns else []
+    return settings.filter(F.col("name").isin([name for name, _ in shown.values()])).groupBy(*when).agg(
+        *[F.max(F.when(F.col("name") == name, value)).alias(column) for column, (name, value) in shown.items()]
+    )
 
 
 def cluster_info(
@@ -130,19 +152,16 @@ def cluster_info(
 
     ``sizes`` (dtcol, datname, size_bytes, is_template), ``host`` (dtcol,
     cluster_hostname, cluster_os_family, cluster_postgres_version, cluster_processes),
-    ``settings`` (name, setting, unit).
+    ``settings`` (name, setting, unit), with ``dtcol`` where they may change.
     """
-    buffers = size_pretty(memory_setting(F.col("unit"), F.col("setting")))
+    values = _settings(settings)
+    rows = database_list(thin_snapshots(sizes, every)).join(host, "dtcol", "left")
+    if "dtcol" in values.columns:
+        rows = rows.join(values, "dtcol", "left")
+    else:
+        only = values.select(F.struct("*").alias("only")).scalar()
+        rows = rows.withColumns({name: only[name] for name in values.columns})
     return (
-        database_list(thin_snapshots(sizes, every))
-        .join(host, "dtcol", "left")
-        .withColumns(
-            {
-                "cluster_port": _setting(settings, "port", F.col("setting")),
-                "cluster_archive_mode": _setting(settings, "archive_mode", F.upper("setting")),
-                "cluster_shared_buffers": _setting(settings, "shared_buffers", buffers),
-                "cluster_comment": F.lit(comment).cast("string"),
-            }
-        )
+        rows.withColumn("cluster_comment", F.lit(comment).cast("string"))
         .select(*[F.col(field.name).cast(field.dataType) for field in CLUSTER_INFORMATION])
     )

@@ -2,40 +2,43 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionscope.operators import counters, report
 from sessionscope.operators.filters import DEFAULT_REPORT_FILTER, window_scan
 
+REPORT_SPAN = dt.timedelta(minutes=15)
+
 
 def build_report(
     samples: DataFrame,
     cluster_information: DataFrame,
     host_counters: DataFrame,
     io_stats: DataFrame,
-    start,
-    end,
+    start=None,
+    end=None,
     n: int = 5,
     predicate: str | Column = DEFAULT_REPORT_FILTER,
 ) -> dict[str, DataFrame]:
-    """Every section, each reading only its own columns of the window.
+    """Every section, each reading only its own columns of the window: without bounds, the last 15 minutes.
 
+    What needs one pass is one section: ``activity`` is bounds, DB time and host CPU,
+    ``host_counters`` CPU time, memory and swap.
     ``samples`` is the enriched history. Where it is a costly derivation instead of a
     stored table, persist it first; nothing is cached here.
     """
+    end = end or dt.datetime.now(dt.timezone.utc)
+    start = start or (end if isinstance(end, dt.datetime) else dt.datetime.fromisoformat(end)) - REPORT_SPAN
     samples, cluster_information, host_counters, io_stats = (
         window_scan(table, start, end) for table in (samples, cluster_information, host_counters, io_stats)
     )
     return {
         "host": report.report_host(cluster_information),
-        "bounds": report.report_bounds(samples),
-        "db_time": report.db_time(samples, predicate),
-        "host_cpu": report.host_cpu_avg(samples),
-        "cpu_time": counters.cpu_time_delta(host_counters, cluster_information),
-        "memory": counters.memory_stats(host_counters),
-        "swap": counters.swap_stats(host_counters),
-        "swapped": counters.swapped_bytes(host_counters),
+        "activity": report.activity(samples, predicate),
+        "host_counters": counters.host_summary(host_counters, cluster_information),
         "io_latency": counters.io_latency(io_stats),
         "top_events": report.top_events(samples, n, predicate),
         "top_queries": report.top_queries(samples, n, predicate),
@@ -50,15 +53,11 @@ def build_interactive_report(
     choices: list,
     iterations: int,
 ) -> dict[str, DataFrame]:
-    """One ranking per choice of columns, then the host and I/O sections, over one collection."""
-    rankings = report.busy_multi(samples, choices, iterations)
+    """The rankings by each choice of columns, then the host and I/O sections, over one collection."""
     return {
-        **{f"ranking_{number}": ranking for number, ranking in enumerate(rankings, start=1)},
+        "rankings": report.busy_ranked(samples, choices, iterations),
         "host_cpu": report.host_cpu_avg(samples),
-        "cpu_time": counters.cpu_time_delta(host_counters, cluster_information),
-        "memory": counters.memory_stats(host_counters).select("max_pct"),
-        "swap": counters.swap_stats(host_counters).select("max_pct"),
-        "swapped": counters.swapped_bytes(host_counters),
+        "host_counters": counters.host_summary(host_counters, cluster_information),
         "io_latency": counters.io_latency(io_stats),
     }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,16 +30,7 @@ CLUSTER_INFORMATION = T.StructType([
     T.StructField("cluster_comment", T.StringType()),
 ])
 
-# Hand-kept notes on the machine.
-CLUSTER_BENCH = T.StructType([
-    T.StructField("dtcol", T.TimestampType()),
-    T.StructField("cluster_bench_cpu_ram", T.StringType()),
-    T.StructField("cluster_bench_io", T.StringType()),
-    T.StructField("cluster_bench_global_power", T.StringType()),
-    T.StructField("cluster_bench_comment", T.StringType()),
-])
-
-# Columns the enrichment adds to an activity sample, in storage order.
+# Columns the enrichment adds to an activity sample, in storage order.
 DERIVED_COLUMNS = T.StructType([
     T.StructField("iquery", T.LongType()),
     T.StructField("tquery", T.StringType()),
@@ -53,6 +44,11 @@ DERIVED_COLUMNS = T.StructType([
 ])
 
 
+def keys_of(rows: DataFrame, *names: str) -> list[str]:
+    """Key columns: the cluster, where the rows are of several, and then the names."""
+    return [*(["cluster"] if "cluster" in rows.columns else []), *names]
+
+
 def is_heartbeat() -> Column:
     """The one row per sample that stands for the host, not for a session."""
     return F.col("datid").isNull() & F.col("pid").isNull()

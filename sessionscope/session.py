@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -15,8 +14,6 @@ RUNTIME_OPTIONS = {
     # a hot lock object or group key is split even when that costs one more shuffle
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
-    # no sorting for a join whose every partition, measured after the shuffle, is this small
-    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
 }
 
 
@@ -27,23 +24,17 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-# applicationId -> folder of a local-mode session that names none
-_LOCAL_FOLDERS: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a local-mode session without that setting gets a folder of its own.
+    A session in one process that names none uses its warehouse folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        context = spark.sparkContext
-        if not context.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        if context.applicationId not in _LOCAL_FOLDERS:
-            _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="sessionscope-")
-        folder = _LOCAL_FOLDERS[context.applicationId]
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_working"
     return folder.rstrip("/")
 
 

@@ -52,17 +52,32 @@ FROM {events} GROUP BY 1
 """)
 
 _define("lock_snapshots", "lineitem", """
-SELECT CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS dtcol, 'relation' AS locktype,
-       CASE WHEN l_linenumber % 2 = 0 THEN CAST(NULL AS BIGINT)
-            WHEN l_linestatus = 'O' THEN CAST(1 AS BIGINT) ELSE CAST(2 AS BIGINT) END AS database,
-       CAST(floor(l_partkey / 150) AS BIGINT) AS relation,
-       CAST(NULL AS BIGINT) AS page, CAST(NULL AS BIGINT) AS tuple, CAST(NULL AS STRING) AS virtualxid,
-       CASE WHEN l_suppkey % 10 = 0 THEN l_orderkey END AS transactionid,
-       CAST(NULL AS BIGINT) AS classid, CAST(NULL AS BIGINT) AS objid, CAST(NULL AS BIGINT) AS objsubid,
-       concat('3/', CAST(l_suppkey AS STRING)) AS virtualtransaction,
-       CASE WHEN l_suppkey % 10 = 0 THEN CAST(NULL AS BIGINT) ELSE CAST(floor(l_suppkey / 3) AS BIGINT) END AS pid,
-       l_linenumber < 3 AS granted
-FROM {lineitem}
+SELECT dtcol, locktype,
+       CASE WHEN locktype IN ('relation', 'page', 'tuple') THEN database END AS database,
+       CASE WHEN locktype IN ('relation', 'page', 'tuple') THEN parts END AS relation,
+       CASE WHEN locktype IN ('page', 'tuple') THEN parts % 3 END AS page,
+       CASE WHEN locktype = 'tuple' THEN parts % 2 END AS tuple,
+       CASE WHEN locktype = 'virtualxid' THEN concat('9/', CAST(parts AS STRING)) END AS virtualxid,
+       CASE WHEN locktype = 'transactionid' THEN 700000000 + parts END AS transactionid,
+       CASE WHEN locktype = 'object' THEN CAST(1259 AS BIGINT) END AS classid,
+       CASE WHEN locktype = 'object' THEN parts END AS objid,
+       CASE WHEN locktype = 'object' THEN CAST(0 AS BIGINT) END AS objsubid,
+       virtualtransaction, pid, granted
+FROM (SELECT CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS dtcol,
+             CASE l_partkey % 12 WHEN 0 THEN 'page' WHEN 1 THEN 'tuple' WHEN 2 THEN 'virtualxid'
+                  WHEN 3 THEN 'transactionid' WHEN 4 THEN 'object' ELSE 'relation' END AS locktype,
+             CASE WHEN l_linenumber % 2 = 0 THEN CAST(NULL AS BIGINT)
+                  WHEN l_linestatus = 'O' THEN CAST(1 AS BIGINT) ELSE CAST(2 AS BIGINT) END AS database,
+             CAST(floor(l_partkey / 150) AS BIGINT) AS parts,
+             concat('3/', CAST(l_suppkey AS STRING)) AS virtualtransaction,
+             CASE WHEN l_suppkey % 10 = 0 THEN CAST(NULL AS BIGINT) ELSE CAST(floor(l_suppkey / 3) AS BIGINT) END AS pid,
+             l_linenumber < 3 AS granted
+      FROM {lineitem}) l
+UNION ALL
+SELECT CAST(date_trunc('day', l_shipdate) AS TIMESTAMP), 'transactionid', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT),
+       CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS STRING), l_orderkey, CAST(NULL AS BIGINT),
+       CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), concat('3/', CAST(l_suppkey AS STRING)), CAST(NULL AS BIGINT), true
+FROM {lineitem} WHERE l_suppkey % 10 = 0
 """)
 
 _define("session_locks", "events", """
@@ -92,6 +107,13 @@ SELECT DISTINCT o_orderkey AS transaction_id, concat('gid-', CAST(o_orderkey AS
 FROM {orders}
 """)
 
+_define("prepared_snapshots", "lineitem", """
+SELECT DISTINCT CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS dtcol, l_orderkey AS transaction_id,
+       concat('gid-', CAST(l_orderkey AS STRING)) AS gid,
+       CASE WHEN l_linestatus = 'O' THEN 'u1' ELSE 'u2' END AS owner
+FROM {lineitem} WHERE l_suppkey % 10 = 0 AND l_returnflag <> 'R'
+""")
+
 _define("io_stats", "lineitem", """
 SELECT dtcol, backend_type, context,
        CAST(tick * 1000 + q AS BIGINT) AS reads, CAST(tick * 3000 + q * 7 AS DOUBLE) AS read_time,
@@ -154,6 +176,19 @@ FROM {orders}
 """)
 
 
+_define("dated_settings", "orders", """
+SELECT dtcol, 'shared_buffers' AS name, '8kB' AS unit, CAST(n AS STRING) AS setting FROM (
+SELECT CAST(date_trunc('week', o_orderdate) AS TIMESTAMP) AS dtcol, count(*) AS n FROM {orders} GROUP BY 1) b
+UNION ALL
+SELECT CAST(date_trunc('week', o_orderdate) AS TIMESTAMP), 'port', NULL, CAST(5432 + count(*) % 3 AS STRING)
+FROM {orders} GROUP BY 1
+UNION ALL
+SELECT CAST(date_trunc('week', o_orderdate) AS TIMESTAMP), 'archive_mode', NULL,
+       CASE WHEN count(*) % 2 = 0 THEN 'on' ELSE 'off' END
+FROM {orders} GROUP BY 1
+""")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

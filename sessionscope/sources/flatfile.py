@@ -6,6 +6,8 @@ characters, so a line never holds a value's own tab or line end.
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,16 +70,21 @@ def parse_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
-def load_flat(spark: SparkSession, path: str, schema: T.StructType, table: str, checkpoint: str) -> None:
+def load_flat(
+    spark: SparkSession, path: str, schema: T.StructType, table: str, checkpoint: str, options: dict[str, str] | None = None
+) -> None:
     """Append the flat files not loaded yet to a history table.
 
+    ``options`` are those of the file source, such as ``maxFilesPerTrigger``. The load writes
+    to folders of its own, so it may go on next to samplers and other loads.
+
     The stream's checkpoint remembers the files taken, so files written meanwhile wait
     for the next load and none is loaded twice, whatever fails in between.
     """
-    lines = spark.readStream.text(path)
+    lines, writer = spark.readStream.options(**(options or {})).text(path), f"flat-{md5(checkpoint.encode()).hexdigest()[:16]}"
     (
         lines.writeStream.foreachBatch(
-            lambda batch, number: append_samples(parse_lines(batch, schema), table, batch=number)
+            lambda batch, number: append_samples(parse_lines(batch, schema), table, writer, number)
         )
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -1,143 +1,247 @@
-"""History tables: Parquet folders partitioned by day, on any Hadoop file system.
-
-A table is a path. ``day`` is the date of ``dtcol``; rows inside a file are sorted by
-``dtcol``, so the day folder and the Parquet statistics do the work of range partitions
-and block range indexes.
+"""History tables: Parquet folders by day, writer and batch, on any Hadoop file system.
+
+A table is a path. Every row lies in ``day=.../writer=.../batch=...``. ``day`` is the UTC
+date of ``dtcol``, whatever the session's time zone; ``writer`` names who wrote the row, so
+samplers, loads and maintenance never touch each other's folders; ``batch`` is one write.
+Repeating a batch replaces its own folders. Rows inside a file are sorted by ``dtcol``, so
+the day folder and the Parquet statistics do the work of range partitions and block range
+indexes. ``_shape`` holds empty files whose merged schema is the table's.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionscope.functions.scalars import instant
+from sessionscope.functions.scalars import instant_from_micros, utc_day, utc_micros
+
+PLACEMENT = ("day", "writer", "batch")
+PLACES = T.StructType([
+    T.StructField("day", T.DateType()), T.StructField("writer", T.StringType()), T.StructField("batch", T.LongType())
+])
+
+
+# ---- files
+
+
+def _folder(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _files(spark: SparkSession, path: str):
+    return _folder(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    return _files(spark, path).exists(_folder(spark, path))
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    _files(spark, path).delete(_folder(spark, path), True)
 
-PLACEMENT = ("day", "batch")
+
+def _names(spark: SparkSession, pattern: str) -> list[str]:
+    found = _files(spark, pattern).globStatus(_folder(spark, pattern)) or []
+    return sorted(status.getPath().getName() for status in found)
+
+
+def partition_days(spark: SparkSession, path: str) -> list[dt.date]:
+    """Days a table has a folder for: one name per day of history."""
+    return [dt.date.fromisoformat(name.split("=", 1)[1]) for name in _names(spark, f"{path}/day=*")]
+
+
+# ---- shape
+
+
+def table_schema(spark: SparkSession, path: str) -> T.StructType | None:
+    """The columns of a table without its placement, None before the first write."""
+    shape = f"{path}/_shape"
+    return spark.read.option("mergeSchema", "true").parquet(shape).schema if table_exists(spark, shape) else None
 
 
 def create_like(spark: SparkSession, source: DataFrame, path: str, derived: T.StructType | None = None) -> DataFrame:
     """Make an empty table with the columns of ``source`` and the derived ones, unless it exists."""
-    if not table_exists(spark, path):
+    if table_schema(spark, path) is None:
         extra = [field for field in (derived or T.StructType([])) if field.name not in source.columns]
-        shape = source.limit(0).select("*", *[F.lit(None).cast(field.dataType).alias(field.name) for field in extra])
-        shape.write.mode("ignore").parquet(f"{path}/_shape")
+        _widen(spark, path, T.StructType([*source.schema, *extra]))
     return read_history(spark, path)
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    folder = _folder(spark, path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+def _widen(spark: SparkSession, path: str, schema: T.StructType) -> None:
+    fields = [T.StructField(field.name, field.dataType) for field in schema if field.name not in PLACEMENT]
+    spark.createDataFrame([], T.StructType(fields)).coalesce(1).write.mode("append").parquet(f"{path}/_shape")
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """All rows of a table. A table nothing was appended to yet is empty."""
-    shape = f"{path}/_shape"
-    if not table_exists(spark, shape):
-        return spark.read.parquet(path)
-    schema = spark.read.parquet(shape).schema
-    if not partition_days(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema.add("day", T.DateType())).parquet(path)
-
+def _aligned(rows: DataFrame, path: str) -> DataFrame:
+    """The rows with the table's columns and types; columns new to the table are added to it.
 
-def append_samples(samples: DataFrame, path: str, batch: int | None = None, lookup: tuple[str, ...] = ()) -> None:
+    A column that a writer leaves empty under another type (a flat file knows text only)
+    becomes null of the table's type.
+    """
+    spark = rows.sparkSession
+    rows = rows.drop(*PLACEMENT)
+    schema = table_schema(spark, path)
+    known = {field.name for field in schema or []}
+    new = [field for field in rows.schema if field.name not in known]
+    if new:
+        _widen(spark, path, T.StructType(new))
+        schema = T.StructType([*(schema or []), *new])
+    columns = []
+    for field in schema:
+        if field.name not in rows.columns:
+            value = F.lit(None).cast(field.dataType)
+        elif rows.schema[field.name].dataType == field.dataType:
+            value = F.col(field.name)
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType)):
+            value = F.when(F.col(field.name).isNull(), F.lit(None).cast(field.dataType)).otherwise(
+                F.raise_error(F.lit(f"{field.name} does not have the table's type")).cast(field.dataType)
+            )
+        else:
+            value = F.col(field.name).cast(field.dataType)
+        columns.append(value.alias(field.name))
+    return rows.select(*columns)
+
+
+# ---- reading and appending
+
+
+def read_history(spark: SparkSession, path: str, first: dt.date | None = None, last: dt.date | None = None) -> DataFrame:
+    """The rows of a table, with ``day``, ``writer`` and ``batch``; of the days given, if any.
+
+    Only the folders of these days are listed, and the schema is the stored one.
+    """
+    recover(spark, path)
+    schema = table_schema(spark, path)
+    if schema is None:
+        raise FileNotFoundError(f"no history table at {path}")
+    days = [
+        day for day in partition_days(spark, path) if (first is None or day >= first) and (last is None or day <= last)
+    ]
+    whole = T.StructType([*schema, *PLACES])
+    if not days:
+        return spark.createDataFrame([], whole)
+    folders = [path] if first is None and last is None else [f"{path}/day={day.isoformat()}" for day in days]
+    return spark.read.schema(whole).option("basePath", path).parquet(*folders)
+
+
+def append_samples(
+    samples: DataFrame, path: str, writer: str = "append", batch: int | None = None, lookup: tuple[str, ...] = ()
+) -> None:
     """Append samples to a table.
 
     Rows are gathered by day and rebalanced: a large day is split over many tasks and
-    files, small days share one. With ``batch`` the rows get a folder of their own per
-    (day, batch), and repeating a batch replaces it, so a restarted stream adds nothing
-    twice. ``lookup`` columns get a Parquet bloom filter, for searches by equality.
+    files, small days share one. ``writer`` must be one writer's own name. With ``batch``,
+    repeating the writer's batch replaces it, so a restarted stream adds nothing twice;
+    without, every call is a batch of its own. ``lookup`` columns get a Parquet bloom
+    filter, for searches by equality.
     """
-    rows = samples.withColumn("day", F.to_date("dtcol"))
-    placement = ["day"]
-    writer_mode = "append"
-    if batch is not None:
-        rows = rows.withColumn("batch", F.lit(batch).cast("bigint"))
-        placement, writer_mode = list(PLACEMENT), "overwrite"
-    rows = rows.hint("rebalance", F.col("day")).sortWithinPartitions(*placement, "dtcol")
-    writer = rows.write.mode(writer_mode).option("partitionOverwriteMode", "dynamic")
+    recover(samples.sparkSession, path)
+    number = uuid.uuid4().int >> 66 if batch is None else batch
+    rows = _aligned(samples, path).withColumns(
+        {"day": utc_day("dtcol"), "writer": F.lit(writer), "batch": F.lit(number).cast("bigint")}
+    )
+    _write(rows, path, lookup)
+
+
+def _write(rows: DataFrame, path: str, lookup: tuple[str, ...] = ()) -> None:
+    rows = rows.hint("rebalance", F.col("day")).sortWithinPartitions(*PLACEMENT, "dtcol")
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     for name in lookup:
         writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
-    writer.partitionBy(*placement).parquet(path)
+    writer.partitionBy(*PLACEMENT).parquet(path)
 
 
-def _folder(spark: SparkSession, path: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(path)
+# ---- replacing rows
 
 
-def partition_days(spark: SparkSession, path: str) -> list[dt.date]:
-    """Days a table has a folder for: one name per day of history."""
-    folder = _folder(spark, f"{path}/day=*")
-    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder) or []
-    return sorted(dt.date.fromisoformat(status.getPath().getName().split("=", 1)[1]) for status in found)
+def replace_rows(spark: SparkSession, path: str, rows: DataFrame, folders: list[str], name: str) -> None:
+    """Put ``rows`` (with their placement) in the place of whole folders of the table.
 
+    The rows and the list of folders are written aside first. From then on the change is
+    certain: whoever opens the table next finishes it (``recover``), so a failure between
+    deleting and writing loses nothing, and doing it twice changes nothing.
+    """
+    aside = f"{path}/_pending/{name}"
+    delete_folder(spark, aside)
+    rows.write.parquet(f"{aside}/rows")
+    spark.createDataFrame([(folder,) for folder in folders], "folder string").coalesce(1).write.parquet(f"{aside}/folders")
+    spark.createDataFrame([(name,)], "name string").coalesce(1).write.parquet(f"{aside}/ready")
+    recover(spark, path)
 
-def _drop_days(spark: SparkSession, path: str, days: list[dt.date]) -> None:
-    for day in days:
-        _delete(spark, f"{path}/day={day.isoformat()}")
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish replacements that were begun."""
+    for name in _names(spark, f"{path}/_pending/*"):
+        aside = f"{path}/_pending/{name}"
+        if not table_exists(spark, f"{aside}/ready/_SUCCESS"):
+            continue
+        for row in spark.read.parquet(f"{aside}/folders").collect():
+            delete_folder(spark, f"{path}/{row['folder']}")
+        _write(spark.read.parquet(f"{aside}/rows"), path)
+        spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("ignore").parquet(f"{path}/_done/{name}")
+        delete_folder(spark, aside)
+
+
+def is_done(spark: SparkSession, path: str, name: str) -> bool:
+    """Whether the replacement of this name has been made."""
+    recover(spark, path)
+    return table_exists(spark, f"{path}/_done/{name}/_SUCCESS")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    folder = _folder(spark, path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def _rewrite_day(spark: SparkSession, path: str, day: dt.date, keep: Column, writer: str) -> None:
+    """One folder of one day's kept rows in the place of all its folders."""
+    rows = read_history(spark, path, day, day).filter(keep)
+    placed = rows.withColumns({"writer": F.lit(writer), "batch": F.lit(0).cast("bigint")})
+    replace_rows(spark, path, placed, [f"day={day.isoformat()}"], f"{writer}-{day.isoformat()}-{uuid.uuid4().hex[:8]}")
+
+
+def compact(spark: SparkSession, path: str, day: dt.date) -> None:
+    """Merge the many small folders of a closed day, one that no writer adds to any more, into one."""
+    if day in partition_days(spark, path):
+        _rewrite_day(spark, path, day, F.lit(True), "compact")
+
+
+# ---- retention
+
+
+def _drop_days(spark: SparkSession, path: str, days: list[dt.date]) -> None:
+    for day in days:
+        delete_folder(spark, f"{path}/day={day.isoformat()}")
 
 
 def retain(spark: SparkSession, path: str, days: int, now: dt.datetime) -> int:
     """Delete rows older than ``days`` days before ``now`` (0 empties the table); return how many.
 
-    Whole days go by dropping their folders. Only the day the limit falls in is rewritten.
+    ``now`` without a zone is UTC. Whole days go by dropping their folders; the day the
+    limit falls in is rewritten aside and then put in place.
     """
-    table = read_history(spark, path)
     present = partition_days(spark, path)
     if days == 0:
-        deleted = table.count()
+        deleted = read_history(spark, path).count()
         _drop_days(spark, path, present)
         return deleted
-    cutoff = now - dt.timedelta(days=days)
-    old = table.filter((F.col("day") <= F.lit(cutoff.date())) & (F.col("dtcol") < instant(cutoff)))
-    deleted = old.count()
-    _drop_days(spark, path, [day for day in present if day < cutoff.date()])
-    if deleted and cutoff.date() in present:
-        _trim_day(spark, path, table.filter(F.col("day") == F.lit(cutoff.date())), cutoff)
+    micros = utc_micros(now) - days * 86_400_000_000
+    limit, cutoff = dt.date.fromordinal(719_163 + micros // 86_400_000_000), instant_from_micros(micros)
+    deleted = read_history(spark, path, last=limit).filter(F.col("dtcol") < cutoff).count()
+    _drop_days(spark, path, [day for day in present if day < limit])
+    if limit in present and not read_history(spark, path, limit, limit).filter(F.col("dtcol") < cutoff).isEmpty():
+        _rewrite_day(spark, path, limit, F.col("dtcol") >= cutoff, "retention")
     return deleted
 
 
-def _trim_day(spark: SparkSession, path: str, rows: DataFrame, cutoff: dt.datetime) -> None:
-    """Drop the folders of one day that lie before the limit, and rewrite those it cuts.
-
-    The driver sees one row per folder of that day.
-    """
-    placement = [name for name in PLACEMENT if name in rows.columns]
-    folders = rows.groupBy(*placement).agg(
-        (F.max("dtcol") < instant(cutoff)).alias("gone"), (F.min("dtcol") < instant(cutoff)).alias("touched")
-    )
-    touched = folders.filter("touched").collect()
-    kept = rows.filter(F.col("dtcol") >= instant(cutoff))
-    if "batch" in placement:
-        kept = kept.filter(F.col("batch").isin([row["batch"] for row in touched]))
-    if any(not row["gone"] for row in touched):
-        (
-            kept.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*placement)
-            .parquet(path)
-        )
-    for row in touched:
-        if row["gone"]:
-            _delete(spark, "/".join([path, *[f"{name}={row[name]}" for name in placement]]))
-
-
 def retain_all(spark: SparkSession, paths: dict[str, str], days: int, now: dt.datetime) -> dict[str, int]:
     """Retention over every history table that exists; deleted rows per table."""
     return {name: retain(spark, path, days, now) for name, path in paths.items() if table_exists(spark, path)}
 
 
 def drop_old_partitions(spark: SparkSession, path: str, days: int, now: dt.datetime) -> list[dt.date]:
-    """Drop days whose upper bound is at or before the start of ``now``'s day minus ``days`` days."""
-    limit = now.date() - dt.timedelta(days=days)
+    """Drop days whose upper bound is at or before the start of ``now``'s (UTC) day minus ``days`` days."""
+    today = dt.date.fromordinal(719_163 + utc_micros(now) // 86_400_000_000)
+    limit = today - dt.timedelta(days=days)
     old = [day for day in partition_days(spark, path) if day + dt.timedelta(days=1) <= limit]
     _drop_days(spark, path, old)
     return old

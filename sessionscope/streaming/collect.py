@@ -2,57 +2,112 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionscope.functions.scalars import instant_from_micros
-from sessionscope.operators.enrich import carry_memory, fingerprint, memory_horizon, with_application_info
-from sessionscope.operators.filters import active_sessions, not_idle
-from sessionscope.operators.locks import final_blockers
-from sessionscope.plans.collect import with_blockers
-from sessionscope.sources.history import append_samples, read_history, table_exists
+from sessionscope.functions.scalars import instant_from_micros, utc_day
+from sessionscope.operators.enrich import carry_memory, memory_horizon
+from sessionscope.plans.collect import collect
+from sessionscope.schema import keys_of
+from sessionscope.sources.history import (
+    delete_folder,
+    append_samples,
+    is_done,
+    partition_days,
+    read_history,
+    replace_rows,
+    table_exists,
+)
+
+DAY = 86_400_000_000
+
+
+def writer_of(checkpoint: str) -> str:
+    """A stream's own name in the tables it writes: its checkpoint is its identity."""
+    return f"stream-{hashlib.md5(checkpoint.encode()).hexdigest()[:16]}"
+
 
+def _date(micros: int) -> dt.date:
+    return dt.date.fromordinal(719_163 + micros // DAY)
 
-def enrich_batch(
+
+def write_batch(
     batch: DataFrame,
     table: str,
+    writer: str,
     number: int,
     interval_seconds: int,
     locks: DataFrame | None = None,
     depth: int = 2,
-) -> DataFrame:
-    """Enrich one micro-batch, continuing the memory runs of the stored history.
+    **options,
+) -> None:
+    """Enrich one micro-batch as :func:`collect` does and put it into the history.
 
-    Only the locks of the batch's time span are read, and of the history only the rows
-    inside the horizon before it. Rows an earlier attempt at this batch may have left
-    are not looked at.
+    Memory goes on from the rows this writer stored inside the horizon before the batch, so
+    only their day folders are read, and only the locks of the batch's time span. The probed
+    values are stored next to the carried ones (``probe_mem``, ``probe_swapped``). Samples
+    that arrive late, before rows already stored, may change the memory of those rows: the
+    days from there on are then rewritten for this writer, from the stored probes, with the
+    same result as if the samples had come in order.
     """
     spark = batch.sparkSession
-    sessions = with_application_info(fingerprint(not_idle(active_sessions(batch))))
-    probes = sessions.select("dtcol", "pid", "mem", "swapped")
-    span = batch.agg(F.unix_micros(F.min("dtcol")).alias("low"), F.unix_micros(F.max("dtcol")).alias("high")).first()
-    if span["low"] is not None and table_exists(spark, table):
-        latest = instant_from_micros(span["low"])
-        earliest = instant_from_micros(span["low"] - memory_horizon(interval_seconds) * 1_000_000)
-        stored = (
-            read_history(spark, table)
-            .filter(F.col("day").between(F.to_date(earliest), F.to_date(latest)))
-            .filter((F.col("dtcol") > earliest) & (F.col("dtcol") < latest))
-            .filter((F.col("batch") != number) & F.col("pid").isNotNull())
-            .select("dtcol", "pid", "mem", "swapped")
+    name = f"{writer}-{number}"
+    if table_exists(spark, table) and is_done(spark, table, name):
+        return  # an attempt before this one got through
+    low, high = batch.agg(F.unix_micros(F.min("dtcol")), F.unix_micros(F.max("dtcol"))).first()
+    if low is None:
+        return
+    keys = keys_of(batch, "dtcol", "pid")
+    probes = batch.filter("pid is not null").select(*keys, "mem", "swapped")
+    cpu = batch.select(
+        *keys[:-1], F.coalesce("pid", F.lit(0).cast("bigint")).alias("pid"), F.col("pourcentage_cpu").alias("cpu")
+    )
+    start, earliest = instant_from_micros(low), low - memory_horizon(interval_seconds) * 1_000_000
+    earlier = later = None
+    if table_exists(spark, table):
+        stored = read_history(spark, table, first=_date(earliest)).filter(
+            (F.col("writer") == writer) & (F.col("batch") != number)
         )
-        probes = probes.unionByName(stored)
-    memory = carry_memory(probes, interval_seconds)
-    rows = sessions.drop("mem", "swapped").join(memory, ["dtcol", "pid"], "left")
-    if locks is not None and span["low"] is not None:
-        held = locks.filter(
-            F.col("dtcol").between(instant_from_micros(span["low"]), instant_from_micros(span["high"]))
+        if "probe_mem" in stored.columns:
+            known = stored.filter((F.col("dtcol") > instant_from_micros(earliest)) & F.col("pid").isNotNull())
+            earlier = known.filter(F.col("dtcol") < start).select(*keys, "mem", "swapped")
+            later = stored.filter(F.col("dtcol") >= start)
+            if later.isEmpty():
+                later = None
+    held = locks
+    if locks is not None:
+        held = locks.filter(F.col("dtcol").between(start, instant_from_micros(high)))
+    if later is not None:
+        after = later.filter("pid is not null")
+        earlier = earlier.unionByName(
+            after.select(*keys, F.col("probe_mem").alias("mem"), F.col("probe_swapped").alias("swapped"))
         )
-        rows = with_blockers(rows, final_blockers(held, depth, blocked_in=not_idle(batch)))
-    else:
-        rows = rows.withColumn("blockers", F.lit(None).cast("array<bigint>"))
-    host = batch.filter("pid is null and datid is null")
-    return rows.unionByName(host, allowMissingColumns=True)
+    folder = f"{table}/_locks/{name}"
+    delete_folder(spark, folder)
+    rows = collect(batch, held, cpu, probes, interval_seconds, depth, earlier=earlier, folder=folder, **options)
+    probed = probes.select(*keys, F.col("mem").alias("probe_mem"), F.col("swapped").alias("probe_swapped"))
+    rows = rows.join(probed, keys, "left")
+    if later is None:
+        append_samples(rows, table, writer, number)
+        delete_folder(spark, folder)
+        return
+    # the sessions that were collected: late ones from the batch, the others from the table
+    sessions = rows.filter("pid is not null").select(*keys, F.col("probe_mem").alias("mem"), F.col("probe_swapped").alias("swapped"))
+    memory = carry_memory(sessions.unionByName(earlier), interval_seconds)
+    changed = later.drop("mem", "swapped").join(memory, keys, "left").select(*later.columns)
+    first = _date(low)
+    placed = rows.withColumns({"day": utc_day("dtcol"), "writer": F.lit(writer)})
+    whole = (
+        placed.unionByName(changed, allowMissingColumns=True)
+        .unionByName(stored.filter((F.col("day") >= F.lit(first)) & (F.col("dtcol") < start)), allowMissingColumns=True)
+        .withColumn("batch", F.lit(number).cast("bigint"))
+    )
+    folders = [f"day={day.isoformat()}/writer={writer}" for day in partition_days(spark, table) if day >= first]
+    replace_rows(spark, table, whole, folders, name)
+    delete_folder(spark, folder)
 
 
 def stream_collect(
@@ -62,20 +117,20 @@ def stream_collect(
     interval_seconds: int,
     locks: DataFrame | None = None,
     depth: int = 2,
+    writer: str | None = None,
+    **options,
 ) -> None:
     """Take what the stream holds now into the history table.
 
-    ``locks`` is the table of lock snapshots, if blockers are wanted. A batch is written
-    to (day, batch) folders of its own: after a failure the stream repeats the batch,
-    which replaces them.
+    ``locks`` is the table of lock snapshots, if blockers are wanted; ``options`` are those of
+    :func:`collect`. Rows go to the stream's own folders, named after its checkpoint unless
+    ``writer`` says otherwise, batch by batch: after a failure the stream repeats the batch,
+    which replaces them, and other writers' rows are never touched.
     """
+    own = writer or writer_of(checkpoint)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()  # read once for its span, its sessions and its heartbeats
-        try:
-            append_samples(enrich_batch(batch, table, number, interval_seconds, locks, depth), table, batch=number)
-        finally:
-            batch.unpersist()
+        write_batch(batch, table, own, number, interval_seconds, locks, depth, **options)
 
     (
         samples.writeStream.foreachBatch(write)

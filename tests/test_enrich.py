@@ -96,3 +96,28 @@ def test_window_scan_reads_only_its_days(spark, tmp_path):
     assert sorted(row.mem for row in chosen.collect()) == [1, 2]
     plan = chosen._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(day" in plan and "PushedFilters: [IsNotNull(dtcol)" in plan
+
+
+@pytest.mark.parametrize("active, least, most", [(1, 0, 1), (998, 980, 998), (999, 985, 999), (2000, 1970, 2000)])
+def test_cache_is_used_with_probability_active_in_a_thousand(spark, active, least, most):
+    samples = spark.createDataFrame([(START, pid) for pid in range(active)], "dtcol timestamp, pid bigint")
+    rows = E.cache_sampling(samples)
+    assert rows.filter("use_cache <> (draw < least(active, 999))").isEmpty()
+    assert least <= rows.filter("use_cache").count() <= most
+
+
+def test_a_lone_session_uses_the_cache_once_in_a_thousand(spark):
+    instants = [(START + dt.timedelta(seconds=n), 1) for n in range(20_000)]
+    used = E.cache_sampling(spark.createDataFrame(instants, "dtcol timestamp, pid bigint")).filter("use_cache").count()
+    assert 5 <= used <= 45
+
+
+def test_draws_need_ten_seconds(spark):
+    with pytest.raises(ValueError):
+        E.carry_memory(probes(spark, [(START, 1, 1, 1)]), 5, fresh=F.lit(True))
+
+
+def test_words_of_any_script(spark):
+    samples = spark.createDataFrame([(START, 1, "SELECT * FROM café")], "dtcol timestamp, pid bigint, query string")
+    assert filters.text_filter(samples, ["Café"]).count() == 1
+    assert filters.text_filter(samples, ["caf"]).count() == 0

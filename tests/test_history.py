@@ -7,12 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionscope.functions.scalars import instant
+from sessionscope.operators import filters
 from sessionscope.operators.enrich import carry_memory
 from sessionscope.schema import CLUSTER_INFORMATION, DERIVED_COLUMNS
 from sessionscope.sources import flatfile
 from sessionscope.sources import history as H
 from sessionscope.streaming import aas
-from sessionscope.streaming.collect import stream_collect
+from sessionscope.streaming.collect import stream_collect, write_batch
 
 START = dt.datetime(2024, 1, 1)
 
@@ -100,7 +101,7 @@ def test_create_like(spark, tmp_path):
     path = str(tmp_path / "table")
     empty = H.create_like(spark, hours(spark, [1]), path, DERIVED_COLUMNS)
     assert empty.count() == 0
-    assert empty.columns == ["dtcol", "pid", *DERIVED_COLUMNS.names]
+    assert empty.columns == ["dtcol", "pid", *DERIVED_COLUMNS.names, *H.PLACEMENT]
     H.append_samples(hours(spark, [5]), path)
     again = H.create_like(spark, hours(spark, [1]), path, DERIVED_COLUMNS)
     assert [(row.pid, row.iquery, row.blockers) for row in again.collect()] == [(5, None, None)]
@@ -108,7 +109,9 @@ def test_create_like(spark, tmp_path):
 
 def test_fixed_table(spark, tmp_path):
     inventory = spark.createDataFrame([], CLUSTER_INFORMATION)
-    assert H.create_like(spark, inventory, str(tmp_path / "info")).columns == CLUSTER_INFORMATION.names
+    assert H.create_like(spark, inventory, str(tmp_path / "info")).columns == [
+        *CLUSTER_INFORMATION.names, *H.PLACEMENT
+    ]
 
 
 def test_daily_partitions(spark):
@@ -191,3 +194,100 @@ def test_streamed_load_in_any_order(spark, tmp_path):
         )
     assert sorted(aas.read_aas(spark, path).collect()) == sorted(expected.collect())
     assert aas.read_aas(spark, path).agg(F.sum("samples")).first()[0] == 40
+
+
+def test_writers_do_not_touch_each_other(spark, tmp_path):
+    path = str(tmp_path / "table")
+    for writer in ("one", "two"):
+        for _ in range(2):
+            H.append_samples(hours(spark, range(30)), path, writer, 0)
+    H.append_samples(hours(spark, [1]), path)
+    H.append_samples(hours(spark, [1]), path)
+    assert pids(spark, path) == sorted([*range(30)] * 2 + [1, 1])
+    assert H.read_history(spark, path).columns[-3:] == ["day", "writer", "batch"]
+
+
+def test_days_do_not_depend_on_the_session_zone(spark, tmp_path):
+    path, zone = str(tmp_path / "table"), spark.conf.get("spark.sql.session.timeZone")
+    at = [START.replace(tzinfo=dt.timezone.utc) + dt.timedelta(hours=n) for n in range(48)]
+    try:
+        for n, name in enumerate(("UTC", "America/New_York", "Asia/Tokyo")):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            H.append_samples(spark.createDataFrame([(when, n) for when in at], "dtcol timestamp, pid bigint"), path)
+        assert H.partition_days(spark, path) == [dt.date(2024, 1, 1), dt.date(2024, 1, 2)]
+        found = filters.window_scan(H.read_history(spark, path), at[20], at[30])
+        assert found.count() == 33
+        assert H.retain(spark, path, 1, START + dt.timedelta(days=1, hours=5)) == 15
+        assert H.read_history(spark, path).count() == 3 * 48 - 15
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_reading_lists_only_the_days_asked_for(spark, table):
+    some = H.read_history(spark, table, dt.date(2024, 1, 2), dt.date(2024, 1, 3))
+    assert sorted(row.pid for row in some.collect()) == list(range(24, 72))
+    assert all("day=2024-01-02" in name or "day=2024-01-03" in name for name in some.inputFiles())
+
+
+def test_compact(spark, tmp_path):
+    path = str(tmp_path / "table")
+    for batch in range(6):
+        H.append_samples(hours(spark, range(4 * batch, 4 * batch + 4)), path, "loop", batch)
+    H.compact(spark, path, dt.date(2024, 1, 1))
+    H.compact(spark, path, dt.date(2030, 1, 1))
+    assert pids(spark, path) == list(range(24))
+    assert {(row.writer, row.batch) for row in H.read_history(spark, path).collect()} == {("compact", 0)}
+
+
+def test_a_replacement_that_fails_half_way_is_finished(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "table")
+    H.append_samples(hours(spark, range(24)), path, "loop", 0)
+    write = H._write
+    monkeypatch.setattr(H, "_write", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        H.compact(spark, path, dt.date(2024, 1, 1))
+    monkeypatch.setattr(H, "_write", write)
+    assert pids(spark, path) == list(range(24))
+    assert pids(spark, path) == list(range(24))
+
+
+def test_columns_of_later_writers_join_the_table(spark, tmp_path):
+    path = str(tmp_path / "table")
+    H.append_samples(hours(spark, [1]), path)
+    H.append_samples(hours(spark, [2]).withColumn("mem", F.lit(7)), path)
+    H.append_samples(hours(spark, [3]).withColumn("mem", F.lit("8")), path)
+    assert {(row.pid, row.mem) for row in H.read_history(spark, path).collect()} == {(1, None), (2, 7), (3, 8)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_late_samples_give_the_same_memory(spark, tmp_path, seed):
+    """Drops in any order end in the rows that all samples at once give, and nothing is left behind."""
+    rows = raw_samples(seed)
+    raw, table, checkpoint = (str(tmp_path / name) for name in ("raw", "table", "offsets"))
+    frame = spark.createDataFrame(rows, RAW)
+    instants = sorted({row[0] for row in rows})
+    random.Random(seed).shuffle(instants)
+    for part in (instants[:15], instants[15:30], instants[30:]):
+        some = [row for row in rows if row[0] in part]
+        spark.createDataFrame(some, RAW).write.mode("append").parquet(raw)
+        stream_collect(spark.readStream.schema(frame.schema).parquet(raw), table, checkpoint, 10)
+    active = frame.filter("state = 'active'")
+    expected = carry_memory(active.select("dtcol", "pid", "mem", "swapped"), 10)
+    stored = H.read_history(spark, table)
+    got = stored.filter("pid is not null").select("dtcol", "pid", "mem", "swapped")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+    assert stored.filter("pid is null").count() == 40
+    assert not list((tmp_path / "table" / "_pending").glob("*")) and not list((tmp_path / "table").glob("_locks/*"))
+
+
+def test_a_repeated_late_batch_changes_nothing(spark, tmp_path):
+    table, frame = str(tmp_path / "table"), spark.createDataFrame(raw_samples(9), RAW)
+    noon = instant(START + dt.timedelta(hours=24, minutes=2))
+    write_batch(frame.filter(F.col("dtcol") >= noon), table, "w", 0, 10)
+    for _ in range(2):
+        write_batch(frame.filter(F.col("dtcol") < noon), table, "w", 1, 10)
+        rows = sorted(map(str, H.read_history(spark, table).drop("batch", "application_info").collect()))
+        if _:
+            assert rows == before
+        before = rows
+    assert H.read_history(spark, table).filter("pid is null").count() == 40

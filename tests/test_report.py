@@ -74,10 +74,43 @@ def test_top_queries(samples):
     assert report.top_queries(samples, n=1).collect() == [first]
 
 
-def test_top_queries_without_broadcast(samples, monkeypatch):
-    expected = report.top_queries(samples, n=5).collect()
-    monkeypatch.setattr(report, "BROADCAST_ROWS", 0)
-    assert report.top_queries(samples, n=5).collect() == expected
+def test_activity_is_the_sections_in_one(samples):
+    row = report.activity(samples).first()
+    assert (row.elapsed, row.db_time, row.average_active_sessions) == tuple(report.db_time(samples).first())
+    assert (row.first_sample, row.last_sample) == tuple(report.report_bounds(samples).first())
+    assert row.host_cpu == report.host_cpu_avg(samples).first().host_cpu
+
+
+def test_clusters_have_their_own_time(samples):
+    both = samples.withColumn("cluster", F.lit("a")).unionByName(samples.withColumn("cluster", F.lit("b")))
+    rows = report.db_time(both).collect()
+    assert sorted(row.cluster for row in rows) == ["a", "b"]
+    assert {tuple(row)[1:] for row in rows} == {tuple(report.db_time(samples).first())}
+    peak = report.peak_sum(both.filter("pid is not null"), ["datname"], "mem").first().peak_mem
+    assert peak == 200
+
+
+def test_rankings_expand_nothing_before_the_first_shuffle(samples):
+    plan = report.busy_sessions(samples, 3)._jdf.queryExecution().optimizedPlan().toString()
+    lines = [line.strip(" :+-") for line in plan.splitlines()]
+    expand = next(at for at, line in enumerate(lines) if line.startswith("Expand"))
+    assert lines[expand + 1].startswith("Aggregate")
+
+
+def test_ranked_equals_one_by_one(samples):
+    choices = ["datname AS db, query", "wait_event_type"]
+    ranked = report.busy_ranked(samples, choices, 3).collect()
+    for number, columns in enumerate(choices):
+        alone = report.busy_by(samples, columns, 3).collect()
+        mine = sorted((row.label, row.busy_pc, row.distinct_exe, row.mem) for row in ranked if row.choice == number)
+        assert mine == sorted(
+            (" | ".join(str(value or "") for value in row[2:-3]), row[0], row[1], row[-2]) for row in alone
+        )
+
+
+def test_iterations_from_a_row(spark, samples):
+    taken = spark.createDataFrame([(3,)], "iterations bigint")
+    assert report.busy_total(samples, taken).collect() == report.busy_total(samples, 3).collect()
 
 
 def test_unknown_cpu_is_no_waiting(spark):

@@ -116,3 +116,9 @@ def test_parse_counters_reads_exponents(spark):
     rows = frame.select(*S.parse_counters(F.col("raw"), ["user", "idle"])).collect()
     assert [tuple(row) for row in rows] == [(1e-05, 7.0), (None, None)]
     assert S.counter_names(frame.limit(1), "raw") == ["user", "idle"]
+
+
+def test_memory_setting_without_a_number(spark):
+    frame = spark.createDataFrame([("8kB", "on"), ("8kB", "2"), (None, "2")], "unit string, setting string")
+    found = frame.select(S.memory_setting(F.col("unit"), F.col("setting")).alias("size")).collect()
+    assert [row.size for row in found] == [None, 16384, None]

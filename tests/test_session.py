@@ -38,7 +38,7 @@ def test_a_cluster_has_to_name_its_folder():
         session.shared_folder(Cluster)
 
 
-def test_collect_store_report(spark):
+def test_collect_store_report(spark, tmp_path):
     rows = collect(
         Q._samples(spark, SF_DIR),
         Q._session_locks(spark, SF_DIR),
@@ -46,6 +46,7 @@ def test_collect_store_report(spark):
         Q._memory_probes(spark, SF_DIR),
         Q.INTERVAL,
         text_search=True,
+        folder=str(tmp_path),
     )
     assert set(DERIVED_COLUMNS.names) <= set(rows.columns)
     path = session.new_folder(spark, "history")
@@ -57,17 +58,17 @@ def test_collect_store_report(spark):
         history, Q._cluster(spark, SF_DIR), Q._host(spark, SF_DIR), Q._io(spark, SF_DIR), *Q.WINDOW, n=3
     )
     assert sections["top_queries"].count() == 3
-    assert sections["db_time"].first().elapsed > 0
-    scanned = sections["db_time"]._jdf.queryExecution().executedPlan().toString()
+    assert sections["activity"].first().elapsed > 0
+    scanned = sections["activity"]._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(day" in scanned
 
 
-def test_batch_collection_probes_small_loads_afresh(spark):
+def test_batch_collection_probes_small_loads_afresh(spark, tmp_path):
     """With few sessions a cached value is rarely used, so nearly every row keeps its own probe."""
     probes = Q._memory_probes(spark, SF_DIR)
     rows = [
         collect(Q._samples(spark, SF_DIR), Q._session_locks(spark, SF_DIR), Q._cpu_probes(spark, SF_DIR),
-                probes, Q.INTERVAL, batch=batch).filter("pid is not null")
+                probes, Q.INTERVAL, batch=batch, folder=str(tmp_path)).filter("pid is not null")
         for batch in (False, True)
     ]
     own = [
@@ -79,6 +80,6 @@ def test_batch_collection_probes_small_loads_afresh(spark):
     assert own[1] <= own[0] and own[0] > 0
 
 
-def test_lock_joins_have_no_cross_product(spark):
-    plan = locks.final_blockers(Q._object_locks(spark, SF_DIR))._jdf.queryExecution().executedPlan().toString()
+def test_lock_joins_have_no_cross_product(spark, tmp_path):
+    plan = locks.final_blockers(Q._object_locks(spark, SF_DIR), folder=str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
