@@ -94,7 +94,7 @@ def _aligned(rows: DataFrame, path: str) -> DataFrame:
     for field in schema:
         if field.name not in rows.columns:
             value = F.lit(None).cast(field.dataType)
-        elif rows.schema[field.name].dataType == field.dataType:
+        elif rows.schema[field.name].dataType.simpleString() == field.dataType.simpleString():
             value = F.col(field.name)
         elif isinstance(field.dataType, (T.ArrayType, T.MapType)):
             value = F.when(F.col(field.name).isNull(), F.lit(None).cast(field.dataType)).otherwise(
