@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import stored, word_count
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
@@ -56,7 +56,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
 def mix(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", seed: int = 11,
-    cell_rows: int = 20_000, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS,
+    cell_rows: int = 1_000, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS,
 ) -> DataFrame:
     """``id, source, size, source_size, target, taken`` for every row of ``docs``.
 
@@ -66,11 +66,14 @@ def mix(
     both are interchangeable. Null texts and texts without words have size 0 and give
     nothing, a null source is a source of its own, and an empty table gives an empty mix.
     """
-    sized = docs.select(
-        F.col(id_column).alias("id"),
-        F.col(source_column).alias("source"),
-        word_count(text_column).alias("size"),
-        random_key(seed, id_column).alias("key"),
+    sized = stored(
+        docs.select(
+            F.col(id_column).alias("id"),
+            F.col(source_column).alias("source"),
+            word_count(text_column).alias("size"),
+            random_key(seed, id_column).alias("key"),
+        ),
+        "sizes",
     )
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, most)
@@ -119,14 +122,17 @@ def mixed_documents(
     wanted = taken.select(key("id", "source", "size").alias("mix key"), copies.alias("copies")).withColumn(
         "mix number", F.row_number().over(Window.partitionBy("mix key").orderBy(F.desc("copies")))
     )
-    own = key(
-        F.col(id_column).alias("id"), F.col(source_column).alias("source"), word_count(text_column).alias("size")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"),
+        key(
+            F.col(id_column).alias("id"), F.col(source_column).alias("source"), word_count(text_column).alias("size")
+        ).alias("mix key"),
+        F.xxhash64(text_column).alias("text hash"),
     )
-    order = Window.partitionBy("mix key").orderBy(F.xxhash64(text_column))
+    order = Window.partitionBy("mix key").orderBy("text hash")
     return (
-        docs.withColumn("mix key", own)
-        .withColumn("mix number", F.row_number().over(order))
+        rows.withColumn("mix number", F.row_number().over(order))
         .join(wanted.filter("copies > 0"), ["mix key", "mix number"])
-        .withColumn("mix copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .select(*[F.col(f"`{name}`") for name in docs.columns])
+        .select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        .select("row.*")
     )
