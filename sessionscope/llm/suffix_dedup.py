@@ -369,6 +369,7 @@ def repeated_starts(
     runs = sorted_strings.mapInArrow(lambda batches: repeated_offsets(batches, length), RUNS)
     alone = shared.filter("not mixed").select("key", "hash", (F.expr("anchor - starts + 1")).alias("low"), F.col("anchor").alias("high"))
     of_record = runs.unionByName(alone).groupBy("key", "hash").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
+    of_record = stored(of_record, "runs")  # the join can then split the rows of a record that very many texts hold
     return (
         records.join(of_record, ["key", "hash"])
         .select("t1", "t2", (F.col("low") + F.col("anchor")).alias("at"), F.explode("runs").alias("run"))
