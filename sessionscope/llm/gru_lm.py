@@ -16,7 +16,6 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +31,12 @@ FREQUENT = 200_000
 HIDDEN = 24
 CLASS_WORDS = 91
 LANES = 512
-WINDOW = 32
+WINDOW = 64
 WARM_UP_TEXTS = 2_000
 WARM_UP_RATE, RATE = 0.05, 0.02
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 32 << 20
 BLOCK = 1 << 14
+BLOCK_ROWS = 2_048
 #: The end of a text; no word is empty.
 END = ""
 
@@ -76,78 +76,136 @@ class Gru:
         totals = np.add.reduceat(counts + 1.0, self.class_start[:-1])
         self.class_bias = np.log(totals).astype(np.float32)
 
-    def run(self, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, list]:
-        """States after each step of a window (steps x lanes), and what going back needs."""
+    def run(self, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
+        """States after each step of a window (steps x lanes), and with ``keep`` what going back needs."""
         h = self.hidden
-        states, saved = np.empty((len(inputs), len(state), h), dtype=np.float32), []
+        states, saved = np.empty((len(inputs), len(state), h), dtype=self.state.dtype), []
+        given, starts = self.inputs[inputs], fresh.min(axis=1) == 0
         for step in range(len(inputs)):
-            state = state * fresh[step][:, None]
-            given, past = self.inputs[inputs[step]], state @ self.state
-            gates = 1.0 / (1.0 + np.exp(-(given[:, : 2 * h] + past[:, : 2 * h])))
-            update, reset = gates[:, :h], gates[:, h:]
-            candidate = np.tanh(given[:, 2 * h :] + reset * past[:, 2 * h :])
-            saved.append((state, update, reset, candidate, past[:, 2 * h :]))
-            state = candidate + update * (state - candidate)
-            states[step] = state
+            if starts[step]:
+                state = state * fresh[step][:, None]
+            past = state @ self.state
+            gates = given[step, :, : 2 * h]
+            gates += past[:, : 2 * h]
+            gates *= -1
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            update, reset, hidden = gates[:, :h], gates[:, h:], past[:, 2 * h :]
+            candidate = reset * hidden
+            candidate += given[step, :, 2 * h :]
+            np.tanh(candidate, out=candidate)
+            if keep:
+                saved.append((state, update, reset, candidate, hidden))
+            np.subtract(state, candidate, out=states[step])
+            states[step] *= update
+            states[step] += candidate
+            state = states[step]
         return states, saved
 
+    def _plain(self) -> bool:
+        """Whether no score can leave the range of exp: states lie between -1 and 1."""
+        largest = max(
+            np.abs(out).sum(axis=axis).max() + np.abs(bias).max()
+            for out, bias, axis in ((self.class_out, self.class_bias, 0), (self.word_out, self.word_bias, 1))
+        )
+        return bool(largest < 80)
+
     def log_probability(self, states: np.ndarray, targets: np.ndarray, gradients: dict | None = None):
         """Natural log probability of each target; with ``gradients``, also the gradient of the states."""
-        classes = self.class_of[targets]
-        scores, rows = states @ self.class_out + self.class_bias, np.arange(len(targets))
-        share, result = _softmax(scores, classes)
-        back = None
-        if gradients is not None:
-            share[rows, classes] -= 1
-            gradients["class_out"] += states.T @ share
-            gradients["class_bias"] += share.sum(axis=0)
-            back = share @ self.class_out.T
+        classes, plain, share = self.class_of[targets], self._plain(), gradients is not None
+        rows = np.arange(len(targets))
+        result = np.empty(len(targets), dtype=states.dtype)
+        back = np.empty_like(states) if share else None
+        for low in range(0, len(targets), BLOCK_ROWS):  # in pieces that stay in the processor's cache
+            part = slice(low, low + BLOCK_ROWS)
+            mine, place = states[part], classes[part]
+            scores = mine @ self.class_out
+            scores += self.class_bias
+            result[part] = _softmax(scores, rows[: len(place)], place, plain, share)
+            if share:
+                scores[rows[: len(place)], place] -= 1
+                gradients["class_out"] += mine.T @ scores
+                gradients["class_bias"] += scores.sum(axis=0)
+                back[part] = scores @ self.class_out.T
         order = np.argsort(classes, kind="stable")
-        cuts = np.searchsorted(classes[order], np.arange(len(self.class_start)))
-        for number in range(len(self.class_start) - 1):
-            some = order[cuts[number] : cuts[number + 1]]
-            low, high = self.class_start[number], self.class_start[number + 1]
-            if not len(some) or high - low == 1:
+        sorted_states, place = states[order], (targets - self.class_start[classes])[order]
+        cuts = np.searchsorted(classes[order], np.arange(len(self.class_start))).tolist()
+        starts = self.class_start.tolist()
+        found, into = np.zeros(len(order), dtype=states.dtype), np.zeros_like(sorted_states) if share else None
+        for number, (low, high) in enumerate(zip(starts, starts[1:])):
+            first, last = cuts[number], cuts[number + 1]
+            if first == last or high - low == 1:
                 continue
-            mine, place = states[some], targets[some] - low
-            share, found = _softmax(mine @ self.word_out[low:high].T + self.word_bias[low:high], place)
-            result[some] += found
-            if gradients is not None:
-                share[np.arange(len(some)), place] -= 1
-                gradients["word_out"][low:high] += share.T @ mine
-                gradients["word_bias"][low:high] += share.sum(axis=0)
-                back[some] += share @ self.word_out[low:high]
+            mine = sorted_states[first:last]
+            scores = mine @ self.word_out[low:high].T
+            scores += self.word_bias[low:high]
+            found[first:last] = _softmax(scores, rows[: last - first], place[first:last], plain, share)
+            if share:
+                scores[rows[: last - first], place[first:last]] -= 1
+                gradients["word_out"][low:high] += scores.T @ mine
+                gradients["word_bias"][low:high] += scores.sum(axis=0)
+                into[first:last] = scores @ self.word_out[low:high]
+        result[order] += found
+        if share:
+            back[order] += into
         return result, back
 
     def learn(self, inputs, targets, fresh, state, rate: float, squares: dict) -> np.ndarray:
         """One window of truncated backpropagation (Adagrad); returns the state to carry on."""
         h, real = self.hidden, targets >= 0
-        states, saved = self.run(inputs, fresh, state)
-        gradients = {name: np.zeros_like(getattr(self, name)) for name in self.NAMES}
+        states, saved = self.run(inputs, fresh, state, keep=True)
+        gradients = {name: np.zeros_like(getattr(self, name)) for name in self.NAMES[1:]}
         _, back = self.log_probability(states[real], targets[real], gradients)
         outer = np.zeros_like(states)
         outer[real] = back
-        later = np.zeros_like(state)
-        given = np.empty((len(inputs), len(state), 3 * h), dtype=np.float32)
+        later = np.zeros_like(state, dtype=states.dtype)
+        given = np.empty((len(inputs), len(state), 3 * h), dtype=states.dtype)
+        into, some = np.empty((len(state), 3 * h), dtype=states.dtype), np.empty((len(state), h), dtype=states.dtype)
+        starts = fresh.min(axis=1) == 0
         for step in range(len(inputs) - 1, -1, -1):
             before, update, reset, candidate, past = saved[step]
-            slope = outer[step] + later
-            to_candidate = slope * (1 - update) * (1 - candidate * candidate)
-            to_update = slope * (before - candidate) * update * (1 - update)
-            to_reset = to_candidate * past * reset * (1 - reset)
-            given[step] = np.concatenate((to_update, to_reset, to_candidate), axis=1)
-            into = np.concatenate((to_update, to_reset, to_candidate * reset), axis=1)
+            mine, slope = given[step], outer[step]
+            slope += later
+            to_update, to_reset, to_candidate = mine[:, :h], mine[:, h : 2 * h], mine[:, 2 * h :]
+            np.multiply(slope, update, out=later)
+            np.subtract(slope, later, out=to_candidate)  # slope (1 - update)
+            np.subtract(before, candidate, out=to_update)
+            to_update *= update
+            to_update *= to_candidate
+            np.multiply(candidate, candidate, out=some)
+            np.subtract(1, some, out=some)
+            to_candidate *= some
+            np.multiply(reset, reset, out=some)
+            np.subtract(reset, some, out=to_reset)  # reset (1 - reset)
+            to_reset *= past
+            to_reset *= to_candidate
+            into[:, : 2 * h] = mine[:, : 2 * h]
+            np.multiply(to_candidate, reset, out=into[:, 2 * h :])
             gradients["state"] += before.T @ into
-            later = (slope * update + into @ self.state.T) * fresh[step][:, None]
-        flat, words = given[real], inputs[real]
+            later += into @ self.state.T
+            if starts[step]:
+                later *= fresh[step][:, None]
+        scale = 1.0 / max(1, int(real.sum())) ** 0.5
+        # only the rows of input words that the window has
+        words = inputs[real]
         order = np.argsort(words, kind="stable")
         firsts = np.flatnonzero(np.diff(words[order], prepend=-1))
-        gradients["inputs"][words[order][firsts]] = np.add.reduceat(flat[order], firsts, axis=0)
-        scale = 1.0 / max(1, int(real.sum())) ** 0.5
-        for name in self.NAMES:
-            gradient = gradients[name] * scale
+        rows = words[order][firsts]
+        gradient = np.add.reduceat(given[real][order], firsts, axis=0)
+        gradient *= scale
+        known = squares["inputs"][rows] + gradient * gradient
+        squares["inputs"][rows] = known
+        self.inputs[rows] -= rate * gradient / (np.sqrt(known) + 1e-6)
+        for name, gradient in gradients.items():
+            gradient *= scale
             squares[name] += gradient * gradient
-            getattr(self, name)[...] -= rate * gradient / (np.sqrt(squares[name]) + 1e-6)
+            step = np.sqrt(squares[name])
+            step += 1e-6
+            gradient /= step
+            gradient *= rate
+            values = getattr(self, name)
+            values -= gradient
         return states[-1]
 
     def train(self, texts: list[np.ndarray], rate: float, squares: dict, lanes: int = LANES, window: int = WINDOW) -> None:
@@ -206,14 +264,16 @@ class Gru:
             )
 
 
-def _softmax(scores: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The softmax of each row, and the log of its chosen entry."""
-    scores -= scores.max(axis=1, keepdims=True)
-    picked = scores[np.arange(len(scores)), chosen]
+def _softmax(scores: np.ndarray, rows: np.ndarray, chosen: np.ndarray, plain: bool, share: bool) -> np.ndarray:
+    """The log probability of each row's chosen entry; with ``share``, scores become probabilities."""
+    if not plain:
+        scores -= scores.max(axis=1, keepdims=True)
+    picked = scores[rows, chosen]
     np.exp(scores, out=scores)
-    total = scores.sum(axis=1, keepdims=True)
-    scores /= total
-    return scores, picked - np.log(total[:, 0])
+    total = scores @ np.ones(scores.shape[1], dtype=scores.dtype)
+    if share:
+        scores /= total[:, None]
+    return picked - np.log(total)
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -243,15 +303,42 @@ def _counted(counts: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([words, pa.array(list(counts.values()), type=pa.int64())], ["word", "n"])
 
 
+def frequent_words(counts: DataFrame, most: int) -> list:
+    """The most frequent words, at most ``most``, by falling count: all words above a count.
+
+    The bound comes from how many words have which size of count, about a thousand rows; so
+    the driver sees these and the words, and no task sorts more.
+    """
+    size = F.floor(F.log2("n") * 16)
+    words = counts.filter(F.col("word") != END)
+    sizes = sorted(words.groupBy(size.alias("size")).agg(F.count("*").alias("words")).collect(), reverse=True)
+    least, seen = None, 0
+    for row in sizes:
+        seen += row.words
+        if seen > most:
+            break
+        least = row.size
+    if least is None:
+        return []
+    return sorted(words.filter(size >= least).collect(), key=lambda row: (-row.n, row.word))
+
+
+class Ranks(dict):
+    """Ranks of words, -1 for any other."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 class Words:
     """The frequent words by rank; the first ``vocabulary`` ranks are the model's words."""
 
     def __init__(self, words: list[str], vocabulary: int):
-        self.rank = {word.encode(): rank for rank, word in enumerate(words)}
+        self.rank = Ranks((word.encode(), rank) for rank, word in enumerate(words))
         self.vocabulary = vocabulary
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.rank.get, words, repeat(-1)), dtype=np.int32, count=len(words))
+        return np.fromiter(map(self.rank.__getitem__, words), dtype=np.int32, count=len(words))
 
     def ids(self, ranks: np.ndarray) -> np.ndarray:
         """Model ids: words that the model does not know are "another word"."""
@@ -330,7 +417,7 @@ def score_documents(
     training = rows.filter(is_training)
     counts = stored(count_words(training), "counts")
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.filter(F.col("word") != END).orderBy(F.desc("n"), "word").limit(frequent).collect()
+    top = frequent_words(counts, frequent)
     words = spark.sparkContext.broadcast([row.word for row in top])
     n_top = np.array([row.n for row in top], dtype=np.float64)
     vocabulary = min(vocabulary, len(top))
