@@ -28,6 +28,8 @@ SAMPLE_ROWS = 65_536
 SEARCH = 0.06
 #: Rows of a leaf that are scored at once.
 BLOCK_ROWS = 2_048
+#: Results that a task combines before it hands them on.
+COMBINED_ROWS = 100_000
 
 
 @dataclass
@@ -132,7 +134,29 @@ def in_leaves(classes: DataFrame, forest: RandomTrees, queries: bool, most: int)
 
 
 def score_leaves(batches: Iterable[pa.RecordBatch], nearest: int) -> Iterator[pa.RecordBatch]:
-    """The best ``nearest`` classes of each leaf for each query that visits it, scored exactly."""
+    """The best ``nearest`` classes for each query among the leaves of a partition, scored exactly.
+
+    A query visits many leaves; what it finds in them is combined here, before the shuffle.
+    """
+    held: list[pa.RecordBatch] = []
+    for found in _score_each_leaf(batches, nearest):
+        held.append(found)
+        if sum(part.num_rows for part in held) > COMBINED_ROWS:
+            held = [_best_of(held, nearest)]
+            if held[0].num_rows > COMBINED_ROWS // 2:
+                yield held.pop()
+    if held:
+        yield _best_of(held, nearest)
+
+
+def _best_of(parts: list[pa.RecordBatch], nearest: int) -> pa.RecordBatch:
+    rows = pa.Table.from_batches(parts).to_pandas()
+    rows = rows.sort_values(["asking", "score", "least"], ascending=[True, False, True], kind="stable")
+    rows = rows.drop_duplicates(["asking", "class"]).groupby("asking", sort=False).head(nearest)
+    return pa.RecordBatch.from_pandas(rows, schema=parts[0].schema, preserve_index=False)
+
+
+def _score_each_leaf(batches: Iterable[pa.RecordBatch], nearest: int) -> Iterator[pa.RecordBatch]:
     for table in whole_groups(batches, ["tree", "leaf"], least_rows=4_096):
         starts = group_starts(table, ["tree", "leaf"]).tolist()
         for low, high in zip(starts, [*starts[1:], table.num_rows]):
