@@ -11,7 +11,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from .common import sliced
 
 #: Pieces of text whose ids a task remembers.
-MOST_PIECES = 400_000
-BATCH_BYTES = 24 << 20
+MOST_PIECES = 200_000
+BATCH_BYTES = 6 << 20
+#: Bytes of new pre-tokens that are merged at once.
+MERGE_BYTES = 1 << 20
 NO_RANK = -1
 
 
@@ -71,7 +73,7 @@ class Merges:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.size = max(ranks.values(), default=-1) + 1
-        self.of_byte = np.array([ranks.get(bytes([b]), NO_RANK) for b in range(256)], dtype=np.int64)
+        self.of_byte = np.array([ranks.get(bytes([b]), NO_RANK) for b in range(256)], dtype=np.int32)
         self.whole = ranks
         pairs = {}
         for token, rank in ranks.items():
@@ -82,12 +84,12 @@ class Merges:
         keys = np.fromiter(pairs.keys(), dtype=np.int64, count=len(pairs))
         order = np.argsort(keys)
         self.keys = np.append(keys[order], np.iinfo(np.int64).max)
-        self.ranks = np.append(np.fromiter(pairs.values(), dtype=np.int64, count=len(pairs))[order], NO_RANK)
+        self.ranks = np.append(np.fromiter(pairs.values(), dtype=np.int32, count=len(pairs))[order], np.int32(NO_RANK))
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        wanted = left * self.size + right
+        wanted = left.astype(np.int64) * self.size + right
         at = np.searchsorted(self.keys, wanted)
-        return np.where(self.keys[at] == wanted, self.ranks[at], NO_RANK)
+        return np.where(self.keys[at] == wanted, self.ranks[at], np.int32(NO_RANK))
 
     def encode(self, pieces: list[bytes], one_by_one: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pre-tokens in a row, and the number of ids of each.
@@ -102,12 +104,12 @@ class Merges:
         n = int(sizes.sum())
         token = self.of_byte[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
         ends = np.cumsum(sizes)
-        piece = np.repeat(np.arange(len(pieces)), sizes)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        piece = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         after[ends[sizes > 0] - 1] = -1
         before[(ends - sizes)[sizes > 0]] = -1
-        rank = np.full(n, NO_RANK, dtype=np.int64)
-        inner = np.flatnonzero(after >= 0)
+        rank = np.full(n, NO_RANK, dtype=np.int32)
+        inner = np.flatnonzero(after >= 0).astype(np.int32)
         rank[inner] = self.rank(token[inner], token[inner + 1])
         alive = np.ones(n, dtype=bool)
         buckets: dict[int, list[np.ndarray]] = {}
@@ -135,7 +137,7 @@ class Merges:
             here = parts[0] if len(parts) == 1 else np.concatenate(parts)
             here = here[rank[here] == now]  # the rest is stale
             if len(parts) > 1 or one_by_one:
-                here = np.unique(here)
+                here = _distinct(here)
             if not len(here):
                 continue
             if one_by_one:
@@ -152,6 +154,11 @@ class Merges:
                     here = here[(place - start) % 2 == 0]
             gone = after[here]
             beyond = after[gone]
+            if not one_by_one and len(here) > 1:  # merged pairs side by side: the left one meets the right one unmerged
+                close = np.flatnonzero(beyond[:-1] == here[1:])
+                if len(close):
+                    met = self.rank(np.full(len(close), now, dtype=np.int32), token[beyond[close]])
+                    early[piece[here[close[(met >= 0) & (met < now)]]]] = True
             token[here] = now
             alive[gone] = False
             rank[gone] = NO_RANK
@@ -162,7 +169,7 @@ class Merges:
             changed = np.concatenate((here[linked], left[left >= 0]))
             rank[here] = NO_RANK
             if len(changed):
-                changed = np.unique(changed)
+                changed = _distinct(changed)
                 ranks = self.rank(token[changed], token[after[changed]])
                 rank[changed] = ranks
                 if not one_by_one:
@@ -180,18 +187,28 @@ class Merges:
         return ids, counts
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted and without repeats, by sorting (the arrays are short)."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 class Pool:
-    """Id sequences side by side, read by their number."""
+    """Sequences of ids (or bytes) side by side, read by their number."""
 
-    def __init__(self):
-        self.starts, self.ids = np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.int32)
+    def __init__(self, kind: type = np.int32):
+        self.starts, self.ids = np.zeros(1, dtype=np.int64), np.empty(0, dtype=kind)
 
     def __len__(self) -> int:
         return len(self.starts) - 1
 
     def append(self, ids: np.ndarray, counts: np.ndarray) -> None:
         self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(counts)))
-        self.ids = np.concatenate((self.ids, ids.astype(np.int32)))
+        self.ids = np.concatenate((self.ids, ids.astype(self.ids.dtype)))
+
+    def trim(self, kept: int) -> None:
+        self.starts = self.starts[: kept + 1]
+        self.ids = self.ids[: self.starts[-1]].copy()
 
     def read(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The sequences of ``numbers`` in a row, and the size of each."""
@@ -202,76 +219,120 @@ class Pool:
         return self.ids[np.arange(total) + np.repeat(low - ends + sizes, sizes)], sizes
 
 
-class Encoder:
-    """Encodes whole texts; remembers the ids of the pieces between single spaces.
+class Pieces(dict):
+    """Numbers pieces in the order they appear; ``new`` has those not learned yet."""
+
+    def __init__(self, known: Iterable = ()):
+        super().__init__(known)
+        self.new: list = []
+
+    def __missing__(self, piece) -> int:
+        number = self[piece] = len(self)
+        self.new.append(piece)
+        return number
+
+
+class PieceEncoder:
+    """Encodes whole texts by their pieces between single spaces, whose ids it remembers.
 
-    A space between two characters that are no white space always begins a pre-token, so a
-    text cut there gives the same ids piece by piece. Where white space meets white space,
-    or begins or ends a text, the text is cut by pre-tokens instead.
+    A byte-level tokenizer always splits before a space that stands alone between two
+    characters that are no white space, so a text cut there gives the same ids piece by
+    piece. A text in which white space meets white space, or that begins or ends with it, is
+    cut at the other spaces only. A string stands for itself after a space, a tuple for its
+    only member as it is. Subclasses say how different pieces are encoded.
     """
 
-    UNEVEN = re.compile(r"\s\s|^\s|\s\Z")
+    EVEN_CUT = re.compile(r"(?<=\S)(?= \S)")
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = MOST_PIECES):
-        self.merges = Merges(ranks)
-        self.pattern = regex.compile(pattern)
+    def __init__(self, most_pieces: int = MOST_PIECES):
         self.most_pieces = most_pieces
-        self.clear()
-
-    def clear(self) -> None:
-        self.words: dict[str, int] = {}  # pre-token -> its number in word_ids
-        self.pieces: dict[str, int] = {}
-        self.word_ids, self.piece_ids = Pool(), Pool()
-
-    def _learn_words(self, words: set[str]) -> None:
-        whole = self.merges.whole
-        new = [word for word in words if word not in self.words]
-        known = [whole.get(word.encode(), -1) for word in new]
-        direct = [word for word, rank in zip(new, known) if rank >= 0]
-        merged = [word for word, rank in zip(new, known) if rank < 0]
-        self.words.update(zip(direct, range(len(self.word_ids), len(self.word_ids) + len(direct))))
-        ranks = np.array(known, dtype=np.int64)
-        self.word_ids.append(ranks[ranks >= 0], np.ones(len(direct), dtype=np.int64))
-        self.words.update(zip(merged, range(len(self.word_ids), len(self.word_ids) + len(merged))))
-        self.word_ids.append(*self.merges.encode([word.encode() for word in merged]))
-
-    def _learn(self, pieces: list[str]) -> None:
-        parts = list(map(self.pattern.findall, pieces))
-        self._learn_words(set(chain.from_iterable(parts)))
-        numbers = np.fromiter(map(self.words.__getitem__, chain.from_iterable(parts)), dtype=np.int64)
-        ids, sizes = self.word_ids.read(numbers)
-        ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))
-        totals = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], ends))]
-        self.pieces.update(zip(pieces, range(len(self.piece_ids), len(self.piece_ids) + len(pieces))))
-        self.piece_ids.append(ids, np.diff(totals))
-
-    def cut(self, text: str) -> list[str]:
-        """Pieces that encode independently and give the text when joined."""
-        if self.UNEVEN.search(text):
-            return self.pattern.findall(text)
-        if not text:
-            return []
-        first, *rest = text.split(" ")
-        return [first, *[" " + piece for piece in rest]]
+        self.pieces, self.pool = Pieces(), Pool()
+        self.uneven = np.zeros(0, dtype=bool)
+
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        raise NotImplementedError
+
+    def trim(self) -> None:
+        """Forget all but the pieces met first: among them are the most frequent ones."""
+        if len(self.pieces) > self.most_pieces:
+            kept = self.most_pieces // 2
+            self.pieces = Pieces(islice(self.pieces.items(), kept))
+            self.pool.trim(kept)
+            self.uneven = self.uneven[:kept]
+
+    def _numbers(self, pieces: list) -> np.ndarray:
+        return np.fromiter(map(self.pieces.__getitem__, pieces), dtype=np.int32, count=len(pieces))
+
+    def _learn(self) -> None:
+        new, self.pieces.new = self.pieces.new, []
+        if not new:
+            return
+        inner = [piece[0] if isinstance(piece, tuple) else piece for piece in new]
+        bare = [not text or text[0].isspace() or text[-1].isspace() for text in inner]
+        self.uneven = np.concatenate((self.uneven, bare))
+        self.pool.append(
+            *self.encode_pieces([text if isinstance(piece, tuple) else " " + text for piece, text in zip(new, inner)])
+        )
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the number of ids of each."""
-        if len(self.pieces) > self.most_pieces or len(self.words) > self.most_pieces:
-            self.clear()
-        new: set[str] = set()
+        self.trim()
+        numbers = []
         for text in texts:
-            new.update(self.cut(text))
-        new.difference_update(self.pieces)
-        self._learn(list(new))
-        ids, counts = [np.empty(0, dtype=np.int32)], np.zeros(len(texts), dtype=np.int64)
+            pieces = text.split(" ") if text else []
+            if pieces:
+                pieces[0] = (pieces[0],)
+            numbers.append(self._numbers(pieces))
+        self._learn()
         for row, text in enumerate(texts):
-            pieces = self.cut(text)
-            numbers = np.fromiter(map(self.pieces.__getitem__, pieces), dtype=np.int64, count=len(pieces))
-            ids.append(self.piece_ids.read(numbers)[0])
+            if self.uneven[numbers[row]].any():
+                numbers[row] = self._numbers([(piece,) for piece in self.EVEN_CUT.split(text)])
+        self._learn()
+        ids, counts = [np.empty(0, dtype=np.int32)], np.zeros(len(texts), dtype=np.int64)
+        for row, found in enumerate(numbers):
+            ids.append(self.pool.read(found)[0])
             counts[row] = len(ids[-1])
         return np.concatenate(ids), counts
 
 
+class Encoder(PieceEncoder):
+    """Pieces cut by the pattern into pre-tokens, which are merged by the rank queue."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = MOST_PIECES):
+        super().__init__(most_pieces)
+        self.merges = Merges(ranks)
+        self.pattern = regex.compile(pattern)
+
+    def _encode_words(self, words: list[str]) -> Pool:
+        """The ids of different pre-tokens."""
+        pool = Pool()
+        data = [word.encode() for word in words]
+        known = np.fromiter(map(self.merges.whole.get, data, repeat(-1)), dtype=np.int32, count=len(data))
+        part = np.cumsum([0, *map(len, data)])[:-1] // MERGE_BYTES
+        cuts = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(data)]
+        for low, high in zip(cuts, cuts[1:]):
+            # a pre-token that is a token as a whole needs no merge
+            whole = known[low:high]
+            todo = [word for word, rank in zip(data[low:high], whole.tolist()) if rank < 0]
+            merged, sizes = self.merges.encode(todo)
+            counts = np.ones(high - low, dtype=np.int64)
+            counts[whole < 0] = sizes
+            ids = np.empty(int(counts.sum()), dtype=np.int32)
+            direct = np.repeat(whole >= 0, counts)
+            ids[direct], ids[~direct] = whole[whole >= 0], merged
+            pool.append(ids, counts)
+        return pool
+
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = list(map(self.pattern.findall, pieces))
+        words = Pieces()
+        numbers = np.fromiter(map(words.__getitem__, chain.from_iterable(parts)), dtype=np.int32)
+        ids, sizes = self._encode_words(words.new).read(numbers)
+        ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))
+        totals = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], ends))]
+        return ids, np.diff(totals)
+
+
 def encode_documents(
     docs: DataFrame, ranks_path: str, pattern: str, text_column: str = "text", ids_column: str = "ids",
     batch_bytes: int = BATCH_BYTES,
@@ -315,10 +376,12 @@ def decode_documents(
         of_id = [b""] * (max(ranks.value.values(), default=-1) + 1)
         for token, rank in ranks.value.items():
             of_id[rank] = token
+        pool = Pool(np.uint8)
+        pool.append(np.frombuffer(b"".join(of_id), dtype=np.uint8), np.array([len(token) for token in of_id]))
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             texts = [
-                b"".join(map(of_id.__getitem__, column[row].values.to_pylist())) if column[row].is_valid else b""
+                pool.read(column[row].values.to_numpy(zero_copy_only=False))[0].tobytes() if column[row].is_valid else b""
                 for row in range(batch.num_rows)
             ]
             yield pa.RecordBatch.from_arrays(

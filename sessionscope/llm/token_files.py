@@ -15,7 +15,7 @@ binary fields:
 
 from __future__ import annotations
 
-import re
+import os
 from collections.abc import Iterable, Iterator
 from zlib import crc32
 
@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import new_folder
-from .bpe import BATCH_BYTES, MOST_PIECES, Pool
+from .bpe import BATCH_BYTES, MOST_PIECES, PieceEncoder, Pool
 from .common import sliced
 
 BLOCK_IDS = 1 << 20
 PART_BYTES = 32 << 20
 SELECT_STEP = 256
+#: New pieces that the library encodes as one text.
+JOINED_PIECES = 500
 
 FILES = (
     "part int, block int, width int, n_docs long, n_ids long, low_bits int, doc_ids array<long>, "
@@ -98,55 +100,53 @@ class EliasFano:
         return (places - number << self.low_bits) + self._low(number)
 
 
-class PieceTokenizer:
+class PieceTokenizer(PieceEncoder):
     """Encodes with the tokenizers library, once for each different piece of text.
 
-    A byte-level tokenizer splits before a space that stands alone between two characters
-    that are no white space, so texts cut there give the same ids piece by piece. Special
-    tokens that a text spells out are ordinary text.
+    Special tokens that a text spells out are ordinary text.
     """
 
-    UNEVEN = re.compile(r"\s\s|^\s|\s\Z")
-    EVEN_CUT = re.compile(r"(?<=\S)(?= \S)")
-
     def __init__(self, definition: str, most_pieces: int = MOST_PIECES):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
+        super().__init__(most_pieces)
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        self.most_pieces = most_pieces
-        self.clear()
-
-    def clear(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.pool = Pool()
-
-    def cut(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if self.UNEVEN.search(text):
-            return self.EVEN_CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + piece for piece in rest]]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.numbers) > self.most_pieces:
-            self.clear()
-        new: set[str] = set()
-        for text in texts:
-            new.update(self.cut(text))
-        todo = [piece for piece in new if piece not in self.numbers]
-        for low in range(0, len(todo), 10_000):
-            some = todo[low : low + 10_000]
-            found = [encoding.ids for encoding in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            self.numbers.update(zip(some, range(len(self.pool), len(self.pool) + len(some))))
-            counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            self.pool.append(np.concatenate([np.array(ids, dtype=np.int32) for ids in found]), counts)
-        out = []
-        for text in texts:
-            pieces = self.cut(text)
-            out.append(self.pool.read(np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces)))[0])
-        return out
+
+        self.sizes = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.sizes[number] = len(token)  # a byte-level token has one character for each byte
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(encoding.ids, dtype=np.int32) for encoding in found]
+
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words after a space are encoded many at a time and told apart by their bytes."""
+        plain = np.array([
+            len(piece) > 1 and piece[0] == " " and not piece[1].isspace() and not piece[-1].isspace() for piece in pieces
+        ])
+        counts = np.zeros(len(pieces), dtype=np.int64)
+        ids = [np.empty(0, dtype=np.int32)] * len(pieces)
+        rows = np.flatnonzero(plain)
+        groups = [rows[low : low + JOINED_PIECES].tolist() for low in range(0, len(rows), JOINED_PIECES)]
+        for group, found in zip(groups, self._ids(["".join([pieces[row] for row in group]) for group in groups])):
+            ends = np.cumsum([len(pieces[row].encode()) for row in group])
+            cuts = np.searchsorted(np.cumsum(self.sizes[found]), ends) + 1
+            counts[group] = np.diff(cuts, prepend=0)
+            ids[group[0]] = found  # the group's ids in a row, split by the counts
+        others = np.flatnonzero(~plain).tolist()
+        for row, found in zip(others, self._ids([pieces[row] for row in others])):
+            counts[row], ids[row] = len(found), found
+        order = np.concatenate((rows, others)).astype(np.int64)
+        flat = np.concatenate([ids[row] for row in order.tolist()]) if len(order) else np.empty(0, dtype=np.int32)
+        # from the order encoded back to the order asked for
+        pool = Pool()
+        pool.append(flat, counts[order])
+        back = np.empty(len(order), dtype=np.int64)
+        back[order] = np.arange(len(order))
+        return pool.read(back)
 
 
 def write_token_files(
@@ -177,7 +177,8 @@ def write_token_files(
         names: list[int | None] = []
         size = 0
         for batch in sliced(batches, "text", BATCH_BYTES):
-            encoded = encoder.encode([text or "" for text in batch.column(1).to_pylist()])
+            ids, counts = encoder.encode([text or "" for text in batch.column(1).to_pylist()])
+            encoded = np.split(ids, np.cumsum(counts)[:-1])
             for name, ids in zip(batch.column(0).to_pylist(), encoded):
                 held.append(np.append(ids, end_id).astype(f"<u{width}"))
                 names.append(name)
