@@ -103,7 +103,9 @@ class EliasFano:
 class PieceTokenizer(PieceEncoder):
     """Encodes with the tokenizers library, once for each different piece of text.
 
-    Special tokens that a text spells out are ordinary text.
+    No special tokens are added. One that a text spells out is that token, as in the library's
+    own call with its defaults; the definition's has no spaces and does not strip any, so
+    pieces are cut as without it.
     """
 
     def __init__(self, definition: str, most_pieces: int = MOST_PIECES):
@@ -112,8 +114,6 @@ class PieceTokenizer(PieceEncoder):
 
         super().__init__(most_pieces)
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
-
         self.sizes = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
         for token, number in self.tokenizer.get_vocab().items():
             self.sizes[number] = len(token)  # a byte-level token has one character for each byte

@@ -50,5 +50,24 @@ def test_dirty_table(spark, dirty, block_ids, part_bytes):
         at += row.n_tokens
 
 
+def test_spelled_special_token(spark):
+    """The library's own call decides, with its defaults."""
+    token = "<|endoftext|>"
+    texts = [
+        token, f"a {token} b", f"a{token}b", f"{token}{token} c", f"a  {token}  b", f"\n{token}\t{token} ",
+        f"one {token} two x{token}y {token} three", f" {token[:-1]} {token[1:]} ", "plain text after it",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = read_token_files(spark, write_token_files(docs, PATH, end_id=2)).collect()
+    library = Tokenizer.from_file(PATH)
+    expected, at = {}, 0
+    for number, text in enumerate(texts):
+        ids = np.array([*library.encode(text, add_special_tokens=False).ids, 2], dtype="<u4")
+        expected[number] = (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert {row.doc_id: (row.start, row.n_tokens, row.ids_crc32) for row in found} == expected
+    assert 50256 in np.frombuffer(next(bytes(row.ids) for row in found if row.doc_id == 1), dtype="<u4")
+
+
 def test_empty(spark, nothing):
     assert read_token_files(spark, write_token_files(nothing, PATH, end_id=2)).collect() == []
