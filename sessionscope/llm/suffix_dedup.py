@@ -333,6 +333,18 @@ def _sort_collection(collection: list[tuple], size_of: dict[int, int], length: i
         found.setdefault(collection[owner], []).append((first, last))
 
 
+def repeated_windows(strings: DataFrame) -> DataFrame:
+    """Runs (as ``RUNS``) of the strings of width 1 that repeat.
+
+    Their core is the whole window, so nothing is left to sort: copies are summed by core,
+    before the shuffle where they can be, and no task holds the strings of one core.
+    """
+    repeated = strings.groupBy("c1", "c2").agg(F.sum("copies").alias("n")).filter("n > 1").select("c1", "c2")
+    return strings.join(repeated, ["c1", "c2"], "left_semi").select(
+        "key", "hash", F.col("base").alias("low"), F.col("base").alias("high")
+    )
+
+
 def repeated_starts(
     texts: DataFrame, length: int = LENGTH, gram: int = GRAM, width: int = WIDTH, most_strings: int = MOST_STRINGS
 ) -> DataFrame:
@@ -365,8 +377,10 @@ def repeated_starts(
         rest = now.join(crowded, ["c1", "c2"], "left_anti")
         previous, path = path, write_table(rest.unionByName(narrow), "strings")
         drop_table(spark, previous)
-    sorted_strings = read_table(strings, path).repartition("c1", "c2").sortWithinPartitions("c1", "c2")
+    now = read_table(strings, path)
+    sorted_strings = now.filter("width > 1").repartition("c1", "c2").sortWithinPartitions("c1", "c2")
     runs = sorted_strings.mapInArrow(lambda batches: repeated_offsets(batches, length), RUNS)
+    runs = runs.unionByName(repeated_windows(now.filter("width = 1")))
     alone = shared.filter("not mixed").select("key", "hash", (F.expr("anchor - starts + 1")).alias("low"), F.col("anchor").alias("high"))
     of_record = runs.unionByName(alone).groupBy("key", "hash").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
     of_record = stored(of_record, "runs")  # the join can then split the rows of a record that very many texts hold

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from sessionscope.llm import suffix_dedup
 from sessionscope.llm.suffix_dedup import Anchors, common_prefixes, cut_out, remove_repeats
 
 
@@ -87,6 +88,30 @@ def test_against_brute_force(spark, length, gram, width, most):
     assert sum(removed for _, removed, _, _ in expected) > 10_000
 
 
+def test_whole_windows_are_not_gathered(spark, monkeypatch):
+    """A passage with many different surroundings: cores of width 1 never reach the sorting tasks."""
+    sort = suffix_dedup.repeated_offsets
+
+    def narrow_refused(strings, length):
+        def seen():
+            for batch in strings:
+                assert not any(width == 1 for width in batch.column("width").to_pylist())
+                yield batch
+
+        return sort(seen(), length)
+
+    monkeypatch.setattr(suffix_dedup, "repeated_offsets", narrow_refused)
+    draw = random.Random(8)
+    some = lambda letters, size: "".join(draw.choice(letters) for _ in range(size))
+    passage = some("abcd ", 44)
+    texts = [some("wxyz", 60) + passage + some("wxyz", 60) for _ in range(80)] + corpus()[:20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = remove_repeats(docs, length=40, gram=8, width=8, most_strings=5).collect()
+    assert {row.doc_id: (row.n_bytes, row.n_removed, row.n_spans, bytes(row.kept)) for row in rows} == dict(
+        enumerate(brute([text.encode() for text in texts], 40))
+    )
+
+
 def test_dirty_table(dirty, nothing):
     renamed = dirty.withColumn("kept", dirty.copies).withColumn("t1", dirty.copies)
     rows = remove_repeats(renamed, length=40, gram=8, width=8).collect()
