@@ -93,6 +93,27 @@ class EliasFano:
         place = (byte << 3) + (word & -word).bit_length() - 1
         return (place - number << self.low_bits) + int(self._low(np.array([number]))[0])
 
+    def offsets(self, number: np.ndarray) -> np.ndarray:
+        """The offsets of these numbers, each by its own select; all of them step on together."""
+        number = number.astype(np.int64)
+        left = number % SELECT_STEP
+        place = self.select_places[number // SELECT_STEP].astype(np.int64)
+        byte = place >> 3
+        word = self.high[byte].astype(np.int64) >> (place & 7) << (place & 7)
+        rows = np.arange(len(number))
+        while len(rows):
+            count = np.bitwise_count(word[rows])
+            beyond = count <= left[rows]
+            rows = rows[beyond]
+            left[rows] -= count[beyond]
+            byte[rows] += 1
+            word[rows] = self.high[byte[rows]]
+        while (more := left > 0).any():
+            word[more] &= word[more] - 1
+            left[more] -= 1
+        place = (byte << 3) + np.bitwise_count((word & -word) - 1)
+        return (place - number << self.low_bits) + self._low(number)
+
     def all(self) -> np.ndarray:
         """Every offset at once."""
         number = np.arange(self.n)
@@ -203,30 +224,40 @@ def _file(part: int, block: int, width: int, names: list, held: list[np.ndarray]
     return pa.RecordBatch.from_arrays([pa.array([value], type=kind) for value, kind in zip(row, kinds)], fields)
 
 
-def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+def read_token_files(
+    spark: SparkSession, path: str, with_ids: bool = True, doc_ids: Iterable[int] | None = None
+) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document in the files, and its ``ids``.
 
     ``start`` is the number of ids of all documents before it, ``ids`` (left out without
     ``with_ids``) the ids as little-endian unsigned 32-bit integers, ``ids_crc32`` the
-    checksum of these bytes. Boundaries come from the Elias-Fano fields. The order of files
-    is found from one narrow row per file.
+    checksum of these bytes. With ``doc_ids`` only documents of these ids are read. Boundaries
+    come from the Elias-Fano fields by select, so nothing else of a file is unpacked. The order
+    of files is found from one narrow row per file.
     """
     files = spark.read.schema(FILES).parquet(path)
+    chosen = None if doc_ids is None else frozenset(doc_ids)
+    if chosen is None:
+        read = files
+    else:
+        read = files.filter(F.exists("doc_ids", lambda name: name.isin(*chosen)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file in batch.to_pylist():
                 boundaries = EliasFano(file["low_bits"], file["low"], file["high"], file["select"], file["n_docs"])
-                ends = boundaries.all()
-                starts = np.append(0, ends[:-1])
-                ids = np.frombuffer(file["ids"], dtype=f"<u{file['width']}").astype("<u4")
-                n = len(ends)
-                texts = [ids[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
+                names = file["doc_ids"]
+                number = np.array([at for at, name in enumerate(names) if chosen is None or name in chosen], dtype=np.int64)
+                ends = boundaries.offsets(number)
+                starts = np.where(number > 0, boundaries.offsets(np.maximum(number - 1, 0)), 0)
+                ids = np.frombuffer(file["ids"], dtype=f"<u{file['width']}")
+                n = len(number)
+                texts = [ids[a:b].astype("<u4").tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(n, file["part"], dtype=np.int32)), pa.array(np.full(n, file["block"], dtype=np.int32)),
-                        pa.array(file["doc_ids"], type=pa.int64()), pa.array(starts.astype(np.int64)),
-                        pa.array((ends - starts).astype(np.int64)),
+                        pa.array([names[at] for at in number.tolist()], type=pa.int64()), pa.array(starts),
+                        pa.array(ends - starts),
                         pa.array([crc32(text) for text in texts], type=pa.int64()),
                         *([pa.array(texts, type=pa.binary())] if with_ids else []),
                     ],
@@ -235,7 +266,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
 
     schema = "part int, block int, doc_id long, local long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     fields = [field.split()[0] for field in schema.split(", ")]
-    documents = files.mapInArrow(run, schema)
+    documents = read.mapInArrow(run, schema)
     before = Window.orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)
     bases = files.select("part", "block", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     return documents.join(bases, ["part", "block"]).select(

@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from sessionscope.llm import token_files
 from sessionscope.llm.token_files import EliasFano, read_token_files, write_token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +26,17 @@ def test_offsets(seed):
         assert again.select(number) == offsets[number]
 
 
+@pytest.mark.parametrize("seed", range(10))
+def test_many_offsets_by_select(seed):
+    draw = np.random.default_rng(seed)
+    size = int(draw.integers(1, 3000))
+    steps = np.where(draw.random(size) < 0.01, draw.integers(1, 1 << 22, size=size), draw.integers(1, 40, size=size))
+    offsets = np.cumsum(steps)
+    fields = EliasFano.encode(offsets)
+    for wanted in (np.arange(size), draw.integers(0, size, size=50), np.empty(0, dtype=np.int64)):
+        assert fields.offsets(wanted).tolist() == offsets[wanted].tolist()
+
+
 def test_space():
     offsets = np.cumsum(np.random.default_rng(1).integers(1, 2000, size=10_000))
     _, low, high, select = EliasFano.encode(offsets).fields()
@@ -50,6 +62,22 @@ def test_dirty_table(spark, dirty, block_ids, part_bytes):
         at += row.n_tokens
 
 
+def test_reading_selects(spark, dirty, monkeypatch):
+    """Neither the whole table nor chosen documents unpack the field of a file."""
+    path = write_token_files(dirty, PATH, end_id=2, block_ids=300, part_bytes=5000)
+
+    class Selecting(EliasFano):
+        def all(self):
+            raise AssertionError("unpacked")
+
+    monkeypatch.setattr(token_files, "EliasFano", Selecting)
+    rows = {tuple(row) for row in read_token_files(spark, path).collect()}
+    assert len(rows) >= 44
+    some = {tuple(row) for row in read_token_files(spark, path, doc_ids=[0, 3, 7, 30, 999]).collect()}
+    assert some == {row for row in rows if row[0] in (0, 3, 7, 30)}
+    assert read_token_files(spark, path, doc_ids=[]).collect() == []
+
+
 def test_spelled_special_token(spark):
     """The library's own call decides, with its defaults."""
     token = "<|endoftext|>"
