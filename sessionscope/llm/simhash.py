@@ -142,26 +142,41 @@ def near_duplicates(
     (unless nothing else is there: then it is null). An empty table gives no rows.
     """
     rows = stored(fingerprints(docs, id_column, text_column, words), "fingerprints")
+    of_class = _least_ids(rows, most_bits, piece_rows)
+    return rows.join(of_class, "fingerprint").select("id", "fingerprint", "component_id")
+
+
+def _least_ids(rows: DataFrame, most_bits: int, piece_rows: int) -> DataFrame:
+    """``fingerprint, component_id``: the least id of the component of each fingerprint."""
     classes = rows.groupBy("fingerprint").agg(F.min("id").alias("least_id"))
     components = connected_components(link_fingerprints(classes.select("fingerprint"), most_bits, piece_rows), "a", "b")
     named = classes.join(components, F.col("fingerprint") == F.col("node"), "left").select(
         "fingerprint", "least_id", F.coalesce("component", "fingerprint").alias("component")
     )
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_class = named.join(least, "component").select("fingerprint", "component_id")
-    return rows.join(of_class, "fingerprint").select("id", "fingerprint", "component_id")
+    return named.join(least, "component").select("fingerprint", "component_id")
 
 
 def keep_representatives(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 3, most_bits: int = MOST_BITS,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: the one with the smallest id.
 
-    Rows that repeat an id and its text count once. Rows without an id stay: nothing can
-    name them.
+    Rows are named by their id and the hash of their text: of the rows of a group that share
+    the smallest id, the text of the least hash stays, and rows that repeat both count once.
+    Rows without an id come after all others; a group that has no other rows keeps one of
+    them.
     """
-    groups = near_duplicates(docs.filter(F.col(id_column).isNotNull()), id_column, text_column, **options)
-    kept = groups.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias(id_column)).distinct()
-    named = docs.join(kept, id_column, "left_semi").withColumn("text hash", F.xxhash64(text_column))
-    single = named.dropDuplicates([id_column, "text hash"]).drop("text hash")
-    return single.unionByName(docs.filter(F.col(id_column).isNull()))
+    named = docs.select(
+        F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"),
+        F.struct(
+            F.col(id_column).isNull().alias("nameless"), F.col(id_column).alias("id"), F.xxhash64(text_column).alias("hash")
+        ).alias("name"),
+        F.col(text_column).alias("text"),
+    )
+    rows = stored(fingerprints(named, "name", "text", words), "fingerprints")
+    kept = _least_ids(rows, most_bits, piece_rows).select(F.col("component_id").alias("kept")).distinct()
+    same = F.expr("name.nameless = kept.nameless and name.id <=> kept.id and name.hash = kept.hash")
+    single = named.join(kept, same, "left_semi").dropDuplicates(["name"])
+    return single.select(*[F.col(f"row.`{name}`") for name in docs.columns])

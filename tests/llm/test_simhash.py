@@ -92,3 +92,22 @@ def test_representatives(dirty):
     groups = {row.component_id for row in near_duplicates(dirty.filter("doc_id is not null")).collect()}
     assert {row.doc_id for row in kept.collect()} - {None} == groups
     assert kept.filter("doc_id is null").count() == 1
+
+
+def test_representatives_without_an_id(spark):
+    """Copies without an id, or of a document with one, are one group; an id may name two texts."""
+    rows = [
+        (None, "alpha beta gamma delta epsilon"), (None, "ALPHA beta gamma delta epsilon"),
+        (5, "one two three four five six"), (None, "one two three four five six"),
+        (8, "north south east west up down"), (9, "north south east west up down"),
+        (9, "red green blue black white grey"), (9, "red green blue black white grey"), (8, "RED green blue black white grey"),
+        (None, None), (None, ""), (None, " "),
+    ]
+    docs = spark.createDataFrame([(*row, at) for at, row in enumerate(rows)], "doc_id long, text string, place int")
+    kept = [(row.doc_id, (row.text or "").strip().lower()) for row in keep_representatives(docs.repartition(3)).collect()]
+    prints = [slow_fingerprint(text) for _, text in rows]
+    assert len(set(components(prints))) == 5
+    assert sorted(kept, key=str) == sorted([
+        (None, "alpha beta gamma delta epsilon"), (5, "one two three four five six"), (8, "north south east west up down"),
+        (8, "red green blue black white grey"), (None, ""),
+    ], key=str)
