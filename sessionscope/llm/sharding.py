@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import new_folder
+from .common import stored
 
 BUCKET_BYTES = 16 << 20
+#: Equal rows that one task makes again from their number.
+COPIES = 1_000
 
 
 def _size(text: str):
@@ -34,8 +37,9 @@ def shard_documents(
     Null ids and texts, empty texts and repeated rows are rows like any other; an empty
     table gives empty shards. Which bucket a row falls into depends on the seed, the id
     and the text alone, and its place there on the sorted content of the bucket, so a task
-    that runs again writes the same rows. Only rows that repeat both id and text share a
-    bucket for certain.
+    that runs again writes the same rows. Where the rows that repeat both id and text are
+    more than a bucket, the bucket also depends on the whole row and on the number of its
+    copy, so no bucket has them all.
     """
     spark = docs.sparkSession
     record = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
@@ -46,7 +50,11 @@ def shard_documents(
     )
     total = docs.agg(F.sum(_size(text_column))).first()[0] or 0
     buckets = int(total // bucket_bytes) + 1
-    bucket = F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.lit(buckets)).cast("int").alias("bucket")
+    rows = spread_copies(rows, bucket_bytes)
+    place = F.when(F.col("copy") == 0, F.xxhash64(F.lit(seed + 1), "key")).otherwise(
+        F.xxhash64(F.lit(seed + 1), "key", "record", "copy")
+    )
+    bucket = F.pmod(place, F.lit(buckets)).cast("int").alias("bucket")
     # the counts of the buckets give each bucket's first position: one row a bucket, ids and texts only hashed
     counts = rows.groupBy(bucket).agg(F.count("*").alias("n"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -70,6 +78,24 @@ def shard_documents(
     return spark.read.schema(placed.schema).parquet(path)
 
 
+def spread_copies(rows: DataFrame, bucket_bytes: int, copies: int = COPIES) -> DataFrame:
+    """``key, record, copy`` of ``(key, size, record)``: copies are numbered where a key has more than a bucket.
+
+    Such rows are counted, before the shuffle where they can be, and made again from their
+    number in pieces of ``copies``; 0 is every row of the other keys.
+    """
+    of_key = rows.groupBy("key").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > bucket_bytes).select("key")
+    crowded = stored(of_key, "crowded")  # at most one row a bucket; the join sees how small it is
+    if crowded.isEmpty():
+        return rows.select("key", "record", F.lit(0).cast("long").alias("copy"))
+    single = rows.join(crowded, "key", "left_anti").select("key", "record", F.lit(0).cast("long").alias("copy"))
+    counted = rows.join(crowded, "key", "left_semi").groupBy("key", "record").agg(F.count("*").alias("n"))
+    pieces = counted.select("key", "record", "n", F.explode(F.expr(f"sequence(0, (n - 1) div {copies})")).alias("piece"))
+    numbers = F.expr(f"sequence(piece * {copies} + 1, least((piece + 1) * {copies}, n))")
+    again = pieces.repartition("key", "piece").select("key", "record", F.explode(numbers).alias("copy"))
+    return single.unionByName(again)
+
+
 def write_shards(placed: DataFrame) -> str:
     """Write rows to one folder per shard, sorted by slot inside each file."""
     path = new_folder(placed.sparkSession, "shards")

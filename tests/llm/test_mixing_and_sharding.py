@@ -98,6 +98,23 @@ def test_shards(dirty, bucket_bytes):
     assert Counter(rows) != Counter(other)
 
 
+def test_repeated_rows_are_spread(spark):
+    """Rows that repeat id and text, alike or not in the other columns, do not lie side by side."""
+    rows = [(None, None, 0)] * 3000 + [(None, None, n) for n in range(1, 1001)] + [(n, "x" * 3, n) for n in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, place int").repartition(3)
+    found = shard_documents(docs, shards=4, bucket_bytes=250).collect()
+    assert Counter(tuple(row.record) for row in found) == Counter(rows)
+    slots = defaultdict(list)
+    for row in found:
+        slots[row.shard].append(row.slot)
+    assert all(sorted(some) == list(range(1250)) for some in slots.values()) and len(slots) == 4
+    for kept, expected in ((lambda place, i: i is None and place == 0, 750), (lambda place, i: i is None and place > 0, 250)):
+        counts = Counter(row.shard for row in found if kept(row.record.place, row.record.doc_id))
+        assert all(expected * 0.7 < counts[shard] < expected * 1.3 for shard in range(4))
+    again = shard_documents(docs.repartition(5), shards=4, bucket_bytes=250).collect()
+    assert Counter(found) == Counter(again)
+
+
 def test_shards_need_no_python(dirty, nothing):
     plan = shard_documents(dirty)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
