@@ -4,7 +4,8 @@ Every document gets a hash-random key; sorted by it, the documents of a source f
 of words. The mix takes the line whole as often as the source's target allows (epochs),
 and then up to the exact word. Prefix sums are distributed: the key range of a source is
 cut into cells, cells are summed (with partial sums before the shuffle), and only inside a
-cell rows are sorted, so a source with a third of all rows is many tasks.
+cell rows are sorted, so a source with a third of all rows is many tasks. Rows that agree in
+id, source and size (as rows without an id often do) are one row with a count there.
 """
 
 from __future__ import annotations
@@ -54,6 +55,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     )
 
 
+def counted_cells(sized: DataFrame, cell_rows: int) -> DataFrame:
+    """Different rows of ``(source, key, id, size)`` with their number ``n`` and their ``cell``.
+
+    Cells are a fixed share of the key range: about ``cell_rows`` rows in a source that had
+    all rows.
+    """
+    bits = max(1, (sized.count() // cell_rows).bit_length())
+    counted = sized.groupBy("source", "key", "id", "size").agg(F.count("*").alias("n"))
+    return counted.withColumn("cell", F.shiftright("key", KEY_BITS - bits))
+
+
 def mix(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", seed: int = 11,
     cell_rows: int = 1_000, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS,
@@ -77,21 +89,19 @@ def mix(
     )
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, most)
-    # cells of a fixed share of the key range: about cell_rows rows in a source that had all rows
-    bits = max(1, (sized.count() // cell_rows).bit_length())
-    cells = sized.withColumn("cell", F.shiftright("key", KEY_BITS - bits))
+    cells = counted_cells(sized, cell_rows)
     line = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         cells.groupBy("source", "cell")
-        .agg(F.sum("size").alias("cell_size"))
+        .agg(F.sum(F.col("size") * F.col("n")).alias("cell_size"))
         .select("source", "cell", F.coalesce(F.sum("cell_size").over(line), F.lit(0)).alias("cell_start"))
     )
     inside = Window.partitionBy("source", "cell").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = cells.withColumn("place", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = cells.withColumn("place", F.coalesce(F.sum(F.col("size") * F.col("n")).over(inside), F.lit(0)))
     budget = F.round("target").cast("long")
     epochs = F.expr("budget div greatest(source_size, 1)")
     rest = F.col("budget") - F.col("epochs") * F.col("source_size")
-    left = rest - F.col("cell_start") - F.col("place")
+    left = rest - F.col("cell_start") - F.col("place") - F.col("copy") * F.col("size")
     return (
         placed.alias("p")
         .join(starts.alias("s"), F.expr("p.source <=> s.source and p.cell = s.cell"))
@@ -101,6 +111,7 @@ def mix(
         .select("p.*", "t.source_size", "t.target")
         .withColumn("budget", budget)
         .withColumn("epochs", epochs)
+        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
         .withColumn("taken", F.col("epochs") * F.col("size") + F.least(F.greatest(left, F.lit(0)), F.col("size")))
         .select("id", "source", "size", "source_size", "target", "taken")
     )

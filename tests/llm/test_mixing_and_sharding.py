@@ -3,10 +3,12 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from hashlib import md5
 
 import pytest
 from pyspark.sql import functions as F
 
+from sessionscope.llm import mixing
 from sessionscope.llm.mixing import mix, mixed_documents, source_targets
 from sessionscope.llm.oracle import SELECTS
 from sessionscope.llm.queries import QUERIES
@@ -64,6 +66,32 @@ def test_dirty_mix(dirty, cell_rows):
     assert Counter(map(tuple, rows)) == Counter(map(tuple, again))
 
 
+def test_rows_without_an_id_are_counted(spark):
+    """The mix of a line in which most rows agree, row by row, and what one cell has of them."""
+    draw = random.Random(4)
+    rows = [(None, "a " * draw.choice([1, 2, 5]), "s") for _ in range(900)]
+    rows += [(draw.choice([n, 3]), "b " * draw.randint(0, 9), draw.choice(["s", "t", None])) for n in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    found = mix(docs, cell_rows=10).collect()
+    budgets = {row.source: int(row.target + 0.5) for row in found}
+    expected = Counter()
+    for source, budget in budgets.items():
+        key = lambda number: int(md5(f"11:{'' if number is None else number}".encode()).hexdigest()[:15], 16)
+        line = sorted((key(number), number or 0, len(text.split()), number) for number, text, of in rows if of == source)
+        total, at = sum(size for _, _, size, _ in line), 0
+        epochs, rest = divmod(budget, max(total, 1))
+        for _, _, size, number in line:
+            expected[number, source, size, epochs * size + min(max(rest - at, 0), size)] += 1
+            at += size
+    assert Counter((row.id, row.source, row.size, row.taken) for row in found) == expected
+    sized = docs.select(
+        F.col("doc_id").alias("id"), "source", mixing.word_count("text").alias("size"), mixing.random_key(11, "doc_id").alias("key")
+    )
+    cells = mixing.counted_cells(sized, 10)
+    assert cells.agg(F.sum("n")).first()[0] == len(rows)
+    assert cells.groupBy("source", "cell").count().agg(F.max("count")).first()[0] < 100
+
+
 def test_mixed_documents(dirty, nothing):
     mixed = mixed_documents(dirty)
     assert mixed.columns == dirty.columns
