@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .ann import nearest_neighbours
 from .bpe import decode_documents, encode_documents, ids_digest
+from .conversation_repair import damage, repair_conversations, repaired_digest
 from .embedding_dedup import link_embeddings
 from .gru_lm import score_documents
 from .mixing import mix
@@ -97,6 +98,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    audits, repaired = repair_conversations(damage(table(spark, sf_dir, "conversations")))
+    digest = repaired_digest(repaired).withColumnRenamed("conv", "of")
+    return audits.join(digest, F.col("conv").eqNullSafe(F.col("of"))).select(
+        F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_bpe": op2_bpe,
@@ -108,4 +117,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": op8_language_model,
     "op9_shard": op9_shard,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
 }
