@@ -12,8 +12,10 @@ from .ann import nearest_neighbours
 from .bpe import decode_documents, encode_documents, ids_digest
 from .conversation_repair import damage, repair_conversations, repaired_digest
 from .embedding_dedup import link_embeddings
+from .filter_audit import audit_filters
 from .gru_lm import score_documents
 from .mixing import mix
+from .quality_rules import quality
 from .sharding import shard_documents
 from .simhash import hexadecimal, near_duplicates
 from .suffix_dedup import remove_repeats
@@ -106,6 +108,16 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_bpe": op2_bpe,
@@ -118,4 +130,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_shard": op9_shard,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_quality_rules": op13_quality_rules,
 }
