@@ -325,6 +325,8 @@ def _sort_collection(collection: list[tuple], size_of: dict[int, int], length: i
     )
     hit = longest >= length
     string, start = string[hit], start[hit]
+    if not len(string):
+        return
     order = np.lexsort((start, string))
     string, start = string[order], start[order]
     begins = np.flatnonzero((np.diff(string, prepend=-1) != 0) | (np.diff(start, prepend=-2) != 1))

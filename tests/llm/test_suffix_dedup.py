@@ -126,3 +126,14 @@ def test_dirty_table(dirty, nothing):
 def test_cut_out():
     spans = [{"first": 2, "last": 3}, {"first": 5, "last": 5}, {"first": 20, "last": 20}]
     assert cut_out(bytes(range(30)), spans, 4) == (30, 11, 2, bytes([0, 1, *range(9, 20), *range(24, 30)]))
+
+
+@pytest.mark.parametrize("size, cut", [(300, 0), (390, 0), (399, 0), (400, 400), (450, 450)])
+def test_planted_passages(spark, size, cut):
+    """At the length of 400 bytes a shared passage goes from 400 bytes on, whatever stands around it."""
+    draw = random.Random(size)
+    some = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    passage = some(size)
+    rows = [(n, some(200) + "<" + str(n) + passage + str(n) + ">" + some(100)) for n in range(6)]
+    found = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {row.n_removed for row in found} == {cut}
