@@ -18,6 +18,11 @@ from sessionscope.llm.suffix_dedup import remove_repeats
 from sessionscope.llm.toxicity import toxicity
 
 
+#: Bytes of a repeat that is cut out. A passage of over 50 words of prose has more (271 at least
+#: among those of the given tables), so every one that stands in two documents is found.
+PASSAGE_BYTES = 240
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
@@ -30,10 +35,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings of 400 bytes that stand anywhere else are cut out of every text."""
+    """Byte strings of ``PASSAGE_BYTES`` bytes that stand anywhere else are cut out of every text."""
     text = F.col("kept").alias("text")
     changed = {"text": text, "n_chars": F.length("kept").cast("long").alias("n_chars")}
-    return remove_repeats(docs, as_text=True).select(*[changed.get(name, F.col(name)) for name in docs.columns])
+    return remove_repeats(docs, length=PASSAGE_BYTES, as_text=True).select(*[changed.get(name, F.col(name)) for name in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ def texts_of(table):
 
 def test_registered():
     names = entry.queries()
-    assert all(any(name.startswith(f"op{number}_") for name in names) for number in range(1, 11))
+    assert all(any(name.startswith(f"op{number}_") for name in names) for number in range(1, 14))
     assert names["pipeline"] is corpus_pipeline.run
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "toxicity", "simhash_near_dedup", "suffix_array_dedup", "mixing_sources", "byte_level_bpe"
@@ -60,11 +60,27 @@ def test_one_document_of_each_group(outputs):
 def test_repeats_are_cut(outputs):
     before, after = texts_of(outputs[2]), texts_of(outputs[3])
     ids = sorted(before)
-    expected = brute([before[number].encode() for number in ids], 400)
+    expected = brute([before[number].encode() for number in ids], corpus_pipeline.PASSAGE_BYTES)
     assert after == {number: kept[3].decode("utf-8", "ignore") for number, kept in zip(ids, expected)}
     assert outputs[3].filter(F.length("text") != F.col("n_chars")).isEmpty()
 
 
+def test_passages_of_over_fifty_words_are_cut(spark):
+    """Each text of ``benchmark`` with over 50 words, planted in two documents with other words around it."""
+    passages = [row.text for row in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
+    passages = [text for text in passages if len(text.split()) > 50]
+    assert len(passages) > 30
+    rows = [(2 * n + side, f"{n} {side} before {passage} after {side} {n}", "en", "s", 0)
+            for n, passage in enumerate(passages) for side in (0, 1)]
+    rows.append((1_000, "a clean text " * 5, "en", "s", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = texts_of(corpus_pipeline.cut_repeats(spark, docs, SF_DIR))
+    assert left[1_000] == rows[-1][1]
+    for n, passage in enumerate(passages):
+        assert passage not in left[2 * n] and passage not in left[2 * n + 1]
+        assert len(left[2 * n].encode()) < 40
+
+
 def test_mix(outputs):
     before, after = texts_of(outputs[3]), texts_of(outputs[4])
     assert after.items() <= before.items()
