@@ -21,7 +21,9 @@ from sessionscope.session import configure, new_folder
 from sessionscope.sources import flatfile, history
 from sessionscope.sources.fixtures import fixture
 from sessionscope.streaming import aas
+from sessionscope.streaming import side_tables
 from sessionscope.streaming.collect import stream_collect as collect_stream
+from sessionscope.streaming.collect import stream_collect_state as collect_stream_state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -851,3 +853,126 @@ def stream_aas(spark, sf_dir):
     for stream in _drops(spark, sf_dir, "raw"):
         aas.stream_aas(stream, path, checkpoint, length="1 day", lateness="3650 days")
     return aas.read_aas(spark, path)
+
+
+# ---- keyed state on streams
+
+
+@query
+def stream_side_tables(spark, sf_dir):
+    """Every side table of the loop at its own rhythm, over two drops with a restart between them."""
+    loop = {name: fixture(spark, sf_dir, f"loop_{name}") for name in ("io", "sizes", "locks", "prepared")}
+    settings = fixture(spark, sf_dir, "settings").filter("name <> ''").replace({"setting_1": "port"}, subset="name")
+    folder = new_folder(spark, "loop")
+    path = {name: f"{folder}/{name}" for name in ("ticks", "io", "inventory", "databases", "sessions", "prepared", "ends")}
+    for stream in _drops(spark, sf_dir, "raw"):
+        tables = [
+            side_tables.io_table(path["io"], loop["io"]),
+            side_tables.inventory_table(path["inventory"], loop["sizes"], _inventory_host(loop["sizes"]), settings, "loop"),
+            side_tables.snapshot_table(path["databases"], loop["sizes"]),
+            side_tables.blocking_sessions_table(path["sessions"], _samples(spark, sf_dir), loop["locks"], own_pid=1001),
+            side_tables.blocking_prepared_table(path["prepared"], loop["locks"], loop["prepared"]),
+            side_tables.snapshot_table(path["ends"], loop["io"], every=None),
+        ]
+        side_tables.stream_side_tables(stream, path["ticks"], f"{folder}/offsets", tables, iterations=PLANNED)
+    shown = {
+        "ticks": ["i", "sessions"], "io": ["context", "reads", "writes"], "databases": ["datname", "size_bytes"],
+        "inventory": ["cluster_hostname", "cluster_port", "cluster_pretty_size", "cluster_databases", "cluster_processes"],
+        "sessions": ["pid", "usename"], "prepared": ["transaction_id", "gid"], "ends": ["context", "reads"],
+    }
+    result = None
+    for name, columns in shown.items():
+        line = F.concat_ws("; ", *[F.col(column).cast("string") for column in columns])
+        part = history.read_history(spark, path[name]).select(F.lit(name).alias("side"), "dtcol", line.alias("line"))
+        result = part if result is None else result.unionByName(part)
+    return result
+
+
+def _two_series(spark, sf_dir):
+    """Heartbeats in both clusters; the east has sessions that wait for locks, the west those that wait for I/O."""
+    samples = _samples(spark, sf_dir)
+    kept = lambda kind: samples.filter(is_heartbeat() | (F.col("wait_event_type") == kind))
+    return history.union_clusters({"east": kept("Lock"), "west": kept("IO").filter(is_heartbeat() | (F.col("pid") % 3 == 0))})
+
+
+@query
+def stop_clusters(spark, sf_dir):
+    """Every cluster ends its own series; rankings divide by the samples it took."""
+    samples = _two_series(spark, sf_dir)
+    kept = series.stop_after_empty(samples, None, 2)
+    busy = report.busy_by(kept, "wait_event_type AS wait", series.effective_iterations(samples, None, 2))
+    return busy.select("cluster", "wait", "busy_pc", "distinct_exe").join(
+        kept.groupBy("cluster").agg(F.count("*").alias("rows"), F.max("dtcol").alias("end_at")), "cluster"
+    )
+
+
+@query
+def stop_clusters_planned(spark, sf_dir):
+    planned = series.planned_instants(spark, SERIES_START, PLANNED, INTERVAL)
+    samples = _two_series(spark, sf_dir)
+    return series.effective_iterations(samples, planned, 2)
+
+
+@query
+def stream_stop(spark, sf_dir):
+    """The series of each cluster ends inside the stream; two drops with a restart between them."""
+    samples = _two_series(spark, sf_dir)
+    folder, raw = new_folder(spark, "stop"), new_folder(spark, "raw")
+    for part in (samples.filter(F.col("dtcol") < "2024-01-02 03:00:00"), samples.filter(F.col("dtcol") >= "2024-01-02 03:00:00")):
+        part.write.mode("append").parquet(raw)
+        stream = spark.readStream.schema(samples.schema).parquet(raw)
+        kept = side_tables.snapshot_table(f"{folder}/samples", samples, at_stop=True)
+        side_tables.stream_side_tables(stream, f"{folder}/ticks", f"{folder}/offsets", [kept], streak=2)
+    return history.read_history(spark, f"{folder}/samples").select("cluster", "dtcol", "pid")
+
+
+@query
+def stream_memory(spark, sf_dir):
+    """The collection with memory in keyed state, over two drops with a restart between them."""
+    table, checkpoint = new_folder(spark, "history"), new_folder(spark, "offsets")
+    for stream in _drops(spark, sf_dir, "raw"):
+        collect_stream_state(stream, table, checkpoint, INTERVAL, locks=_session_locks(spark, sf_dir))
+    return _stored_rows(spark, table)
+
+
+# ---- several clusters with series of their own
+
+
+def _shifted(spark, sf_dir, name, days, columns=()):
+    """A fixture of two clusters; the west starts later and ends earlier than the east."""
+    east = fixture(spark, sf_dir, name)
+    span = east.agg(F.min("dtcol").alias("first"), F.max("dtcol").alias("last"))
+    first, last = span.select("first").scalar(), span.select("last").scalar()
+    inside = (F.col("dtcol") >= first + F.expr(f"interval {days} days")) & (F.col("dtcol") <= last - F.expr(f"interval {days} days"))
+    west = east.filter(inside)
+    for column in columns:
+        west = west.withColumn(column, F.col(column) * 2)
+    return history.union_clusters({"east": east, "west": west})
+
+
+@query
+def io_latency_clusters(spark, sf_dir):
+    return counters.io_latency(_shifted(spark, sf_dir, "io_stats", 100, ("read_time", "evictions")))
+
+
+@query
+def same_reset_clusters(spark, sf_dir):
+    return counters.unreset_pairs(_shifted(spark, sf_dir, "io_stats", 100))
+
+
+@query
+def inventory_clusters(spark, sf_dir):
+    sizes = _shifted(spark, sf_dir, "database_sizes", 100)
+    host = sizes.groupBy("cluster", "dtcol").agg(
+        F.concat(F.lit("host-"), "cluster").alias("cluster_hostname"), F.lit("Linux").alias("cluster_os_family"),
+        F.lit("16").alias("cluster_postgres_version"), F.count("*").cast("int").alias("cluster_processes"),
+    )
+    found = series.cluster_info(sizes, host, fixture(spark, sf_dir, "dated_settings"), every=10)
+    return found.select("cluster", "dtcol", "cluster_hostname", "cluster_port", "cluster_pretty_size", "cluster_processes")
+
+
+@query
+def report_bounds_clusters(spark, sf_dir):
+    samples = _shifted(spark, sf_dir, "session_samples", 2)
+    hosts = report.report_host(_shifted(spark, sf_dir, "cluster_information", 2))
+    return report.report_bounds(samples).join(report.host_cpu_avg(samples), "cluster").join(hosts, "cluster")

@@ -103,20 +103,27 @@ def _at_window_ends(io_stats: DataFrame) -> DataFrame:
     """Counters summed per (context, stats_reset) at the window's first and last instant.
 
     The two instants come from a scan of ``dtcol`` alone; the filter on them prunes the
-    second scan to the files that hold them.
+    second scan to the files that hold them. Every cluster has a window of its own, whose
+    bounds are one row per cluster.
     """
-    bounds = io_stats.agg(F.min("dtcol").alias("first"), F.max("dtcol").alias("last"))
-    at_first = F.col("dtcol") == bounds.select("first").scalar()
-    at_last = F.col("dtcol") == bounds.select("last").scalar()
+    cluster = keys_of(io_stats)
+    bounds = io_stats.groupBy(*cluster).agg(F.min("dtcol").alias("first"), F.max("dtcol").alias("last"))
+    if cluster:
+        rows = io_stats.join(bounds, cluster)
+        at_first, at_last = F.col("dtcol") == F.col("first"), F.col("dtcol") == F.col("last")
+    else:
+        rows = io_stats
+        at_first = F.col("dtcol") == bounds.select("first").scalar()
+        at_last = F.col("dtcol") == bounds.select("last").scalar()
     counted = [column for _, *pair in IO_OPERATIONS for column in pair] + ["evictions"]
     sums = []
     for end in ("first", "last"):
         sums.append(F.count_if(f"at_{end}").alias(f"{end}_rows"))
         sums += [F.sum(F.when(F.col(f"at_{end}"), F.col(name))).alias(f"{end}_{name}") for name in counted]
     return (
-        io_stats.filter(at_first | at_last)
+        rows.filter(at_first | at_last)
         .withColumns({"at_first": at_first, "at_last": at_last})
-        .groupBy("context", "stats_reset")
+        .groupBy(*cluster, "context", "stats_reset")
         .agg(*sums)
         .filter("first_rows > 0 and last_rows > 0")
     )
@@ -132,6 +139,7 @@ def io_latency(io_stats: DataFrame) -> DataFrame:
     Contexts whose statistics were reset in between are left out; null where nothing was
     counted.
     """
+    context = keys_of(io_stats, "context")
     ends = _at_window_ends(io_stats).filter(F.col("stats_reset").isNotNull())
     latencies = []
     for label, count, time in IO_OPERATIONS:
@@ -139,20 +147,20 @@ def io_latency(io_stats: DataFrame) -> DataFrame:
         latency = F.when(operations != 0, _difference(time) / operations)
         latencies.append(round_half_away(latency).alias(f"{label}_latency"))
     return (
-        ends.groupBy("context")
+        ends.groupBy(*context)
         .agg(*latencies, _difference("evictions").alias("evictions"))
-        .orderBy("context")
+        .orderBy(*context)
     )
 
 
 def io_evictions(io_stats: DataFrame) -> DataFrame:
     """Buffers evicted per context between the ends of the window."""
-    return io_latency(io_stats).select("context", "evictions")
+    return io_latency(io_stats).select(*keys_of(io_stats, "context"), "evictions")
 
 
 def unreset_pairs(io_stats: DataFrame) -> DataFrame:
     """Per (backend_type, context): the ends of its counters, where no reset came between."""
-    pairs = endpoint_join(io_stats, ["reads", "writes", "stats_reset"], ["backend_type", "context"])
+    pairs = endpoint_join(io_stats, ["reads", "writes", "stats_reset"], keys_of(io_stats, "backend_type", "context"))
     return same_reset(pairs, "first_stats_reset", "last_stats_reset")
 
 

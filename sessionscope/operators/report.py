@@ -17,14 +17,14 @@ from sessionscope.schema import is_heartbeat, is_host_row, is_process, is_sessio
 
 
 def report_bounds(samples: DataFrame) -> DataFrame:
-    """First and last instant, as text."""
+    """First and last instant, as text; one row per cluster."""
     shown = lambda instant: F.date_format(instant, "dd/MM/yyyy HH:mm:ss")
-    return samples.agg(shown(F.min("dtcol")).alias("first_sample"), shown(F.max("dtcol")).alias("last_sample"))
+    return samples.groupBy(*keys_of(samples)).agg(shown(F.min("dtcol")).alias("first_sample"), shown(F.max("dtcol")).alias("last_sample"))
 
 
 def report_host(cluster_information: DataFrame) -> DataFrame:
-    """Host name of the earliest inventory row."""
-    return cluster_information.agg(F.min_by("cluster_hostname", "dtcol").alias("host"))
+    """Host name of the earliest inventory row, of each cluster."""
+    return cluster_information.groupBy(*keys_of(cluster_information)).agg(F.min_by("cluster_hostname", "dtcol").alias("host"))
 
 
 def _load(samples: DataFrame, predicate: str | Column) -> list[Column]:
@@ -71,7 +71,7 @@ def activity(samples: DataFrame, predicate: str | Column = DEFAULT_REPORT_FILTER
 
 
 def host_cpu_avg(samples: DataFrame) -> DataFrame:
-    return samples.filter(is_host_row()).agg(round_half_even(F.avg("pourcentage_cpu")).alias("host_cpu"))
+    return samples.filter(is_host_row()).groupBy(*keys_of(samples)).agg(round_half_even(F.avg("pourcentage_cpu")).alias("host_cpu"))
 
 
 def top_events(samples: DataFrame, n: int = 5, predicate: str | Column = DEFAULT_REPORT_FILTER) -> DataFrame:
@@ -230,8 +230,15 @@ def _keyed(samples: DataFrame, choices: list) -> tuple[DataFrame, list[list[str]
 
 
 def _ranking(measures: DataFrame, number: int, names: list[str], iterations: int | DataFrame, *more: str) -> DataFrame:
+    more = list(more)
+    if not isinstance(iterations, DataFrame):
+        samples = F.lit(float(iterations))
+    elif "cluster" in iterations.columns:
+        measures = measures.join(iterations.select(F.col("cluster").alias("of_cluster"), "iterations"), "of_cluster", "left")
+        samples, more = F.col("iterations").cast("double"), [F.col("of_cluster").alias("cluster"), *more]
+    else:
+        samples = iterations.scalar().cast("double")
     # The names of the measures, as the ranking shows them
-    samples = iterations.scalar().cast("double") if isinstance(iterations, DataFrame) else F.lit(float(iterations))
     return measures.select(
         round_half_even(F.col("detections").cast("double") / samples * 100).alias("busy_pc"),
         F.concat_ws(" / ", "distinct_executions", "executions").alias("distinct_exe"),
@@ -248,10 +255,19 @@ def busy_by(samples: DataFrame, columns, iterations: int | DataFrame) -> DataFra
 
     ``columns`` is SQL text such as ``"datname AS db, substring(query, 1, 10) AS q"`` or
     a list of Columns. ``iterations`` is the number of samples taken, so 100 means one
-    session busy all the time; it may be the one-row result of ``effective_iterations``.
+    session busy all the time; it may be the result of ``effective_iterations``. Where that has
+    a row per cluster, every cluster is ranked by its own samples, and ``cluster`` is a column.
     """
     rows, (names,) = _keyed(samples, [columns])
-    return _ranking(session_measures(rows, _keys(0, names)), 0, names, iterations)
+    rows, own = _by_cluster(rows, iterations)
+    return _ranking(session_measures(rows, [*_keys(0, names), *own]), 0, names, iterations)
+
+
+def _by_cluster(rows: DataFrame, iterations: int | DataFrame) -> tuple[DataFrame, list[str]]:
+    """The cluster as one more key, where iterations are given per cluster."""
+    if isinstance(iterations, DataFrame) and "cluster" in iterations.columns:
+        return rows.withColumn("of_cluster", F.col("cluster")), ["of_cluster"]
+    return rows, []
 
 
 def _keys(number: int, names: list[str]) -> list[str]:
@@ -283,6 +299,8 @@ def busy_ranked(samples: DataFrame, choices: list, iterations: int | DataFrame)
     ``label`` holds the key columns as one struct of texts, since choices differ in columns.
     """
     rows, names = _keyed(samples, choices)
+    if isinstance(iterations, DataFrame) and "cluster" in iterations.columns:
+        raise ValueError("rank the clusters one choice at a time, by busy_by")
     measures = session_measures(rows, *[_keys(number, shown) for number, shown in enumerate(names)])
     label = F.coalesce(*[
         F.when(

@@ -63,36 +63,56 @@ def planned_instants(spark: SparkSession, start: dt.datetime, count: int, interv
 
 
 def heartbeat_instants(samples: DataFrame) -> DataFrame:
-    """(dtcol, i): the samples taken, by their heartbeats, with positions from 1.
+    """(dtcol, i): the samples taken, by their heartbeats, with positions from 1 in each cluster.
 
     Real instants jitter, so a sample is known by its heartbeat, not by its place on a grid.
     """
-    return number_instants(samples.filter(is_heartbeat())).select("dtcol", "i")
+    return number_instants(samples.filter(is_heartbeat())).select(*keys_of(samples, "dtcol"), "i")
+
+
+def _planned(samples: DataFrame, planned: DataFrame | None) -> DataFrame:
+    """The series of every cluster: its heartbeats, or the planned one, which is the same for all."""
+    if planned is None:
+        return heartbeat_instants(samples)
+    missing = [name for name in keys_of(samples) if name not in planned.columns]
+    return planned.crossJoin(samples.select(*missing).distinct()) if missing else planned
 
 
 def stop_instant(samples: DataFrame, planned: DataFrame | None, streak: int) -> DataFrame:
-    """One row, ``end_at``: where the first run of ``streak`` empty samples ends; null if never.
+    """``end_at``: where the first run of ``streak`` empty samples ends.
 
-    An empty sample has no session row. Positions of empty samples minus their order
+    One row, null if never; where the samples are of several clusters, one row for each that
+    stops. An empty sample has no session row. Positions of empty samples minus their order
     number are constant within a run, so runs are plain groups. ``planned`` is
     (dtcol, i) as :func:`planned_instants` makes it; without it the heartbeats count.
     """
-    planned = heartbeat_instants(samples) if planned is None else planned
-    present = samples.filter("pid is not null").select("dtcol").distinct()
-    empty = planned.withColumnRenamed("i", "position").join(present, "dtcol", "left_anti")
+    cluster, instant = keys_of(samples), keys_of(samples, "dtcol")
+    planned = _planned(samples, planned)
+    present = samples.filter("pid is not null").select(*instant).distinct()
+    empty = planned.withColumnRenamed("i", "position").join(present, instant, "left_anti")
     runs = (
         _number(empty)
-        .groupBy((F.col("position") - F.col("i")).alias("run"))
+        .groupBy(*cluster, (F.col("position") - F.col("i")).alias("run"))
         .agg(F.min("position").alias("first"), F.count("*").alias("length"))
     )
-    stop = runs.filter(F.col("length") >= streak).agg((F.min("first") + streak - 1).alias("position"))
+    stop = runs.filter(F.col("length") >= streak).groupBy(*cluster).agg((F.min("first") + streak - 1).alias("position"))
+    if cluster:
+        return planned.join(stop, cluster).filter("i = position").groupBy(*cluster).agg(F.max("dtcol").alias("end_at"))
     return planned.filter(F.col("i") == stop.scalar()).agg(F.max("dtcol").alias("end_at"))
 
 
+def _until(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """The rows up to the end of their cluster's series."""
+    cluster = keys_of(rows)
+    if cluster:
+        return rows.join(ends, cluster, "left").filter("end_at is null or dtcol <= end_at").drop("end_at").select(*rows.columns)
+    end = ends.scalar()
+    return rows.filter(end.isNull() | (F.col("dtcol") <= end))
+
+
 def stop_after_empty(samples: DataFrame, planned: DataFrame | None, streak: int) -> DataFrame:
-    """The samples taken when collection stops after ``streak`` empty samples in a row."""
-    end = stop_instant(samples, planned, streak).scalar()
-    return samples.filter(end.isNull() | (F.col("dtcol") <= end))
+    """The samples taken when collection stops after ``streak`` empty samples in a row, per cluster."""
+    return _until(samples, stop_instant(samples, planned, streak))
 
 
 def planned_iterations(duration: int, interval: int, batch: bool) -> int:
@@ -105,16 +125,15 @@ def planned_iterations(duration: int, interval: int, batch: bool) -> int:
 
 
 def effective_iterations(samples: DataFrame, planned: DataFrame | None, streak: int | None = None) -> DataFrame:
-    """One row: the planned number of samples, or the number taken if collection stopped early."""
-    planned = heartbeat_instants(samples) if planned is None else planned
-    if streak is None:
-        return planned.agg(F.count("*").alias("iterations"))
-    return stop_after_empty_instants(samples, planned, streak).agg(F.count("*").alias("iterations"))
+    """One row, or one per cluster: the planned number of samples, or that taken if collection stopped early."""
+    planned = _planned(samples, planned)
+    if streak is not None:
+        planned = stop_after_empty_instants(samples, planned, streak)
+    return planned.groupBy(*keys_of(samples)).agg(F.count("*").alias("iterations"))
 
 
 def stop_after_empty_instants(samples: DataFrame, planned: DataFrame, streak: int) -> DataFrame:
-    end = stop_instant(samples, planned, streak).scalar()
-    return planned.filter(end.isNull() | (F.col("dtcol") <= end))
+    return _until(planned, stop_instant(samples, planned, streak))
 
 
 def database_list(sizes: DataFrame) -> DataFrame:
@@ -122,7 +141,7 @@ def database_list(sizes: DataFrame) -> DataFrame:
     shown = F.concat("datname", F.lit(" ("), size_pretty(F.col("size_bytes")), F.lit(")"))
     return (
         sizes.filter("not is_template")
-        .groupBy("dtcol")
+        .groupBy(*keys_of(sizes, "dtcol"))
         .agg(
             F.sum("size_bytes").alias("cluster_size"),
             F.array_join(F.sort_array(F.collect_list(shown)), " - ").alias("cluster_databases"),
@@ -139,7 +158,7 @@ def _settings(settings: DataFrame) -> DataFrame:
         "cluster_archive_mode": ("archive_mode", F.upper("setting")),
         "cluster_shared_buffers": ("shared_buffers", buffers),
     }
-    when = ["dtcol"] if "dtcol" in settings.columns else []
+    when = [name for name in keys_of(settings, "dtcol") if name in settings.columns]
     return settings.filter(F.col("name").isin([name for name, _ in shown.values()])).groupBy(*when).agg(
         *[F.max(F.when(F.col("name") == name, value)).alias(column) for column, (name, value) in shown.items()]
     )
@@ -152,16 +171,23 @@ def cluster_info(
 
     ``sizes`` (dtcol, datname, size_bytes, is_template), ``host`` (dtcol,
     cluster_hostname, cluster_os_family, cluster_postgres_version, cluster_processes),
-    ``settings`` (name, setting, unit), with ``dtcol`` where they may change.
+    ``settings`` (name, setting, unit), with ``dtcol`` where they may change. With a
+    ``cluster`` column in ``sizes`` and ``host``, every cluster is thinned by its own series.
     """
+    return inventory_rows(thin_snapshots(sizes, every), host, settings, comment)
+
+
+def inventory_rows(sizes: DataFrame, host: DataFrame, settings: DataFrame, comment: str | None = None) -> DataFrame:
+    """An inventory row for every instant of ``sizes``; inputs as in :func:`cluster_info`."""
     values = _settings(settings)
-    rows = database_list(thin_snapshots(sizes, every)).join(host, "dtcol", "left")
-    if "dtcol" in values.columns:
-        rows = rows.join(values, "dtcol", "left")
+    rows = database_list(sizes).join(host, keys_of(sizes, "dtcol"), "left")
+    shared = [name for name in keys_of(sizes, "dtcol") if name in values.columns]
+    if shared:
+        rows = rows.join(values, shared, "left")
     else:
         only = values.select(F.struct("*").alias("only")).scalar()
         rows = rows.withColumns({name: only[name] for name in values.columns})
     return (
         rows.withColumn("cluster_comment", F.lit(comment).cast("string"))
-        .select(*[F.col(field.name).cast(field.dataType) for field in CLUSTER_INFORMATION])
+        .select(*keys_of(sizes), *[F.col(field.name).cast(field.dataType) for field in CLUSTER_INFORMATION])
     )

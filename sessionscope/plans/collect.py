@@ -68,6 +68,7 @@ def collect(
     application_fields: bool = True,
     earlier: DataFrame | None = None,
     folder: str | None = None,
+    carry: bool = True,
 ) -> DataFrame:
     """Everything one collection tick does, for all ticks in ``samples`` at once.
 
@@ -77,7 +78,7 @@ def collect(
     not idle, for the samples and for the blocked processes that get blockers; ``own_pid``
     is the sampler. ``normalize`` and ``application_fields`` can be turned off. ``earlier``
     (dtcol, pid, mem, swapped) are stored values that memory goes on from. ``folder`` is that
-    of :func:`final_blockers`.
+    of :func:`final_blockers`. Without ``carry`` the probed memory is stored as it is.
     """
     choose = not_idle if pids is None else lambda rows: pid_filter(rows, pids)
     chosen = choose(active_sessions(samples, own_pid))
@@ -107,5 +108,5 @@ def collect(
         samples.filter("pid is null and datid is null"),
         blockers,
         cpu_probes,
-        carry_memory(probes, interval_seconds, fresh),
+        carry_memory(probes, interval_seconds, fresh) if carry else probes,
     )

@@ -189,6 +189,41 @@ FROM {orders} GROUP BY 1
 """)
 
 
+_define("loop_io", "events", """
+SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS dtcol, event_type AS context,
+       CAST(sum(user_id) AS BIGINT) AS reads, CAST(count(*) AS BIGINT) AS writes
+FROM {events} GROUP BY 1, 2
+""")
+
+_define("loop_sizes", "events", """
+SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS dtcol, concat('db', CAST(user_id % 5 AS STRING)) AS datname,
+       CAST(sum(user_id) * 100000 AS BIGINT) AS size_bytes, CASE WHEN min(user_id % 5) = 4 THEN true ELSE false END AS is_template
+FROM {events} GROUP BY 1, 2
+""")
+
+_define("loop_locks", "events", """
+SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS dtcol, locktype, database, relation,
+       CAST(NULL AS BIGINT) AS page, CAST(NULL AS BIGINT) AS tuple, CAST(NULL AS STRING) AS virtualxid, transactionid,
+       CAST(NULL AS BIGINT) AS classid, CAST(NULL AS BIGINT) AS objid, CAST(NULL AS BIGINT) AS objsubid,
+       virtualtransaction, pid, granted
+FROM (SELECT ts, 'relation' AS locktype, CAST(1 AS BIGINT) AS database, CAST(user_id % 11 AS BIGINT) AS relation,
+             CAST(NULL AS BIGINT) AS transactionid, concat('6/', CAST(user_id AS STRING)) AS virtualtransaction,
+             CASE WHEN event_type = 'signup' THEN CAST(NULL AS BIGINT) ELSE CAST(1000 + user_id AS BIGINT) END AS pid,
+             event_type <> 'error' AS granted
+      FROM {events}
+      UNION ALL
+      SELECT ts, 'transactionid', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(900000 + user_id AS BIGINT),
+             concat('6/', CAST(user_id AS STRING)), CAST(NULL AS BIGINT), true
+      FROM {events} WHERE event_type = 'signup') l
+""")
+
+_define("loop_prepared", "events", """
+SELECT DISTINCT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS dtcol, CAST(900000 + user_id AS BIGINT) AS transaction_id,
+       concat('gid-', CAST(user_id AS STRING)) AS gid
+FROM {events} WHERE event_type = 'signup' AND user_id % 3 <> 0
+""")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

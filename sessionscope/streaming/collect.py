@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sessionscope.functions.scalars import instant_from_micros, utc_day
 from sessionscope.operators.enrich import carry_memory, memory_horizon
+from sessionscope.operators.filters import active_sessions, host_rows, not_idle, pid_filter
 from sessionscope.plans.collect import collect
 from sessionscope.schema import keys_of
 from sessionscope.sources.history import (
@@ -21,6 +22,7 @@ from sessionscope.sources.history import (
     replace_rows,
     table_exists,
 )
+from sessionscope.streaming.state import carry_memory_stream, keyed_state
 
 DAY = 86_400_000_000
 
@@ -139,3 +141,59 @@ def stream_collect(
         .start()
         .awaitTermination()
     )
+
+
+def stream_collect_state(
+    samples: DataFrame,
+    table: str,
+    checkpoint: str,
+    interval_seconds: int,
+    locks: DataFrame | None = None,
+    depth: int = 2,
+    writer: str | None = None,
+    lateness: str = "1 day",
+    pids=None,
+    own_pid: int | None = None,
+    **options,
+) -> None:
+    """:func:`stream_collect` with the memory of every process in keyed state.
+
+    The history is only appended to: no stored row is read or rewritten, whatever arrives. In
+    order the result is the same. Late samples follow the rule of ``carry_memory_stream``, where
+    ``stream_collect`` corrects the rows behind them.
+    """
+    spark = samples.sparkSession
+    own = writer or writer_of(checkpoint)
+    chosen = active_sessions(samples, own_pid)
+    chosen = not_idle(chosen) if pids is None else pid_filter(chosen, pids)
+    wanted = chosen.unionByName(host_rows(samples))
+
+    def write(batch: DataFrame, number: int) -> None:
+        incoming, folder = f"{table}/_incoming/{own}-{number}", f"{table}/_locks/{own}-{number}"
+        batch.write.mode("overwrite").parquet(incoming)  # the state is advanced once
+        rows = spark.read.schema(batch.schema).parquet(incoming)
+        low, high = rows.agg(F.min("dtcol"), F.max("dtcol")).first()
+        if low is not None:
+            keys = keys_of(rows, "dtcol", "pid")
+            cpu = rows.select(
+                *keys[:-1], F.coalesce("pid", F.lit(0).cast("bigint")).alias("pid"), F.col("pourcentage_cpu").alias("cpu")
+            )
+            probes = rows.filter("pid is not null").select(*keys, "mem", "swapped")
+            held = None if locks is None else locks.filter(F.col("dtcol").between(low, high))
+            delete_folder(spark, folder)
+            collected = collect(
+                rows, held, cpu, probes, interval_seconds, depth, pids=pids, own_pid=own_pid, folder=folder, carry=False, **options
+            )
+            append_samples(collected, table, own, number)
+            delete_folder(spark, folder)
+        delete_folder(spark, incoming)
+
+    with keyed_state(spark):
+        (
+            carry_memory_stream(wanted, memory_horizon(interval_seconds), lateness)
+            .writeStream.outputMode("update").foreachBatch(write)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+            .awaitTermination()
+        )
