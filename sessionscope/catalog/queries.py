@@ -18,12 +18,13 @@ from sessionscope.plans.collect import collect, with_blockers
 from sessionscope.plans.report import build_interactive_report, build_report, report_lines
 from sessionscope.schema import DERIVED_COLUMNS, LOCK_IDENTITY, is_heartbeat
 from sessionscope.session import configure, new_folder
-from sessionscope.sources import flatfile, history
+from sessionscope.sources import flatfile, history, text_index
 from sessionscope.sources.fixtures import fixture
 from sessionscope.streaming import aas
 from sessionscope.streaming import side_tables
 from sessionscope.streaming.collect import stream_collect as collect_stream
 from sessionscope.streaming.collect import stream_collect_state as collect_stream_state
+from sessionscope.streaming.collect import write_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -131,7 +132,8 @@ def compact_days(spark, sf_dir):
     history.append_samples(filters.host_rows(samples), path, "two", 1)
     for day in (SERIES_START.date(), SERIES_START.date() + dt.timedelta(days=1)):
         history.compact(spark, path, day)
-    return history.read_history(spark, path).select("dtcol", "pid", "mem", (F.col("writer") == "compact").alias("merged"))
+    merged = F.col("day").isin(history.merged_days(spark, path))
+    return history.read_history(spark, path).select("dtcol", "pid", "mem", merged.alias("merged"))
 
 
 @query
@@ -278,6 +280,19 @@ def text_filter(spark, sf_dir):
     return filters.text_filter(_samples(spark, sf_dir), ["purchase", "limit"]).select("dtcol", "pid", "query")
 
 
+@query
+def text_search(spark, sf_dir):
+    """Searches by a text index that knows the first half of the table's days, one of them merged since."""
+    samples, path = _samples(spark, sf_dir), new_folder(spark, "searched")
+    history.append_samples(samples.filter(F.col("dtcol") < HALFWAY), path)
+    text_index.update_index(spark, path)
+    history.append_samples(samples.filter(F.col("dtcol") >= HALFWAY), path)
+    history.compact(spark, path, SERIES_START.date())
+    both = text_index.text_search(spark, path, ["purchase", "41"])
+    some = text_index.text_search(spark, path, ["7", "error"], every=False, start=WINDOW[0], end=WINDOW[1])
+    return both.select("dtcol", "pid", F.lit("both").alias("search")).unionByName(some.select("dtcol", "pid", F.lit("any").alias("search")))
+
+
 @query
 def same_reset(spark, sf_dir):
     return counters.unreset_pairs(_io(spark, sf_dir))
@@ -489,6 +504,14 @@ def query_tokens(spark, sf_dir):
     return _samples(spark, sf_dir).select("dtcol", "pid", tokens.alias("dquery"))
 
 
+@query
+def query_stems(spark, sf_dir):
+    """The distinct stems of every query, and those that a search for other forms of two words finds."""
+    samples = enrich.with_query_tokens(_samples(spark, sf_dir), stem=True)
+    hits = filters.text_filter(samples, ["purchasing", "limited"], stem=True).select("dtcol", "pid", F.lit("purchasing limited").alias("dquery"))
+    return samples.select("dtcol", "pid", F.array_join("dquery", " ").alias("dquery")).unionByName(hits)
+
+
 @query
 def cpu_per_pid(spark, sf_dir):
     samples = enrich.cpu_per_pid(_samples(spark, sf_dir), _cpu_probes(spark, sf_dir))
@@ -926,6 +949,31 @@ def stream_stop(spark, sf_dir):
     return history.read_history(spark, f"{folder}/samples").select("cluster", "dtcol", "pid")
 
 
+@query
+def replay_after_compact(spark, sf_dir):
+    """After each of two batches days are merged and the batch is repeated: nothing is added."""
+    samples, table = _samples(spark, sf_dir), new_folder(spark, "history")
+    middle = "2024-01-15 12:00:00"  # the second batch begins inside a day
+    parts = [samples.filter(F.col("dtcol") < middle), samples.filter(F.col("dtcol") >= middle)]
+    for number, part in enumerate(parts):
+        write_batch(part, table, "sampler", number, INTERVAL)
+        for day in history.partition_days(spark, table)[-2:]:
+            history.compact(spark, table, day)
+        write_batch(part, table, "sampler", number, INTERVAL)
+    return _stored_rows(spark, table)
+
+
+@query
+def stream_over_midnight_compacted(spark, sf_dir):
+    """The days before the second drop are merged before it arrives; memory goes on over midnight."""
+    table, checkpoint = new_folder(spark, "history"), new_folder(spark, "offsets")
+    for stream in _drops(spark, sf_dir, "raw"):
+        collect_stream(stream, table, checkpoint, INTERVAL)
+        for day in history.partition_days(spark, table)[-3:]:
+            history.compact(spark, table, day)
+    return _stored_rows(spark, table)
+
+
 @query
 def stream_memory(spark, sf_dir):
     """The collection with memory in keyed state, over two drops with a restart between them."""

@@ -13,6 +13,7 @@ from sessionscope.functions.scalars import (
     query_tokens,
     round_half_even,
 )
+from sessionscope.functions.stemmer import stemmed
 from sessionscope.schema import keys_of
 
 # A time bucket is this many seconds, or this many horizons if that is more.
@@ -34,7 +35,10 @@ def with_application_info(samples: DataFrame) -> DataFrame:
     return samples.withColumn("application_info", application_info(F.col("application_name")))
 
 
-def with_query_tokens(samples: DataFrame) -> DataFrame:
+def with_query_tokens(samples: DataFrame, stem: bool = False) -> DataFrame:
+    """Add ``dquery``, the distinct words of the query; their English stems if ``stem``."""
+    if stem:
+        return stemmed(samples, "query", query_tokens, "dquery")
     return samples.withColumn("dquery", query_tokens(F.col("query")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionscope.functions.scalars import instant, query_tokens, utc_day
+from sessionscope.functions.stemmer import english_stem, stemmed
 from sessionscope.schema import is_host_row, is_session, keys_of
 
 # The sampler's own sessions and the server's background workers are left out.
@@ -64,15 +65,26 @@ def session_rows(samples: DataFrame) -> DataFrame:
     return samples.filter(is_session())
 
 
-def text_filter(samples: DataFrame, words: list[str], every: bool = True, tokens: str = "dquery") -> DataFrame:
-    """Samples whose query text has every (or any) of the words."""
+def text_filter(
+    samples: DataFrame, words: list[str], every: bool = True, tokens: str = "dquery", stem: bool = False
+) -> DataFrame:
+    """Samples whose query text has every (or any) of the words; in any form of the word if ``stem``.
+
+    With ``stem`` a ``tokens`` column has to hold stems; without such a column they are made here.
+    """
+    wanted = [F.lit(word.lower()) for word in words]
+    if stem:
+        wanted = [english_stem(word) for word in wanted]
+    columns = samples.columns
+    if tokens not in columns and stem:
+        samples = stemmed(samples, "query", query_tokens, tokens)
     found = F.col(tokens) if tokens in samples.columns else query_tokens(F.col("query"))
-    wanted = [word.lower() for word in words]
     if every:
         for word in wanted:
             samples = samples.filter(F.array_contains(found, word))
-        return samples
-    return samples.filter(F.arrays_overlap(found, F.array(*[F.lit(word) for word in wanted])))
+    else:
+        samples = samples.filter(F.arrays_overlap(found, F.array(*wanted)))
+    return samples.select(*columns)
 
 
 def same_reset(samples: DataFrame, first: str = "first_reset", last: str = "last_reset") -> DataFrame:

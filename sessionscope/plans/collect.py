@@ -60,7 +60,7 @@ def collect(
     memory_probes: DataFrame,
     interval_seconds: int,
     depth: int = 2,
-    text_search: bool = False,
+    text_search: bool | str = False,
     batch: bool = False,
     pids=None,
     own_pid: int | None = None,
@@ -76,7 +76,8 @@ def collect(
     with the number of active sessions, so that small loads are measured afresh more often.
     ``pids`` (a list, or rows of (dtcol, pid)) chooses processes in place of those that are
     not idle, for the samples and for the blocked processes that get blockers; ``own_pid``
-    is the sampler. ``normalize`` and ``application_fields`` can be turned off. ``earlier``
+    is the sampler. ``text_search`` stores the words of each query, ``"stems"`` their English
+    stems. ``normalize`` and ``application_fields`` can be turned off. ``earlier``
     (dtcol, pid, mem, swapped) are stored values that memory goes on from. ``folder`` is that
     of :func:`final_blockers`. Without ``carry`` the probed memory is stored as it is.
     """
@@ -89,7 +90,7 @@ def collect(
     else:
         sessions = sessions.withColumn("application_info", F.lit(None).cast("map<string,string>"))
     if text_search:
-        sessions = with_query_tokens(sessions)
+        sessions = with_query_tokens(sessions, stem=text_search == "stems")
     else:
         sessions = sessions.withColumn("dquery", F.lit(None).cast("array<string>"))
     probes, fresh = memory_probes.join(chosen.select(keys), keys, "left_semi").select(*keys, "mem", "swapped"), None

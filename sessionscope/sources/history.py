@@ -3,7 +3,9 @@
 A table is a path. Every row lies in ``day=.../writer=.../batch=...``. ``day`` is the UTC
 date of ``dtcol``, whatever the session's time zone; ``writer`` names who wrote the row, so
 samplers, loads and maintenance never touch each other's folders; ``batch`` is one write.
-Repeating a batch replaces its own folders. Rows inside a file are sorted by ``dtcol``, so
+Repeating a batch replaces its own folders.
+Maintenance merges the folders of a day into one per writer, ``batch=-1``, whose files keep the
+number of each row's batch; ``_merged`` lists these batches, which a repetition then skips. Rows inside a file are sorted by ``dtcol``, so
 the day folder and the Parquet statistics do the work of range partitions and block range
 indexes. ``_shape`` holds empty files whose merged schema is the table's.
 """
@@ -20,6 +22,7 @@ from pyspark.sql import types as T
 from sessionscope.functions.scalars import instant_from_micros, utc_day, utc_micros
 
 PLACEMENT = ("day", "writer", "batch")
+MERGED, MERGED_BATCH = -1, "merged_batch"
 PLACES = T.StructType([
     T.StructField("day", T.DateType()), T.StructField("writer", T.StringType()), T.StructField("batch", T.LongType())
 ])
@@ -44,14 +47,14 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     _files(spark, path).delete(_folder(spark, path), True)
 
 
-def _names(spark: SparkSession, pattern: str) -> list[str]:
+def folder_names(spark: SparkSession, pattern: str) -> list[str]:
     found = _files(spark, pattern).globStatus(_folder(spark, pattern)) or []
     return sorted(status.getPath().getName() for status in found)
 
 
 def partition_days(spark: SparkSession, path: str) -> list[dt.date]:
     """Days a table has a folder for: one name per day of history."""
-    return [dt.date.fromisoformat(name.split("=", 1)[1]) for name in _names(spark, f"{path}/day=*")]
+    return [dt.date.fromisoformat(name.split("=", 1)[1]) for name in folder_names(spark, f"{path}/day=*")]
 
 
 # ---- shape
@@ -83,7 +86,7 @@ def _aligned(rows: DataFrame, path: str) -> DataFrame:
     becomes null of the table's type.
     """
     spark = rows.sparkSession
-    rows = rows.drop(*PLACEMENT)
+    rows = rows.drop(*PLACEMENT, MERGED_BATCH)
     schema = table_schema(spark, path)
     known = {field.name for field in schema or []}
     new = [field for field in rows.schema if field.name not in known]
@@ -125,7 +128,28 @@ def read_history(spark: SparkSession, path: str, first: dt.date | None = None, l
     if not days:
         return spark.createDataFrame([], whole)
     folders = [path] if first is None and last is None else [f"{path}/day={day.isoformat()}" for day in days]
-    return spark.read.schema(whole).option("basePath", path).parquet(*folders)
+    return _read(spark, path, whole, folders, bool(set(days).intersection(merged_days(spark, path))))
+
+
+def _read(spark: SparkSession, path: str, whole: T.StructType, paths: list[str], merged: bool, origin: str | None = None) -> DataFrame:
+    stored = whole
+    if merged:
+        fields = [field for field in whole if field.name not in PLACEMENT]
+        stored = T.StructType([*fields, T.StructField(MERGED_BATCH, T.LongType()), *PLACES])
+    rows = spark.read.schema(stored).option("basePath", path).parquet(*paths)
+    if not merged and origin is None:
+        return rows
+    batch = F.coalesce(MERGED_BATCH, "batch") if merged else F.col("batch")
+    more = [F.col("_metadata.file_path").alias(origin)] if origin else []
+    return rows.select(*[batch.alias("batch") if name == "batch" else F.col(name) for name in whole.names], *more)
+
+
+def read_files(spark: SparkSession, path: str, files: list[str], origin: str | None = None) -> DataFrame:
+    """The rows of some files of a table, with the name of their file as ``origin``."""
+    whole = T.StructType([*table_schema(spark, path), *PLACES])
+    if not files:
+        return spark.createDataFrame([], T.StructType([*whole, *([T.StructField(origin, T.StringType())] if origin else [])]))
+    return _read(spark, path, whole, files, bool(merged_days(spark, path)), origin)
 
 
 def append_samples(
@@ -137,13 +161,17 @@ def append_samples(
     files, small days share one. ``writer`` must be one writer's own name. With ``batch``,
     repeating the writer's batch replaces it, so a restarted stream adds nothing twice;
     without, every call is a batch of its own. ``lookup`` columns get a Parquet bloom
-    filter, for searches by equality.
+    filter, for searches by equality. Days in which maintenance has merged this batch already
+    keep what they have.
     """
     recover(samples.sparkSession, path)
     number = uuid.uuid4().int >> 66 if batch is None else batch
     rows = _aligned(samples, path).withColumns(
         {"day": utc_day("dtcol"), "writer": F.lit(writer), "batch": F.lit(number).cast("bigint")}
     )
+    there = [] if batch is None else _merged_already(samples.sparkSession, path, writer, batch)
+    if there:
+        rows = rows.filter(~F.col("day").isin(there))
     _write(rows, path, lookup)
 
 
@@ -175,7 +203,7 @@ def replace_rows(spark: SparkSession, path: str, rows: DataFrame, folders: list[
 
 def recover(spark: SparkSession, path: str) -> None:
     """Finish replacements that were begun."""
-    for name in _names(spark, f"{path}/_pending/*"):
+    for name in folder_names(spark, f"{path}/_pending/*"):
         aside = f"{path}/_pending/{name}"
         if not table_exists(spark, f"{aside}/ready/_SUCCESS"):
             continue
@@ -186,21 +214,54 @@ def recover(spark: SparkSession, path: str) -> None:
         delete_folder(spark, aside)
 
 
+def forget_done(spark: SparkSession, path: str, writer: str, before: int) -> None:
+    """Drop the marks of a writer's batches before the given one, which nobody repeats any more."""
+    for name in folder_names(spark, f"{path}/_done/{writer}-*"):
+        number = name.removeprefix(f"{writer}-")
+        if number.isdigit() and int(number) < before:
+            delete_folder(spark, f"{path}/_done/{name}")
+
+
 def is_done(spark: SparkSession, path: str, name: str) -> bool:
     """Whether the replacement of this name has been made."""
     recover(spark, path)
     return table_exists(spark, f"{path}/_done/{name}/_SUCCESS")
 
 
-def _rewrite_day(spark: SparkSession, path: str, day: dt.date, keep: Column, writer: str) -> None:
-    """One folder of one day's kept rows in the place of all its folders."""
-    rows = read_history(spark, path, day, day).filter(keep)
-    placed = rows.withColumns({"writer": F.lit(writer), "batch": F.lit(0).cast("bigint")})
-    replace_rows(spark, path, placed, [f"day={day.isoformat()}"], f"{writer}-{day.isoformat()}-{uuid.uuid4().hex[:8]}")
+def merged_days(spark: SparkSession, path: str) -> list[dt.date]:
+    """Days whose folders maintenance has merged."""
+    return [dt.date.fromisoformat(name.partition("=")[2]) for name in folder_names(spark, f"{path}/_merged/day=*")]
+
+
+def _merged_already(spark: SparkSession, path: str, writer: str, batch: int) -> list[dt.date]:
+    """Days into which this batch of this writer has been merged."""
+    if not merged_days(spark, path):
+        return []
+    listed = spark.read.schema("writer string, batch long, day date").parquet(f"{path}/_merged")
+    found = listed.filter((F.col("writer") == writer) & (F.col("batch") == batch)).select("day").distinct()
+    return [row.day for row in found.collect()]
+
+
+def _rewrite_day(spark: SparkSession, path: str, day: dt.date, keep: Column, purpose: str) -> None:
+    """One folder per writer with one day's kept rows in the place of all its folders.
+
+    The list of the merged batches is added to before the folders change, so a batch that is
+    repeated from then on is known to be there.
+    """
+    whole = read_history(spark, path, day, day)
+    rows = whole.filter(keep).withColumn(MERGED_BATCH, F.col("batch")).withColumn("batch", F.lit(MERGED).cast("bigint"))
+    number = uuid.uuid4().hex[:8]
+    aside = f"{path}/_merged/day={day.isoformat()}"
+    whole.select("writer", "batch").distinct().coalesce(1).write.mode("append").parquet(aside)
+    replace_rows(spark, path, rows, [f"day={day.isoformat()}"], f"{purpose}-{day.isoformat()}-{number}")
 
 
 def compact(spark: SparkSession, path: str, day: dt.date) -> None:
-    """Merge the many small folders of a closed day, one that no writer adds to any more, into one."""
+    """Merge the many small folders of a closed day, one that no writer adds to any more, into one per writer.
+
+    Every row keeps its writer and batch: streams go on from it, and a batch that is repeated
+    adds nothing.
+    """
     if day in partition_days(spark, path):
         _rewrite_day(spark, path, day, F.lit(True), "compact")
 
@@ -211,6 +272,7 @@ def compact(spark: SparkSession, path: str, day: dt.date) -> None:
 def _drop_days(spark: SparkSession, path: str, days: list[dt.date]) -> None:
     for day in days:
         delete_folder(spark, f"{path}/day={day.isoformat()}")
+        delete_folder(spark, f"{path}/_merged/day={day.isoformat()}")
 
 
 def retain(spark: SparkSession, path: str, days: int, now: dt.datetime) -> int:

@@ -16,6 +16,7 @@ from sessionscope.schema import keys_of
 from sessionscope.sources.history import (
     delete_folder,
     append_samples,
+    forget_done,
     is_done,
     partition_days,
     read_history,
@@ -59,6 +60,7 @@ def write_batch(
     name = f"{writer}-{number}"
     if table_exists(spark, table) and is_done(spark, table, name):
         return  # an attempt before this one got through
+    forget_done(spark, table, writer, number)
     low, high = batch.agg(F.unix_micros(F.min("dtcol")), F.unix_micros(F.max("dtcol"))).first()
     if low is None:
         return

@@ -12,6 +12,7 @@ from sessionscope.operators.enrich import carry_memory
 from sessionscope.schema import CLUSTER_INFORMATION, DERIVED_COLUMNS
 from sessionscope.sources import flatfile
 from sessionscope.sources import history as H
+from sessionscope.sources import text_index
 from sessionscope.streaming import aas
 from sessionscope.streaming.collect import stream_collect, write_batch
 
@@ -236,7 +237,82 @@ def test_compact(spark, tmp_path):
     H.compact(spark, path, dt.date(2024, 1, 1))
     H.compact(spark, path, dt.date(2030, 1, 1))
     assert pids(spark, path) == list(range(24))
-    assert {(row.writer, row.batch) for row in H.read_history(spark, path).collect()} == {("compact", 0)}
+    assert {(row.writer, row.batch) for row in H.read_history(spark, path).collect()} == {("loop", batch) for batch in range(6)}
+    assert len({name.rpartition("/")[0] for name in H.read_history(spark, path).inputFiles()}) == 1
+    assert H.merged_days(spark, path) == [dt.date(2024, 1, 1)]
+
+
+def test_a_batch_is_not_repeated_after_maintenance(spark, tmp_path):
+    """A batch over midnight of which one day is merged, twice; a new batch and another writer still come in."""
+    path = str(tmp_path / "table")
+    for _ in range(2):
+        H.append_samples(hours(spark, range(20, 30)), path, "loop", 0)
+        H.compact(spark, path, dt.date(2024, 1, 1))
+    H.append_samples(hours(spark, range(10, 12)), path, "loop", 1)
+    H.append_samples(hours(spark, range(12, 14)), path, "other", 0)
+    assert pids(spark, path) == [*range(10, 14), *range(20, 30)]
+    H.retain(spark, path, 1, START + dt.timedelta(days=1, hours=22))
+    for _ in range(2):
+        H.append_samples(hours(spark, range(20, 30)), path, "loop", 0)
+        H.append_samples(hours(spark, range(10, 12)), path, "loop", 1)
+    assert pids(spark, path) == list(range(22, 30))
+    H.drop_old_partitions(spark, path, 0, START + dt.timedelta(days=1))
+    assert H.merged_days(spark, path) == [] and pids(spark, path) == list(range(24, 30))
+
+
+def test_memory_goes_on_over_a_merged_midnight(spark, tmp_path):
+    rows = [(START + dt.timedelta(hours=n), 5, 7, float(n), n, n, "active", None, "q", None, None) for n in range(20, 29)]
+    schema = ("dtcol timestamp, datid bigint, pid bigint, pourcentage_cpu double, mem bigint, swapped bigint, state string, "
+              "wait_event_type string, query string, query_id bigint, application_name string")
+    samples, path = spark.createDataFrame(rows, schema), str(tmp_path / "table")
+    midnight = START + dt.timedelta(days=1)
+    parts = [samples.filter(F.col("dtcol") < midnight), samples.filter(F.col("dtcol") >= midnight)]
+    for number, part in enumerate(parts):
+        write_batch(part, path, "own", number, 3600)
+        H.compact(spark, path, dt.date(2024, 1, 1))
+        write_batch(part, path, "own", number, 3600)
+    found = H.read_history(spark, path).collect()
+    assert len(found) == 9 and {row.mem for row in found} == {20}
+
+
+def test_marks_of_old_batches_go(spark, tmp_path):
+    path = str(tmp_path / "table")
+    H.append_samples(hours(spark, range(2)), path, "own", 0)
+    for name in ("own-1", "own-2", "own-10", "other-1"):
+        spark.range(1).write.parquet(f"{path}/_done/{name}")
+    H.forget_done(spark, path, "own", 10)
+    assert H.folder_names(spark, f"{path}/_done/*") == ["other-1", "own-10"]
+
+
+def test_text_index_reads_files_with_the_words_only(spark, tmp_path):
+    path = str(tmp_path / "table")
+
+    def day(number, *queries):
+        rows = [(START + dt.timedelta(days=number, hours=n), n, query) for n, query in enumerate(queries)]
+        return spark.createDataFrame(rows, "dtcol timestamp, pid bigint, query string")
+
+    H.append_samples(day(0, "select apple", "select pear"), path, "own", 0)
+    H.append_samples(day(1, "apple pear", "plum", "pear"), path, "own", 1)
+    H.append_samples(day(2, "apple", None, "select"), path, "own", 2)
+    assert text_index.candidate_files(spark, path, ["apple"]) == sorted(H.read_history(spark, path).inputFiles())
+    assert text_index.update_index(spark, path) == 3 and text_index.update_index(spark, path) == 0
+
+    def search(words, **options):
+        rows = text_index.text_search(spark, path, words, **options).collect()
+        return len(text_index.candidate_files(spark, path, words, **options)), sorted(row.query for row in rows)
+
+    assert search(["plum"]) == (1, ["plum"])
+    assert search(["Apple"]) == (3, ["apple", "apple pear", "select apple"])
+    assert search(["apple", "pear"]) == (1, ["apple pear"])  # on day 0 the words are at different instants
+    assert search(["plum", "select"], every=False) == (3, ["plum", "select", "select apple", "select pear"])
+    assert search(["apple"], start="2024-01-02 00:00:00", end="2024-01-02 23:00:00") == (1, ["apple pear"])
+    assert search(["fig"]) == (0, [])
+    H.append_samples(day(3, "fig apple"), path, "own", 3)  # not indexed yet: searched as it is
+    assert search(["fig"]) == (1, ["fig apple"])
+    H.compact(spark, path, dt.date(2024, 1, 2))  # replaces an indexed file
+    assert search(["plum"]) == (2, ["plum"])
+    assert text_index.update_index(spark, path) == 2
+    assert search(["plum"]) == (1, ["plum"]) and search(["fig"]) == (1, ["fig apple"])
 
 
 def test_a_replacement_that_fails_half_way_is_finished(spark, tmp_path, monkeypatch):
