@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionscope.functions import scalars
-from sessionscope.operators import counters, enrich, filters, locks, report, series
+from sessionscope.operators import counters, enrich, filters, locks, report, rollup, series
 from sessionscope.plans.collect import collect, with_blockers
 from sessionscope.plans.report import build_interactive_report, build_report, report_lines
 from sessionscope.schema import DERIVED_COLUMNS, LOCK_IDENTITY, is_heartbeat
@@ -1024,3 +1024,45 @@ def report_bounds_clusters(spark, sf_dir):
     samples = _shifted(spark, sf_dir, "session_samples", 2)
     hosts = report.report_host(_shifted(spark, sf_dir, "cluster_information", 2))
     return report.report_bounds(samples).join(report.host_cpu_avg(samples), "cluster").join(hosts, "cluster")
+
+
+@query
+def counter_steps(spark, sf_dir):
+    """Growth of counters between snapshots, resets included; of two clusters with series of their own."""
+    steps = counters.counter_steps(_shifted(spark, sf_dir, "io_stats", 100), ["reads", "read_time"], ["backend_type", "context"])
+    return steps.select("cluster", "dtcol", "backend_type", "context", "reads_step", "read_time_step")
+
+
+@query
+def io_latency_across_resets(spark, sf_dir):
+    return counters.io_latency_across_resets(_io(spark, sf_dir))
+
+
+@query
+def database_steps(spark, sf_dir):
+    """Growth of a per-database counter that is stored at every sample."""
+    path = new_folder(spark, "databases")
+    history.append_samples(fixture(spark, sf_dir, "loop_sizes"), path)
+    steps = counters.counter_steps(history.read_history(spark, path), ["size_bytes"], ["datname"], reset=None)
+    return steps.select("dtcol", "datname", "size_bytes_step")
+
+
+ROLLED = ["datname", "wait_event_type"]
+
+
+@query
+def busy_rollup(spark, sf_dir):
+    """A window that begins and ends inside an hour, from hourly roll-ups made in two runs; some days are not rolled up."""
+    samples = _samples(spark, sf_dir).withColumn("dtcol", F.col("dtcol") + F.expr("make_interval(0, 0, 0, 0, 0, 10 * coalesce(cast(pid % 6 as int), 0))"))
+    table, path = new_folder(spark, "history"), new_folder(spark, "rollup")
+    history.append_samples(samples, table)
+    for day in (9, 17):
+        rollup.update_rollup(spark, table, path, ROLLED, dt.date(2024, 1, day))
+    start, end = (dt.datetime.fromisoformat(bound) + dt.timedelta(minutes=20) for bound in WINDOW)
+    found = rollup.busy_rollup(rollup.window_rollup(spark, table, path, ROLLED, start, end), ROLLED, PLANNED)
+    exact = report.distinct_executions(
+        filters.window_scan(samples.filter("pid is not null"), start, end), ROLLED
+    ).select(*[F.col(name).alias(f"of_{name}") for name in ROLLED], F.col("distinct_executions"))
+    match = [F.col(name).eqNullSafe(F.col(f"of_{name}")) for name in ROLLED]
+    close = F.abs(F.col("distinct_estimate") - F.col("distinct_executions")) <= 1 + 0.05 * F.col("distinct_executions")
+    return found.join(exact, match).select(*ROLLED, "busy_pc", "executions", close.alias("close"), "non_cpu_pc", "mem", "swap")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionscope.functions.scalars import parse_counters, round_half_away, round_half_even, size_pretty
@@ -164,6 +164,50 @@ def unreset_pairs(io_stats: DataFrame) -> DataFrame:
     return same_reset(pairs, "first_stats_reset", "last_stats_reset")
 
 
+def counter_steps(counters: DataFrame, columns: list[str], by: list[str], reset: str | None = "stats_reset") -> DataFrame:
+    """``counters`` with ``<name>_step``: what each cumulative counter grew by since the snapshot before.
+
+    After a reset (``reset`` changed, or the value fell) the counter began at zero, so the step is
+    its value. The first snapshot of a series has no step, nor has one with a null value or the
+    one after it. Series are cut by day: the snapshot
+    before a day's first one comes from one row per day.
+    """
+    keys = keys_of(counters, *[name for name in by if name != "cluster"])
+    watched = [*columns, *([reset] if reset else [])]
+    rows = counters.withColumn("of_day", F.to_date("dtcol"))
+    within = Window.partitionBy(*keys, "of_day").orderBy("dtcol")
+    rows = rows.withColumn("before", F.lag(F.struct(*watched)).over(within))
+    across = Window.partitionBy(*keys).orderBy("of_day")
+    ends = (
+        counters.groupBy(*keys, F.to_date("dtcol").alias("of_day"))
+        .agg(F.max_by(F.struct(*watched), "dtcol").alias("last"))
+        .withColumn("carried", F.lag("last").over(across))
+        .select(*[F.col(name).alias(f"end_{name}") for name in [*keys, "of_day"]], "carried")
+    )
+    match = [F.col(name).eqNullSafe(F.col(f"end_{name}")) for name in [*keys, "of_day"]]
+    before = F.coalesce("before", "carried")
+    fresh = ~F.col(reset).eqNullSafe(before[reset]) if reset else F.lit(False)
+    steps = {
+        f"{name}_step": F.when(before.isNotNull() & before[name].isNotNull(),
+                               F.when(fresh | (F.col(name) < before[name]), F.col(name)).otherwise(F.col(name) - before[name]))
+        for name in columns
+    }
+    return rows.join(ends, match, "left").withColumns(steps).select(*counters.columns, *steps)
+
+
+def io_latency_across_resets(io_stats: DataFrame) -> DataFrame:
+    """Milliseconds per operation and context over the whole window, resets in between included; and evictions."""
+    counted = [column for _, *pair in IO_OPERATIONS for column in pair] + ["evictions"]
+    steps = counter_steps(io_stats, counted, ["backend_type", "context"])
+    grown = lambda name: F.sum(f"{name}_step")
+    latencies = [
+        round_half_away(F.when(grown(count) != 0, grown(time) / grown(count))).alias(f"{label}_latency")
+        for label, count, time in IO_OPERATIONS
+    ]
+    context = keys_of(io_stats, "context")
+    return steps.groupBy(*context).agg(*latencies, grown("evictions").alias("evictions")).orderBy(*context)
+
+
 def parsed_counters(samples: DataFrame, text: str, names: list[str]) -> DataFrame:
     """Samples with the counters of a printed tuple as double columns."""
     return samples.select("dtcol", *parse_counters(F.col(text), names))
