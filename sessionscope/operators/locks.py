@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from sessionscope.functions.scalars import instant
 from sessionscope.schema import LOCK_IDENTITY, keys_of
+from sessionscope.session import new_folder
 
 
 def lock_object(columns=LOCK_IDENTITY) -> Column:
@@ -53,24 +54,23 @@ def _cut(rows: DataFrame, folder: str | None, name: str) -> DataFrame:
 
 
 def lock_graph(locks: DataFrame) -> DataFrame:
-    """(dtcol, object, pid, waiting, blocked) on objects shared by a waiter and another process.
+    """(dtcol, object, pid, waiting, processes, blocked) on objects shared by a waiter and another process.
 
     ``waiting``: the process waits for this object. ``blocked``: it waits for some such
-    object at that instant. Process-to-process edges are implied: a waiter is blocked by
+    object at that instant. ``processes`` are on the object. Process-to-process edges are implied: a waiter is blocked by
     every other process on the object.
     """
     members = contended_locks(locks)
     place, process = keys_of(members, "dtcol", "object"), keys_of(members, "dtcol", "pid")
     shared = (
         members.groupBy(*place)
-        .agg(F.min("pid").alias("low"), F.max("pid").alias("high"))
-        .filter("low <> high")
-        .select(place)
+        .agg(F.count("*").alias("processes"))
+        .filter("processes > 1")
     )
-    graph = members.join(shared, place, "left_semi")
+    graph = members.join(shared, place)
     blocked = graph.filter("waiting").select(process).distinct().withColumn("blocked", F.lit(True))
     return graph.join(blocked, process, "left").select(
-        *place, "pid", "waiting", F.coalesce("blocked", F.lit(False)).alias("blocked")
+        *place, "pid", "waiting", "processes", F.coalesce("blocked", F.lit(False)).alias("blocked")
     )
 
 
@@ -117,10 +117,8 @@ def wait_edges(locks: DataFrame) -> DataFrame:
     waiter is blocked by holders and by other waiters, so the rows stand for all edges.
     """
     graph = lock_graph(locks)
-    place = keys_of(graph, "dtcol", "object")
-    sizes = graph.groupBy(*place).agg(F.count("*").alias("processes"))
     blockers = F.when(F.col("waiting"), F.col("processes") - 1).otherwise(F.lit(0))
-    return graph.join(sizes, place).select(
+    return graph.select(
         *keys_of(graph, "dtcol"), "object.*", "pid", "waiting", "blocked", blockers.alias("blockers")
     )
 
@@ -214,10 +212,12 @@ def _descend(locks: DataFrame, depth: int, folder: str | None) -> tuple[DataFram
     A round moves every (object, top blocker) along the steps, or lets it stay, and keeps
     the lowest level; so the plan grows by one join and one grouping a round.
 
-    The graph, the waits and the moves are used many times over. With ``folder``, a shared
-    folder that the caller deletes when the result is no longer read, each is written there
-    once; without, nothing runs here and Spark works them out again in each place.
+    The graph, the waits and the moves are used many times over, so each is written once, to
+    ``folder`` (a shared folder that the caller deletes when the result is no longer read) or
+    else to this application's working folder; so the plan of the result is linear.
     """
+    if folder is None:
+        folder = new_folder(locks.sparkSession, "locks")
     graph = _cut(lock_graph(locks), folder, "graph")
     place, process = keys_of(graph, "dtcol", "object"), keys_of(graph, "dtcol", "pid")
     when = keys_of(graph, "dtcol")
