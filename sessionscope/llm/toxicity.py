@@ -1,14 +1,20 @@
 """Toxicity classifier with a counterfactual penalty, trained here and applied to whole texts.
 
 Features are the words of a text and their beginnings, each counted once a text. A logistic
-model is fitted on labelled rows. For every labelled text that names a group of people, a
-copy with the names swapped for others of the same kind is made, and the squared change of
-the model's logit between the two is part of the loss: naming a group must not move a score.
+model is fitted on labelled rows. Every labelled text gets a counterfactual copy: terms that stand
+for a group are swapped for others of their kind, and a text without one has a term put in.
+The squared change of the model's logit between the two is part of the loss: naming a group must
+not move a score.
+
+Terms are the listed English names of groups, and, for any language, what the labelled texts
+themselves show: words that say little about the label, each paired with the word that stands
+between the same neighbours most often.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -45,6 +51,13 @@ IDENTITY_TERMS = (
     ("blind", "deaf", "disabled", "paralyzed"),
 )
 
+#: Terms that are found in the texts: at most so many, in at least so many texts and at most such a
+#: share of them, and toxic at most so many times as often as other texts, or as seldom.
+MOST_TERMS = 128
+TERM_TEXTS = 5
+TERM_SHARE = 0.2
+NEUTRAL = 3.0
+
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -57,20 +70,92 @@ def words_of(text: str) -> set[str]:
     return set(LETTERS.findall(text.lower()))
 
 
-def swapped(words: set[str]) -> set[str] | None:
-    """The words with every name of a group replaced by the next of its kind; None if there is none."""
-    change = {}
-    for kind in IDENTITY_TERMS:
-        for term, other in zip(kind, (*kind[1:], kind[0])):
-            if term in words:
-                change[term] = other
-    return {change.get(word, word) for word in words} if change else None
+def listed_swaps() -> dict[str, str]:
+    """Every listed name of a group, and the next of its kind."""
+    return {term: other for kind in IDENTITY_TERMS for term, other in zip(kind, (*kind[1:], kind[0]))}
+
+
+def swapped(words: set[str], swaps: dict[str, str], inserts: list[str]) -> set[str] | None:
+    """The words with every term replaced by its partner; without a term, with one of ``inserts`` put in.
+
+    Which one is drawn by the words themselves. None if nothing can be changed.
+    """
+    if not words.isdisjoint(swaps):
+        return {swaps.get(word, word) for word in words}
+    if not inserts:
+        return None
+    return words | {inserts[zlib.crc32(" ".join(sorted(words)).encode()) % len(inserts)]}
+
+
+def found_swaps(rows: DataFrame, most: int = MOST_TERMS) -> dict[str, str]:
+    """Label-neutral words of the training rows, each with the one that shares most of its neighbours.
+
+    At most ``most`` words are looked at, so a neighbour gathers at most as many and the counts of
+    shared neighbours are a small square table. Languages part by themselves, as they
+    share few neighbours. A word that shares none is no term.
+    """
+
+    def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([sorted(words_of(text)) for text in _texts(batch, 1)], type=kind)], ["label", "words"]
+            )
+
+    totals = rows.agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")).first()
+    p, n = totals["p"], totals["n"]
+    if not p or not n:
+        return {}
+    counts = (
+        rows.select("label", "text").mapInArrow(words, "label int, words array<string>")
+        .select("label", F.explode("words").alias("word")).groupBy("word")
+        .agg(F.count("*").alias("texts"), F.sum("label").alias("toxic"))
+        .filter((F.col("texts") >= TERM_TEXTS) & (F.col("texts") <= TERM_SHARE * (p + n)))
+    )
+    ratio = (F.col("toxic") + 0.5) / (F.col("texts") - F.col("toxic") + 0.5) * (n / p)
+    neutral = counts.filter((ratio <= NEUTRAL) & (ratio >= 1 / NEUTRAL)).orderBy(F.desc("texts"), "word").limit(most)
+    terms = [row.word for row in neutral.select("word").collect()]
+    number = {term: at for at, term in enumerate(terms)}
+
+    def neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            met: set[tuple[str, int]] = set()
+            for text in _texts(batch, 1):
+                line = LETTERS.findall(text.lower())
+                for before, word, after in zip(["", *line], line, [*line[1:], ""]):
+                    if word in number:
+                        met.update(((f"{before} _", number[word]), (f"_ {after}", number[word])))
+            spots = sorted(met)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([spot for spot, _ in spots], type=pa.string()), pa.array([at for _, at in spots], type=pa.int32())], ["spot", "term"]
+            )
+
+    def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((len(terms), len(terms)), dtype=np.int64)
+        for batch in batches:
+            for some in batch.column(0).to_pylist():
+                table[np.ix_(some, some)] += 1
+        left, right = np.nonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in (left, right, table[left, right])], ["a", "b", "n"])
+
+    spots = rows.select("label", "text").mapInArrow(neighbours, "spot string, term int")
+    groups = spots.groupBy("spot").agg(F.collect_set("term").alias("terms"))
+    pairs = groups.select("terms").mapInArrow(shared, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    table = np.zeros((len(terms), len(terms)))
+    for row in pairs.collect():
+        table[row.a, row.b] = row.n
+    own = np.sqrt(np.maximum(np.diag(table), 1))
+    alike = table / own[:, None] / own[None, :]
+    np.fill_diagonal(alike, 0)
+    return {term: terms[int(alike[at].argmax())] for at, term in enumerate(terms) if alike[at].max() > 0}
 
 
 @dataclass
 class Model:
     weights: dict[str, float]
     bias: float
+    #: Counterfactual pairs whose features differ, which is what the penalty works on.
+    pairs: int = 0
 
 
 class Scorer:
@@ -118,7 +203,7 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[str]:
         yield text or ""
 
 
-def feature_lists(rows: DataFrame) -> DataFrame:
+def feature_lists(rows: DataFrame, swaps: dict[str, str], inserts: list[str]) -> DataFrame:
     """``label, features, swapped`` of training rows, each list sorted and without repeats."""
 
     def lists(words: set[str]) -> list[str]:
@@ -129,7 +214,7 @@ def feature_lists(rows: DataFrame) -> DataFrame:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
                 words = [words_of(text) for text in _texts(part, 1)]
-                others = [swapped(some) for some in words]
+                others = [swapped(some, swaps, inserts) for some in words]
                 kind = pa.list_(pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -167,13 +252,16 @@ def fit(docs: DataFrame, labels: DataFrame, is_training: Column, id_column: str
         most_features: int = MOST_FEATURES, least_texts: int = LEAST_TEXTS, fairness: float = FAIRNESS) -> Model:
     """Fit on at most ``most_toxic`` and ``most_clean`` rows; ``is_training`` is about the column ``id``.
 
-    Feature counts are made in Spark; the driver sees the chosen features and, for each row,
-    the numbers of those it has. With no row of a class the model gives every text the share
+    Feature counts and terms are made in Spark; the driver sees the chosen features, at most
+    ``MOST_TERMS`` terms and, for each row, the numbers of the features it has. With no row of a class the model gives every text the share
     of toxic rows (one half if there are no rows).
     """
     rows = training_rows(docs, labels, is_training, id_column, text_column, label_column, most_toxic, most_clean)
-    lists = stored(feature_lists(rows), "features")
+    rows = stored(rows, "labelled")
+    found = found_swaps(rows)
+    lists = stored(feature_lists(rows, listed_swaps() | found, sorted(found)), "features")
     chosen = choose_features(lists, most_features, least_texts)
+    chosen += sorted({f"{term}." for term in found} - set(chosen))  # so that the penalty sees every term
     place = docs.sparkSession.sparkContext.broadcast({feature: at for at, feature in enumerate(chosen)})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +277,8 @@ def fit(docs: DataFrame, labels: DataFrame, is_training: Column, id_column: str
         [row.features for row in sparse], np.array([row.label for row in sparse], dtype=np.float64),
         [row.swapped for row in sparse], len(chosen), fairness,
     )
-    return Model({feature: float(w) for feature, w in zip(chosen, weights) if w}, float(bias))
+    pairs = sum(row.swapped is not None and row.swapped != row.features for row in sparse)
+    return Model({feature: float(w) for feature, w in zip(chosen, weights) if w}, float(bias), pairs)
 
 
 class Rows:

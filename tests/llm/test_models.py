@@ -1,5 +1,6 @@
 """The classifier and the language model."""
 
+import random
 import zlib
 from collections import Counter
 
@@ -72,8 +73,60 @@ def test_scores_depend_on_the_text_alone(dirty, nothing, spark):
 
 
 def test_swaps_stay_within_a_kind():
-    assert T.swapped({"women", "walk"}) == {"men", "walk"}
-    assert T.swapped({"walk"}) is None
+    listed = T.listed_swaps()
+    assert T.swapped({"women", "walk"}, listed, ["x"]) == {"men", "walk"}
+    assert T.swapped({"walk"}, listed, ["x"]) == {"walk", "x"}
+    assert T.swapped({"walk"}, listed, []) is None
+
+
+def fitted(spark, folder, **options):
+    tables = [spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels")]
+    return T.fit(*tables, T.fold("id", 5) != 0, **options)
+
+
+def test_the_penalty_is_active_on_the_given_tables(spark):
+    folder = "/root/testdata/sf0.01"
+    fair, plain = fitted(spark, folder), fitted(spark, folder, fairness=0.0)
+    assert fair.pairs > 100 and fair.pairs == plain.pairs
+    assert fair.weights.keys() == plain.weights.keys() and fair.weights != plain.weights
+
+
+def test_terms_are_found_in_every_language(spark):
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    rows = T.training_rows(docs, labels, F.lit(True), "doc_id", "text", "toxic", 4_000, 8_000)
+    swaps = T.found_swaps(rows)
+    assert len(swaps) > 60 and all(term != other and other in swaps for term, other in swaps.items())
+    words = {lang: set() for lang in ("en", "de", "fr", "es")}
+    for row in docs.filter("doc_id % 20 = 0").collect():
+        words[row.lang] |= T.words_of(row.text)
+    own = {lang: words[lang] - set().union(*[words[other] for other in words if other != lang]) for lang in words}
+    assert sum(bool(set(swaps) & own[lang]) for lang in own) >= 3
+
+
+def test_fewer_false_alarms_on_neutral_mentions(spark):
+    """Terms that happen to stand in more toxic texts than others; neutral sentences that name them are clean."""
+    draw = random.Random(5)
+    terms = ["amber", "birch", "cedar", "delta", "ember", "fjord", "grove", "heath", "islet", "jetty"]
+    plain = lambda n: " ".join(draw.choice(["one", "two", "three", "four", "five", "six"]) for _ in range(n))
+    sentence = lambda term: f"{plain(3)} the {term} people {plain(3)}"
+    rows, marks = [], []
+    for number in range(1_200):
+        toxic = number % 4 == 0
+        term = draw.choice(terms[:2] if toxic and draw.random() < 0.15 else terms)
+        insult = draw.choice(["idiot", "moron", "scum"]) if toxic and draw.random() < 0.8 else ""
+        rows.append((number, f"{sentence(term)} {insult}"))
+        marks.append((number, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    scores = {}
+    for fairness in (0.0, T.FAIRNESS):
+        scorer = T.Scorer(T.fit(docs, labels, F.lit(True), fairness=fairness))
+        named = [scorer.score(f"one two three the {term} people four five six") for term in terms]
+        scores[fairness] = (max(named), max(named) - min(named), scorer.score("one two the amber people idiot"))
+    assert scores[T.FAIRNESS][0] < scores[0.0][0] and scores[T.FAIRNESS][1] < 0.5 * scores[0.0][1]
+    assert scores[T.FAIRNESS][2] > 0.5
 
 
 def test_held_out_accuracy(spark):
