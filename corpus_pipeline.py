@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionscope.llm.bpe import decode_documents, encode_documents, ids_digest
+from sessionscope.llm.bpe import round_trip
 from sessionscope.llm.common import stored
 from sessionscope.llm.mixing import mixed_documents
 from sessionscope.llm.simhash import keep_representatives
@@ -49,11 +49,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each text, and digests of the ids and of the bytes they decode to."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = encode_documents(docs.select("doc_id", "source", "text"), ranks, public_tokenizers.PATTERN).drop("text")
-    digests = encoded.select(
-        "doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), ids_digest("ids").alias("ids_sha256"), "ids"
-    )
-    return decode_documents(digests, ranks).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+    encoded = round_trip(docs.select("doc_id", "source", "text"), ranks, public_tokenizers.PATTERN, with_ids=True)
+    return encoded.select("doc_id", "source", "n_tokens", "ids_sha256", "ids", "decoded_sha256")
 
 
 STAGES = [

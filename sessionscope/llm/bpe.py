@@ -9,6 +9,7 @@ stale and skipped. The work depends on the merges made, not on the length of a p
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice, repeat
@@ -363,6 +364,61 @@ def encode_documents(
     return rows.mapInArrow(run, schema)
 
 
+def _side_by_side(parts: list[bytes]) -> Pool:
+    pool = Pool(np.uint8)
+    pool.append(np.frombuffer(b"".join(parts), dtype=np.uint8), np.array([len(part) for part in parts], dtype=np.int64))
+    return pool
+
+
+def _tokens_by_id(ranks: dict[bytes, int]) -> list[bytes]:
+    of_id = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        of_id[rank] = token
+    return of_id
+
+
+def round_trip(
+    docs: DataFrame, ranks_path: str, pattern: str, text_column: str = "text", with_ids: bool = False,
+    batch_bytes: int = BATCH_BYTES,
+) -> DataFrame:
+    """``docs`` with ``n_tokens, ids_sha256, decoded_sha256`` (and ``ids``) of its whole texts, in one pass.
+
+    ``encode_documents``, the digest of the decimal ids joined by commas, and that of the
+    bytes which ``decode_documents`` gives for the ids, without the ids leaving the task
+    (unless ``with_ids``). Columns of these names are replaced, all others go through; null
+    and empty texts have no ids. Nothing is shuffled.
+    """
+    from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    added = [StructField("n_tokens", LongType(), False), StructField("ids_sha256", StringType(), False),
+             StructField("decoded_sha256", StringType(), False)]
+    if with_ids:
+        added.append(StructField("ids", ArrayType(IntegerType(), False), False))
+    kept = [name for name in docs.columns if name not in {field.name for field in added}]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(ranks.value, pattern)
+        tokens = _tokens_by_id(ranks.value)
+        decoder, decimals = _side_by_side(tokens), _side_by_side([b"%d," % number for number in range(len(tokens))])
+        for batch in sliced(batches, "text to encode", batch_bytes):
+            ids, counts = encoder.encode([text or "" for text in batch.column(batch.num_columns - 1).to_pylist()])
+            ends = np.cumsum(counts)
+            shown, decoded = [], []
+            for low, high in zip((ends - counts).tolist(), ends.tolist()):
+                part = ids[low:high]
+                shown.append(hashlib.sha256(decimals.read(part)[0][:-1]).hexdigest())
+                decoded.append(hashlib.sha256(decoder.read(part)[0]).hexdigest())
+            columns = [pa.array(counts), pa.array(shown, type=pa.string()), pa.array(decoded, type=pa.string())]
+            if with_ids:
+                offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32))
+                columns.append(pa.ListArray.from_arrays(offsets, pa.array(ids, type=pa.int32())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*kept, *[field.name for field in added]])
+
+    rows = docs.select(*[F.col(f"`{name}`") for name in kept], F.col(f"`{text_column}`").alias("text to encode"))
+    return rows.mapInArrow(run, StructType([*[docs.schema[name] for name in kept], *added]))
+
+
 def decode_documents(
     encoded: DataFrame, ranks_path: str, ids_column: str = "ids", bytes_column: str = "decoded"
 ) -> DataFrame:
@@ -373,11 +429,7 @@ def decode_documents(
     kept = [name for name in encoded.columns if name != bytes_column]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_id = [b""] * (max(ranks.value.values(), default=-1) + 1)
-        for token, rank in ranks.value.items():
-            of_id[rank] = token
-        pool = Pool(np.uint8)
-        pool.append(np.frombuffer(b"".join(of_id), dtype=np.uint8), np.array([len(token) for token in of_id]))
+        pool = _side_by_side(_tokens_by_id(ranks.value))
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             texts = [

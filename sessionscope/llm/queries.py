@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest_neighbours
-from .bpe import decode_documents, encode_documents, ids_digest
+from .bpe import round_trip
 from .conversation_repair import damage, repair_conversations, repaired_digest
 from .embedding_dedup import link_embeddings
 from .filter_audit import audit_filters
@@ -36,13 +36,7 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = encode_documents(docs, ranks, public_tokenizers.PATTERN)
-    digests = encoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest("ids").alias("ids_sha256"), "ids"
-    )
-    return decode_documents(digests, ranks).select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    return round_trip(docs, ranks, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ import random
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
-from sessionscope.llm.bpe import Encoder, Merges, RankBitmap, decode_documents, encode_documents, ids_digest, read_ranks
+from sessionscope.llm.bpe import Encoder, Merges, RankBitmap, decode_documents, encode_documents, ids_digest, read_ranks, round_trip
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -81,6 +82,20 @@ def test_dirty_table(dirty, library):
         assert row.digest == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("with_ids", [False, True])
+def test_round_trip_in_one_pass(dirty, library, with_ids):
+    found = round_trip(dirty.withColumn("n_tokens", F.lit("old")), PATH, public_tokenizers.PATTERN, with_ids=with_ids, batch_bytes=4000)
+    assert found.columns == [*dirty.columns, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+    rows = found.collect()
+    assert len(rows) == dirty.count()
+    for row in rows:
+        ids = library.encode_ordinary(row.text or "")
+        assert row.n_tokens == len(ids) and (not with_ids or row.ids == ids)
+        assert row.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert row.decoded_sha256 == hashlib.sha256((row.text or "").encode()).hexdigest()
+
+
 def test_empty(nothing):
+    assert round_trip(nothing, PATH, public_tokenizers.PATTERN, with_ids=True).collect() == []
     encoded = encode_documents(nothing, PATH, public_tokenizers.PATTERN)
     assert decode_documents(encoded, PATH).collect() == []
