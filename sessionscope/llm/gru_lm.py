@@ -370,32 +370,54 @@ def train_parts(rows: DataFrame, words, vocabulary: int, weights, rate: float) -
     return rows.select("text").mapInArrow(run, TRAINED)
 
 
+#: Trainers whose weights one task averages; the means of such groups are averaged after that.
+GROUP = 32
+MEANS = "block int, trainer int, tokens long, weights array<float>"
+
+
 def average_weights(parts: DataFrame) -> np.ndarray | None:
-    """The mean of the trainers' weights by tokens, block by block; the driver gets one model."""
+    """The mean of the trainers' weights by tokens, block by block, in two levels; the driver gets one model.
+
+    A first task has one block of ``GROUP`` trainers, so what it reads does not grow with
+    their number; the second level reads one row for every block of a group.
+    """
+    grouped = parts.withColumn("group", F.floor(F.col("trainer") / GROUP).cast("int"))
+    first = grouped.repartition("block", "group").sortWithinPartitions("block", "group", "trainer").select(
+        "block", F.col("group").alias("trainer"), "tokens", "weights"
+    )
+    groups = first.mapInArrow(_means(["block", "trainer"]), MEANS)
+    second = groups.repartition("block").sortWithinPartitions("block", "trainer")
+    blocks = second.mapInArrow(_means(["block"]), MEANS).select("block", "weights").collect()
+    return np.concatenate([row.weights for row in sorted(blocks)]).astype(np.float32) if blocks else None
+
+
+def _means(keys: list[str]):
+    """Rows sorted by ``keys`` to one row for each: its tokens and its mean by tokens."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, total, seen = None, None, 0
+        place, total, seen = None, None, 0
         for batch in batches:
-            for row in range(batch.num_rows):
-                number, amount = batch.column(0)[row].as_py(), batch.column(2)[row].as_py()
+            numbers = [column.to_pylist() for column in batch.columns[:3]]
+            for row, (block, trainer, amount) in enumerate(zip(*numbers)):
                 values = batch.column(3)[row].values.to_numpy(zero_copy_only=False).astype(np.float64) * amount
-                if number != block:
-                    if block is not None:
-                        yield _mean(block, total, seen)
-                    block, total, seen = number, values, amount
+                now = (block, trainer)[: len(keys)]
+                if now != place:
+                    if place is not None:
+                        yield _mean(place, total, seen)
+                    place, total, seen = now, values, amount
                 else:
                     total, seen = total + values, seen + amount
-        if block is not None:
-            yield _mean(block, total, seen)
+        if place is not None:
+            yield _mean(place, total, seen)
 
-    ordered = parts.repartition("block").sortWithinPartitions("block", "trainer")
-    blocks = ordered.mapInArrow(run, "block int, weights array<float>").collect()
-    return np.concatenate([row.weights for row in sorted(blocks)]).astype(np.float32) if blocks else None
+    return run
 
 
-def _mean(block: int, total: np.ndarray, seen: int) -> pa.RecordBatch:
+def _mean(place: tuple, total: np.ndarray, seen: int) -> pa.RecordBatch:
     mean = pa.array([(total / seen).astype(np.float32)], type=pa.list_(pa.float32()))
-    return pa.RecordBatch.from_arrays([pa.array([block], type=pa.int32()), mean], ["block", "weights"])
+    numbers = [pa.array([value], type=kind) for value, kind in
+               ((place[0], pa.int32()), (place[1] if len(place) > 1 else 0, pa.int32()), (seen, pa.int64()))]
+    return pa.RecordBatch.from_arrays([*numbers, mean], ["block", "trainer", "tokens", "weights"])
 
 
 def score_documents(

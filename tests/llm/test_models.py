@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sessionscope.llm import gru_lm
 from sessionscope.llm import toxicity as T
 from sessionscope.llm.gru_lm import Gru, score_documents, tokens
 from sessionscope.llm.queries import QUERIES
@@ -177,6 +178,36 @@ def test_state_is_carried_across_windows_and_ends_with_a_text():
     assert np.allclose([model.score([text])[0] for text in texts], whole, atol=1e-4)
 
 
+def slow_score(model, words):
+    """The log probability of a text by the equations, one step after another, in double precision."""
+    size, total = model.hidden, 0.0
+    table = {name: getattr(model, name).astype(np.float64) for name in Gru.NAMES}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    state, given = np.zeros(size), model.end
+    for word in [*words, model.end]:
+        row, past = table["inputs"][given], state @ table["state"]
+        update, reset = sigmoid(row[:size] + past[:size]), sigmoid(row[size : 2 * size] + past[size : 2 * size])
+        candidate = np.tanh(row[2 * size :] + reset * past[2 * size :])
+        state = update * state + (1 - update) * candidate
+        number = model.class_of[word]
+        low, high = model.class_start[number], model.class_start[number + 1]
+        classes = state @ table["class_out"] + table["class_bias"]
+        inside = table["word_out"][low:high] @ state + table["word_bias"][low:high]
+        total += classes[number] - np.log(np.exp(classes).sum()) + inside[word - low] - np.log(np.exp(inside).sum())
+        given = word
+    return total
+
+
+def test_scores_of_a_trained_model_are_those_of_the_equations():
+    rng = np.random.default_rng(4)
+    model = Gru(60, hidden=7)
+    model.set_unigram(rng.integers(1, 90, 62).astype(np.float64))
+    texts = [rng.integers(0, 61, size=size) for size in (1, 0, 25, 130, 7)]
+    model.train(texts * 3, 0.2, model.squares(), lanes=2, window=16)
+    found = model.score(texts, lanes=3, window=10)
+    assert np.allclose(found, [slow_score(model, text.tolist()) for text in texts], rtol=1e-4, atol=1e-3)
+
+
 def test_probabilities_add_up():
     model = Gru(200, hidden=4)
     states = np.random.default_rng(3).normal(size=(1, 4)).astype(np.float32)
@@ -202,6 +233,18 @@ def test_counts_and_base_score(spark, dirty, frequent):
     assert all(row.score < 0 for row in rows)
 
 
+@pytest.mark.parametrize("group", [32, 2])
+def test_weights_are_averaged_by_tokens(spark, monkeypatch, group):
+    monkeypatch.setattr(gru_lm, "GROUP", group)
+    rng = np.random.default_rng(8)
+    models, seen = rng.normal(size=(7, 10)).astype(np.float32), rng.integers(1, 1_000, 7)
+    rows = [(block, trainer, int(seen[trainer]), models[trainer, 4 * block : 4 * block + 4].tolist())
+            for trainer in range(7) for block in range(3)]
+    found = gru_lm.average_weights(spark.createDataFrame(rows, gru_lm.TRAINED).repartition(5))
+    assert np.allclose(found, (models * seen[:, None]).sum(axis=0) / seen.sum(), atol=1e-5)
+    assert gru_lm.average_weights(spark.createDataFrame([], gru_lm.TRAINED)) is None
+
+
 def test_no_rows(spark, nothing, dirty):
     assert score_documents(nothing, F.lit(True)).collect() == []
     untrained = score_documents(dirty, F.lit(False)).collect()
