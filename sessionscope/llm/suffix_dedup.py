@@ -414,7 +414,8 @@ def remove_repeats(
         F.struct(*[F.col(f"`{name}`") for name in names]).alias("row"), text.alias("text"),
         F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"),
     )
-    spans = repeated_starts(rows, length, gram, width, most_strings)
+    # stored, so that the join below can split the rows of a text that very many rows repeat
+    spans = stored(repeated_starts(rows, length, gram, width, most_strings), "spans")
     row_type = rows.schema["row"].dataType
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
