@@ -135,15 +135,27 @@ def found_swaps(rows: DataFrame, most: int = MOST_TERMS) -> dict[str, str]:
         for batch in batches:
             for some in batch.column(0).to_pylist():
                 table[np.ix_(some, some)] += 1
-        left, right = np.nonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in (left, right, table[left, right])], ["a", "b", "n"])
+        yield _rows_of(table)
+
+    def added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((len(terms), len(terms)), dtype=np.int64)
+        for batch in batches:
+            for at, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                table[at] += row
+        yield _rows_of(table)
+
+    def _rows_of(table: np.ndarray) -> pa.RecordBatch:
+        """One row a term that has any neighbour, with what it shares with every other one."""
+        used = np.flatnonzero(table.any(axis=1))
+        lists = pa.array(table[used].tolist(), type=pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(used, type=pa.int32()), lists], ["term", "shared"])
 
     spots = rows.select("label", "text").mapInArrow(neighbours, "spot string, term int")
     groups = spots.groupBy("spot").agg(F.collect_set("term").alias("terms"))
-    pairs = groups.select("terms").mapInArrow(shared, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    parts = groups.select("terms").mapInArrow(shared, "term int, shared array<bigint>")
     table = np.zeros((len(terms), len(terms)))
-    for row in pairs.collect():
-        table[row.a, row.b] = row.n
+    for row in parts.repartition("term").mapInArrow(added, "term int, shared array<bigint>").collect():
+        table[row.term] = row.shared
     own = np.sqrt(np.maximum(np.diag(table), 1))
     alike = table / own[:, None] / own[None, :]
     np.fill_diagonal(alike, 0)
