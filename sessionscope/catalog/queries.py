@@ -635,6 +635,23 @@ def top_queries(spark, sf_dir):
     return report.top_queries(_history(spark, sf_dir), n=10)
 
 
+@query
+def top_queries_summary(spark, sf_dir):
+    """The same by a summary of frequent groups, one that proves its result and one too small for it."""
+    samples = _history(spark, sf_dir)
+    large, small = (report.top_queries(samples, n=10, tracked=tracked) for tracked in (20_000, 16))
+    return large.withColumn("tracked", F.lit(20_000)).unionByName(small.withColumn("tracked", F.lit(16)))
+
+
+@query
+def blocking_paths(spark, sf_dir):
+    """Every descent from the root blockers at the instants of one month, with its path."""
+    locked = _object_locks(spark, sf_dir)
+    at = [dt.datetime(1995, 3, day) for day in range(1, 32)]
+    paths = locks.blocking_paths(locked, at, depth=2)
+    return paths.select("dtcol", "blocked", "blocker", "top_blocker", F.array_join("path", ",").alias("path"), "cycle", "level")
+
+
 @query
 def non_cpu_pct(spark, sf_dir):
     sessions = filters.session_rows(_samples(spark, sf_dir))

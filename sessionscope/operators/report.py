@@ -157,12 +157,18 @@ def distinct_executions(samples: DataFrame, by: list[str]) -> DataFrame:
 QUERY_KEYS = ["datname", "usename", "hash", "query", "application_name"]
 
 
-def top_queries(samples: DataFrame, n: int = 5, predicate: str | Column = DEFAULT_REPORT_FILTER) -> DataFrame:
+def top_queries(
+    samples: DataFrame, n: int = 5, predicate: str | Column = DEFAULT_REPORT_FILTER, tracked: int | None = None
+) -> DataFrame:
     """The queries met most often, with executions, share of non-CPU time and peak memory.
 
     Groups are counted first, which needs one number per group. The costlier measures
     are then taken for the rows of the top n groups only. Equal counts are ordered by
     the group's own columns.
+
+    With ``tracked``, where there are very many groups, only the groups that a summary of so many
+    frequent items names are counted (:func:`frequent_keys`); the counts are exact, and
+    the summary proves that no other group can be among the top n, or else all are counted.
     """
     rows = report_filter(samples, predicate).select(
         "datname",
@@ -178,7 +184,8 @@ def top_queries(samples: DataFrame, n: int = 5, predicate: str | Column = DEFAUL
         "swapped",
     )
     order = [F.desc("detections"), *[F.asc_nulls_first(name) for name in QUERY_KEYS]]
-    top = rows.groupBy(*QUERY_KEYS).agg(F.count("*").alias("detections")).orderBy(*order).limit(n)
+    counted = frequent_keys(rows, QUERY_KEYS, n, tracked) if tracked else rows
+    top = counted.groupBy(*QUERY_KEYS).agg(F.count("*").alias("detections")).orderBy(*order).limit(n)
     top = top.select(*[F.col(name).alias(f"top_{name}") for name in QUERY_KEYS])
     match = [F.col(name).eqNullSafe(F.col(f"top_{name}")) for name in QUERY_KEYS]
     measures = session_measures(rows.join(top, match, "left_semi"), QUERY_KEYS)
@@ -193,6 +200,34 @@ def top_queries(samples: DataFrame, n: int = 5, predicate: str | Column = DEFAUL
     ).orderBy(*order)
 
 
+#: A group outside a summary of ``tracked`` items has fewer than this share of the rows, over ``tracked``:
+#: twice the published error of a frequent-items sketch, 3.5 over the size of its table.
+SUMMARY_ERROR = 7.0
+
+
+def frequent_keys(rows: DataFrame, keys: list[str], n: int, tracked: int) -> DataFrame:
+    """Rows among which are all rows of the n most frequent groups; all rows, if that cannot be proven.
+
+    One pass makes a frequent-items summary of the groups' hashes, ``tracked`` numbers at most in
+    each task and in the result; so nothing per group is shuffled but for the groups it names. Let c
+    be the exact count of the n-th of these. A group that is not named has at most
+    ``SUMMARY_ERROR / tracked`` of the rows, so c above that proves it is none of the top n (nor
+    equal to one). If the summary's counts add up to all rows, it names every group.
+    """
+    hashed = rows.withColumn("key hash", F.xxhash64(*keys))
+    summary = hashed.agg(
+        F.expr(f"approx_top_k(`key hash`, {tracked}, {tracked})").alias("named"), F.count("*").alias("rows")
+    ).first()
+    named = {item["item"]: item["count"] for item in summary["named"] or []}
+    candidates = rows.sparkSession.createDataFrame([(number,) for number in named], "`key hash` long")
+    chosen = hashed.join(F.broadcast(candidates), "key hash", "left_semi").drop("key hash")
+    if sum(named.values()) == summary["rows"]:
+        return chosen
+    top = chosen.groupBy(*keys).agg(F.count("*").alias("detections")).orderBy(F.desc("detections")).limit(n).collect()
+    proven = len(top) == n and min(row["detections"] for row in top) > SUMMARY_ERROR / tracked * summary["rows"]
+    return chosen if proven else rows
+
+
 def session_columns() -> list[Column]:
     """The default columns of the interactive ranking."""
     # Which columns, under which names

@@ -190,3 +190,18 @@ def test_cpu_time_without_linux(spark):
     for system, waited in (("Linux", 4.0), ("Windows", None)):
         cluster = spark.createDataFrame([(START, system)], "dtcol timestamp, cluster_os_family string")
         assert tuple(counters.cpu_time_delta(host, cluster).first()) == (2.0, 1.0, 6.0, waited)
+
+
+def test_frequent_groups_are_proven_or_all_are_counted(spark):
+    """One group with a third of the rows, many with one row each; and groups too even for a small summary."""
+    keys = F.when(F.col("id") % 3 == 0, F.col("id") % 4).otherwise(F.col("id") + 10)
+    skewed = spark.range(60_000).select(keys.alias("k"), F.lit("x").alias("other"))
+    chosen = report.frequent_keys(skewed, ["k", "other"], 4, 1_000)
+    assert chosen.count() < 0.4 * skewed.count()
+    top = chosen.groupBy("k").count().orderBy(F.desc("count")).limit(4).collect()
+    assert sorted((row.k, row["count"]) for row in top) == [(k, 5_000) for k in range(4)]
+    even = spark.range(60_000).select((F.col("id") % 20_000).alias("k"), F.lit("x").alias("other"))
+    assert report.frequent_keys(even, ["k", "other"], 5, 500).count() == 60_000
+    few = spark.range(100).select((F.col("id") % 7).alias("k"), F.lit(None).cast("string").alias("other"))
+    assert report.frequent_keys(few, ["k", "other"], 50, 500).count() == 100
+    assert report.frequent_keys(few.limit(0), ["k", "other"], 3, 500).count() == 0
