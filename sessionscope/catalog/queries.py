@@ -652,6 +652,14 @@ def blocking_paths(spark, sf_dir):
     return paths.select("dtcol", "blocked", "blocker", "top_blocker", F.array_join("path", ",").alias("path"), "cycle", "level")
 
 
+@query
+def deadlocks(spark, sf_dir):
+    """Processes that wait in circles, in both lock tables."""
+    found = [locks.deadlocks(table).withColumn("source", F.lit(name)) for name, table in
+             (("object", _object_locks(spark, sf_dir)), ("session", _session_locks(spark, sf_dir)))]
+    return found[0].unionByName(found[1])
+
+
 @query
 def non_cpu_pct(spark, sf_dir):
     sessions = filters.session_rows(_samples(spark, sf_dir))

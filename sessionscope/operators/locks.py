@@ -298,6 +298,45 @@ def final_blockers(
     )
 
 
+def deadlocks(locks: DataFrame, folder: str | None = None) -> DataFrame:
+    """(dtcol, pid, deadlock, waits_for): blocked processes that no root blocker stands above, at any depth.
+
+    They wait for each other in circles, or behind such a circle, and have no row in
+    ``final_blockers``. ``deadlock`` is the least pid of the processes tied to each other by shared
+    objects, ``waits_for`` the number of objects the process waits for.
+
+    Both parts go from object to object until nothing changes. First the objects that a root is on
+    are trimmed: their waiters are under a root, and so is whoever waits for what those are on. What
+    is left takes the least pid as its colour. A round is one pass over the graph, written once, so
+    rounds follow the longest chain of objects and no pair of processes is formed.
+    """
+    folder = folder or new_folder(locks.sparkSession, "locks")
+    graph = _cut(lock_graph(locks), folder, "graph")
+    when, place, process = (keys_of(graph, "dtcol", *more) for more in ((), ("object",), ("pid",)))
+    fresh = _cut(_roots(graph).select(place).distinct(), folder, "fresh")
+    trimmed = fresh
+    while not fresh.isEmpty():
+        under = graph.filter("waiting").join(fresh, place, "left_semi").select(process).distinct()
+        beyond = graph.join(under, process, "left_semi").select(place).distinct()
+        fresh = _cut(beyond.join(trimmed, place, "left_anti"), folder, "fresh")
+        trimmed = _cut(trimmed.unionByName(fresh), folder, "trimmed")
+    waits = graph.filter("waiting").select(*place, "pid")
+    under = waits.join(trimmed, place, "left_semi").select(process).distinct()
+    stuck = _cut(
+        waits.join(under, process, "left_anti").groupBy(*process).agg(F.count("*").alias("waits_for")), folder, "stuck"
+    )
+    ties = _cut(graph.select(*place, "pid").join(stuck.select(process), process, "left_semi"), folder, "ties")
+    colours = _cut(stuck.select(*process, F.col("pid").alias("deadlock")), folder, "colours")
+    while True:
+        met = ties.join(colours, process).groupBy(*place).agg(F.min("deadlock").alias("least"))
+        least = ties.join(met, place).groupBy(*process).agg(F.min("least").alias("least"))
+        both = _cut(colours.join(least, process), folder, "colours")
+        colours = both.select(*process, F.col("least").alias("deadlock"))
+        if both.filter("least < deadlock").isEmpty():
+            break
+    return stuck.join(colours, process).select(*process, "deadlock", "waits_for")
+
+
 def blocking_sessions(sessions: DataFrame, locks: DataFrame, own_pid: int | None = None) -> DataFrame:
     """Sessions holding a granted lock that some other process waits for.
 
