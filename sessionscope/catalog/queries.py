@@ -18,7 +18,7 @@ from sessionscope.plans.collect import collect, with_blockers
 from sessionscope.plans.report import build_interactive_report, build_report, report_lines
 from sessionscope.schema import DERIVED_COLUMNS, LOCK_IDENTITY, is_heartbeat
 from sessionscope.session import configure, new_folder
-from sessionscope.sources import flatfile, history, text_index
+from sessionscope.sources import flat_source, flatfile, history, text_index
 from sessionscope.sources.fixtures import fixture
 from sessionscope.streaming import aas
 from sessionscope.streaming import side_tables
@@ -199,6 +199,24 @@ def load_flat(spark, sf_dir):
     )
 
 
+@query
+def flat_source_stream(spark, sf_dir):
+    """Flat files written in two jobs through the data source and followed by a stream of it; then read as a table."""
+    rows = _flat_rows(spark, sf_dir)
+    path, table, checkpoint = (new_folder(spark, label) for label in ("flat", "followed", "offsets"))
+    flat_source.register(spark)
+    for part in (rows.filter(F.col("dtcol") < HALFWAY), rows.filter(F.col("dtcol") >= HALFWAY)):
+        part.write.format("flat_samples").mode("append").save(path)
+        stream = spark.readStream.format("flat_samples").schema(rows.schema).load(path)
+        (
+            stream.writeStream.foreachBatch(lambda batch, number: history.append_samples(batch, table, "flat", number))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        )
+    followed = history.read_history(spark, table).select("dtcol", "pid", "query", "iquery", F.lit("stream").alias("read"))
+    whole = spark.read.format("flat_samples").schema(rows.schema).load(path)
+    return followed.unionByName(whole.select("dtcol", "pid", "query", "iquery", F.lit("table").alias("read")))
+
+
 @query
 def two_flat_folders_one_table(spark, sf_dir):
     """Two folders of flat files, each with a load of its own, into the table a sampler writes too."""
