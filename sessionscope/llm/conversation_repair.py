@@ -367,8 +367,8 @@ def repair_conversations(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     Equal rows are counted before anything moves. Rows are cut by ranges of (conversation, turn,
     role, text), so a hot conversation is many tasks, each of which holds one piece; the pieces
     are put together through their costs and audits, at most 13 audits a piece, and the audit
-    of a conversation is one string in its row. Null ids are one conversation. A role without
-    a letter has no initial and is never kept as it is. Empty tables give empty results.
+    of a conversation is one string in its row. Null ids are one conversation. An empty
+    role has no initial and is never kept as it is. Empty tables give empty results.
     """
     named = rows.select("conv", "turn", "role", "text", F.col("copies").cast("long").alias("copies"))
     counted = named.groupBy("conv", "turn", "role", "text").agg(F.sum("copies").alias("copies"))
