@@ -14,16 +14,16 @@ averaged by tokens.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, stored, text_bytes
+from .common import sliced, stored
 
 VOCABULARY = 8_190
 #: Words whose counts every task holds; the counts of all others come by a join.
@@ -35,8 +35,11 @@ WINDOW = 64
 WARM_UP_TEXTS = 2_000
 WARM_UP_RATE, RATE = 0.05, 0.02
 BATCH_BYTES = 32 << 20
+#: Bytes of text that are split into words at once.
+SPLIT_BYTES = 8 << 20
 BLOCK = 1 << 14
-BLOCK_ROWS = 2_048
+BLOCK_ROWS = 512
+SUM_ROWS = 128
 #: The end of a text; no word is empty.
 END = ""
 
@@ -48,10 +51,12 @@ class Gru:
 
     def __init__(self, vocabulary: int, hidden: int = HIDDEN, seed: int = 1):
         self.other, self.end, self.hidden = vocabulary, vocabulary + 1, hidden
+        self.spaces: dict[str, np.ndarray] = {}
         words = vocabulary + 2
         starts = np.append(np.arange(0, vocabulary, CLASS_WORDS), [vocabulary, vocabulary + 1])
         self.class_start = np.append(starts, words)
-        self.class_of = np.repeat(np.arange(len(starts)), np.diff(self.class_start))
+        kind = np.uint16 if len(starts) < 1 << 16 else np.int64  # numpy sorts 16 bits by counting
+        self.class_of = np.repeat(np.arange(len(starts), dtype=kind), np.diff(self.class_start))
         rng = np.random.default_rng(seed)
         small = lambda *shape: (rng.normal(size=shape) * 0.1).astype(np.float32)
         self.inputs = small(words, 3 * hidden)  # update, reset and candidate parts of each input word
@@ -76,32 +81,54 @@ class Gru:
         totals = np.add.reduceat(counts + 1.0, self.class_start[:-1])
         self.class_bias = np.log(totals).astype(np.float32)
 
-    def run(self, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-        """States after each step of a window (steps x lanes), and with ``keep`` what going back needs."""
-        h = self.hidden
-        states, saved = np.empty((len(inputs), len(state), h), dtype=self.state.dtype), []
-        given, starts = self.inputs[inputs], fresh.min(axis=1) == 0
-        for step in range(len(inputs)):
+    def run(self, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: bool = False) -> tuple[np.ndarray, ...]:
+        """States after each step of a window (steps x lanes), and with ``keep`` what going back needs.
+
+        That is the update gate, reset gate and candidate of each step (three arrays, steps x
+        lanes each) and the candidate's share of the past state. The next window overwrites all.
+        """
+        (steps, lanes), h = inputs.shape, self.hidden
+        kind = self.inputs.dtype
+        states = self._space("states", (steps, lanes, h), state.dtype)
+        given = self._space("given", (3, steps, lanes, h), kind)
+        for part in range(3):  # clip only spares a copy: every number is a row
+            self.inputs.reshape(-1, h).take(inputs * 3 + part, axis=0, out=given[part], mode="clip")
+        weights = self._state_parts()
+        past, some = np.empty((3, lanes, h), dtype=kind), np.empty((lanes, h), dtype=kind)
+        hidden = self._space("hidden", (steps, lanes, h), kind) if keep else None
+        starts = fresh.min(axis=1) == 0
+        for step in range(steps):
             if starts[step]:
                 state = state * fresh[step][:, None]
-            past = state @ self.state
-            gates = given[step, :, : 2 * h]
-            gates += past[:, : 2 * h]
-            gates *= -1
+            np.matmul(state, weights, out=past)
+            gates = given[:2, step]
+            gates += past[:2]
+            np.negative(gates, out=gates)
             np.exp(gates, out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
-            update, reset, hidden = gates[:, :h], gates[:, h:], past[:, 2 * h :]
-            candidate = reset * hidden
-            candidate += given[step, :, 2 * h :]
+            update, reset, candidate = given[:, step]
+            np.multiply(reset, past[2], out=some)
+            candidate += some
             np.tanh(candidate, out=candidate)
             if keep:
-                saved.append((state, update, reset, candidate, hidden))
+                hidden[step] = past[2]
             np.subtract(state, candidate, out=states[step])
             states[step] *= update
             states[step] += candidate
             state = states[step]
-        return states, saved
+        return states, given, hidden
+
+    def _space(self, name: str, shape: tuple[int, ...], kind: type) -> np.ndarray:
+        """An array to be filled, in memory that windows share."""
+        size, held = int(np.prod(shape)), self.spaces.get(name)
+        if held is None or held.size < size or held.dtype != kind:
+            held = self.spaces[name] = np.empty(size, dtype=kind)
+        return held[:size].reshape(shape)
+
+    def _state_parts(self) -> np.ndarray:
+        """The weights of the past state for the update gate, the reset gate and the candidate."""
+        return np.ascontiguousarray(self.state.reshape(self.hidden, 3, self.hidden).transpose(1, 0, 2))
 
     def _plain(self) -> bool:
         """Whether no score can leave the range of exp: states lie between -1 and 1."""
@@ -113,86 +140,88 @@ class Gru:
 
     def log_probability(self, states: np.ndarray, targets: np.ndarray, gradients: dict | None = None):
         """Natural log probability of each target; with ``gradients``, also the gradient of the states."""
-        classes, plain, share = self.class_of[targets], self._plain(), gradients is not None
-        rows = np.arange(len(targets))
-        result = np.empty(len(targets), dtype=states.dtype)
-        back = np.empty_like(states) if share else None
-        for low in range(0, len(targets), BLOCK_ROWS):  # in pieces that stay in the processor's cache
-            part = slice(low, low + BLOCK_ROWS)
-            mine, place = states[part], classes[part]
-            scores = mine @ self.class_out
-            scores += self.class_bias
-            result[part] = _softmax(scores, rows[: len(place)], place, plain, share)
-            if share:
-                scores[rows[: len(place)], place] -= 1
-                gradients["class_out"] += mine.T @ scores
-                gradients["class_bias"] += scores.sum(axis=0)
-                back[part] = scores @ self.class_out.T
+        h, plain, share = self.hidden, self._plain(), gradients is not None
+        classes = self.class_of[targets]
         order = np.argsort(classes, kind="stable")
-        sorted_states, place = states[order], (targets - self.class_start[classes])[order]
         cuts = np.searchsorted(classes[order], np.arange(len(self.class_start))).tolist()
         starts = self.class_start.tolist()
-        found, into = np.zeros(len(order), dtype=states.dtype), np.zeros_like(sorted_states) if share else None
+        class_out, word_out = _beside(self.class_out.T, self.class_bias), _beside(self.word_out, self.word_bias)
+        class_one, word_one = (_beside(self.class_out.T, 1), _beside(self.word_out, 1)) if share else (None, None)
+        of_class = np.zeros_like(class_out)
+        result = np.empty(len(order), dtype=states.dtype)
+        back = self._space("back", states.shape, states.dtype) if share else None
         for number, (low, high) in enumerate(zip(starts, starts[1:])):
-            first, last = cuts[number], cuts[number + 1]
-            if first == last or high - low == 1:
-                continue
-            mine = sorted_states[first:last]
-            scores = mine @ self.word_out[low:high].T
-            scores += self.word_bias[low:high]
-            found[first:last] = _softmax(scores, rows[: last - first], place[first:last], plain, share)
+            of_word = np.zeros((high - low, h + 1), dtype=word_out.dtype)
+            for first in range(cuts[number], cuts[number + 1], BLOCK_ROWS):  # pieces that stay in the processor's cache
+                rows = order[first : min(first + BLOCK_ROWS, cuts[number + 1])]
+                mine = np.ones((h + 1, len(rows)), dtype=states.dtype)
+                mine[:h] = states.take(rows, axis=0).T
+                found, gradient, slope = _softmax(mine, class_out, class_one, number, plain)
+                if share:
+                    of_class += gradient
+                if high - low > 1:
+                    part = slice(low, high)
+                    inside, gradient, more = _softmax(
+                        mine, word_out[part], word_one[part] if share else None, targets.take(rows) - low, plain
+                    )
+                    found += inside
+                    if share:
+                        of_word += gradient
+                        slope += more
+                result[rows] = found
+                if share:
+                    back[rows] = slope.T
             if share:
-                scores[rows[: last - first], place[first:last]] -= 1
-                gradients["word_out"][low:high] += scores.T @ mine
-                gradients["word_bias"][low:high] += scores.sum(axis=0)
-                into[first:last] = scores @ self.word_out[low:high]
-        result[order] += found
+                gradients["word_out"][low:high], gradients["word_bias"][low:high] = of_word[:, :h], of_word[:, h]
         if share:
-            back[order] += into
+            gradients["class_out"][:], gradients["class_bias"][:] = of_class[:, :h].T, of_class[:, h]
         return result, back
 
     def learn(self, inputs, targets, fresh, state, rate: float, squares: dict) -> np.ndarray:
         """One window of truncated backpropagation (Adagrad); returns the state to carry on."""
         h, real = self.hidden, targets >= 0
-        states, saved = self.run(inputs, fresh, state, keep=True)
+        states, slopes, hidden = self.run(inputs, fresh, state, keep=True)  # gradients take the gates' place
         gradients = {name: np.zeros_like(getattr(self, name)) for name in self.NAMES[1:]}
-        _, back = self.log_probability(states[real], targets[real], gradients)
-        outer = np.zeros_like(states)
-        outer[real] = back
+        rows = np.flatnonzero(real)
+        _, back = self.log_probability(states.reshape(-1, h)[rows], targets.ravel()[rows], gradients)
+        outer = back.reshape(states.shape) if len(rows) == real.size else np.zeros_like(states)
+        if len(rows) < real.size:
+            outer.reshape(-1, h)[rows] = back
+        weights = self._state_parts().transpose(0, 2, 1)
+        of_state = np.zeros((3, h, h), dtype=self.state.dtype)
         later = np.zeros_like(state, dtype=states.dtype)
-        given = np.empty((len(inputs), len(state), 3 * h), dtype=states.dtype)
-        into, some = np.empty((len(state), 3 * h), dtype=states.dtype), np.empty((len(state), h), dtype=states.dtype)
+        some, other = np.empty_like(later), np.empty_like(later)
         starts = fresh.min(axis=1) == 0
         for step in range(len(inputs) - 1, -1, -1):
-            before, update, reset, candidate, past = saved[step]
-            mine, slope = given[step], outer[step]
+            update, reset, candidate = slopes[:, step]
+            slope, past = outer[step], hidden[step]
+            before = states[step - 1] if step else state
+            if starts[step]:
+                before = before * fresh[step][:, None]
             slope += later
-            to_update, to_reset, to_candidate = mine[:, :h], mine[:, h : 2 * h], mine[:, 2 * h :]
             np.multiply(slope, update, out=later)
-            np.subtract(slope, later, out=to_candidate)  # slope (1 - update)
-            np.subtract(before, candidate, out=to_update)
-            to_update *= update
-            to_update *= to_candidate
-            np.multiply(candidate, candidate, out=some)
-            np.subtract(1, some, out=some)
-            to_candidate *= some
-            np.multiply(reset, reset, out=some)
-            np.subtract(reset, some, out=to_reset)  # reset (1 - reset)
-            to_reset *= past
-            to_reset *= to_candidate
-            into[:, : 2 * h] = mine[:, : 2 * h]
-            np.multiply(to_candidate, reset, out=into[:, 2 * h :])
-            gradients["state"] += before.T @ into
-            later += into @ self.state.T
+            np.subtract(slope, later, out=some)  # slope (1 - update)
+            np.subtract(before, candidate, out=other)
+            update *= other
+            update *= some
+            np.multiply(candidate, candidate, out=other)
+            np.subtract(1, other, out=candidate)
+            candidate *= some
+            np.subtract(1, reset, out=other)
+            other *= past
+            np.multiply(candidate, reset, out=past)  # what the past state's share of the candidate gets
+            np.multiply(past, other, out=reset)
+            for part, slope in enumerate((update, reset, past)):
+                of_state[part] += before.T @ slope
+                np.matmul(slope, weights[part], out=some)
+                later += some
             if starts[step]:
                 later *= fresh[step][:, None]
+        gradients["state"][:] = np.hstack(of_state)
         scale = 1.0 / max(1, int(real.sum())) ** 0.5
         # only the rows of input words that the window has
-        words = inputs[real]
-        order = np.argsort(words, kind="stable")
-        firsts = np.flatnonzero(np.diff(words[order], prepend=-1))
-        rows = words[order][firsts]
-        gradient = np.add.reduceat(given[real][order], firsts, axis=0)
+        rows, sums = _sums(slopes.reshape(3, -1, h), inputs.ravel())
+        gradient = sums.transpose(1, 0, 2).reshape(len(rows), 3 * h)
         gradient *= scale
         known = squares["inputs"][rows] + gradient * gradient
         squares["inputs"][rows] = known
@@ -219,7 +248,7 @@ class Gru:
         """Natural log probability of each whole text, its end included."""
         total = np.zeros(len(texts))
         for inputs, targets, fresh, state, owner in self._windows(texts, lanes, window):
-            states, _ = self.run(inputs, fresh, state)
+            states, _, _ = self.run(inputs, fresh, state)
             state[:] = states[-1]
             real = targets >= 0
             found, _ = self.log_probability(states[real], targets[real])
@@ -264,16 +293,57 @@ class Gru:
             )
 
 
-def _softmax(scores: np.ndarray, rows: np.ndarray, chosen: np.ndarray, plain: bool, share: bool) -> np.ndarray:
-    """The log probability of each row's chosen entry; with ``share``, scores become probabilities."""
+def _beside(values: np.ndarray, last: np.ndarray | float) -> np.ndarray:
+    """``values`` with one column more."""
+    out = np.empty((len(values), values.shape[1] + 1), dtype=values.dtype)
+    out[:, :-1], out[:, -1] = values, last
+    return out
+
+
+def _softmax(mine: np.ndarray, out: np.ndarray, one: np.ndarray | None, chosen, plain: bool) -> tuple:
+    """The log probability of each column's chosen entry (a number for all columns, or one for each).
+
+    ``mine`` has a column for each target and ends with a row of ones, ``out`` ends with the
+    biases. With ``one``, which is ``out`` with ones as its last column, also the gradients of
+    ``out`` and of the columns: a column's total comes with the product and divides the
+    narrow sides, so probabilities are never written.
+    """
+    scores = out @ mine
     if not plain:
-        scores -= scores.max(axis=1, keepdims=True)
-    picked = scores[rows, chosen]
+        scores -= scores.max(axis=0)
+    if isinstance(chosen, int):
+        entries, at = scores[chosen], slice(None)
+    else:
+        entries, at = scores.reshape(-1), chosen * scores.shape[1] + np.arange(scores.shape[1])
+    picked = entries[at].copy()
     np.exp(scores, out=scores)
-    total = scores @ np.ones(scores.shape[1], dtype=scores.dtype)
-    if share:
-        scores /= total[:, None]
-    return picked - np.log(total)
+    if one is None:
+        return picked - np.log(np.ones(len(out), dtype=scores.dtype) @ scores), None, None
+    ahead = one.T @ scores
+    total = ahead[-1]
+    slope = ahead[:-1] / total
+    slope -= one[chosen, :-1, None] if isinstance(chosen, int) else one.take(chosen, axis=0).T[:-1]
+    entries[at] -= total
+    return picked - np.log(total), scores @ (mine / total).T, slope
+
+
+def _sums(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, and the sum of each one's rows in every part of ``values`` (parts x rows x columns).
+
+    Rows are sorted by key; those of a block are added up by a product with ones where a
+    row has a key. A block has few keys, or the keys have few rows.
+    """
+    rows = np.argsort(keys.astype(np.uint16) if keys.max() < 1 << 16 else keys, kind="stable")
+    keys = keys[rows]
+    new = np.diff(keys, prepend=-1) != 0
+    number = np.cumsum(new) - 1
+    out = np.zeros((len(values), int(number[-1]) + 1, values.shape[2]), dtype=values.dtype)
+    for low in range(0, len(rows), SUM_ROWS):
+        part = number[low : low + SUM_ROWS]
+        first, last = int(part[0]), int(part[-1]) + 1
+        ones = (part == np.arange(first, last)[:, None]).astype(values.dtype)
+        out[:, first:last] += ones @ values.take(rows[low : low + SUM_ROWS], axis=1)
+    return keys[new], out
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -281,26 +351,29 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in a row, as ``tokens`` has them, and the number of words of each text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    real = pc.greater(pc.binary_length(words), 0)  # white space at an end leaves an empty string there
+    owner = np.repeat(np.arange(len(texts)), sizes)[real.to_numpy(zero_copy_only=False)]
+    return words.filter(real), np.bincount(owner, minlength=len(texts))
+
+
 def count_words(rows: DataFrame) -> DataFrame:
     """``word, n`` over all texts of ``rows``, the end of each text counted as ``END``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: Counter = Counter()
-            for text in text_bytes(batch.column(0)):
-                counts.update(tokens(text))
-                if len(counts) > 400_000:
-                    yield _counted(counts)
-                    counts = Counter()
-            counts[END.encode()] += batch.num_rows
-            yield _counted(counts)
+        for batch in sliced(batches, "text", BATCH_BYTES):
+            words, _ = split_words(batch.column(0))
+            yield _counted(*pc.value_counts(words).flatten())
+            yield _counted(pa.array([END]), pa.array([batch.num_rows]))
 
     return rows.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _counted(counts: Counter) -> pa.RecordBatch:
-    words = pa.array(list(counts), type=pa.binary()).cast(pa.string())
-    return pa.RecordBatch.from_arrays([words, pa.array(list(counts.values()), type=pa.int64())], ["word", "n"])
+def _counted(words: pa.Array, counts: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([words.cast(pa.string()), counts.cast(pa.int64())], ["word", "n"])
 
 
 def frequent_words(counts: DataFrame, most: int) -> list:
@@ -323,22 +396,16 @@ def frequent_words(counts: DataFrame, most: int) -> list:
     return sorted(words.filter(size >= least).collect(), key=lambda row: (-row.n, row.word))
 
 
-class Ranks(dict):
-    """Ranks of words, -1 for any other."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 class Words:
     """The frequent words by rank; the first ``vocabulary`` ranks are the model's words."""
 
     def __init__(self, words: list[str], vocabulary: int):
-        self.rank = Ranks((word.encode(), rank) for rank, word in enumerate(words))
+        self.words = pa.array(words, type=pa.string())
         self.vocabulary = vocabulary
 
-    def ranks(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.rank.__getitem__, words), dtype=np.int32, count=len(words))
+    def ranks(self, words: pa.Array) -> np.ndarray:
+        """Ranks of words, -1 for any other."""
+        return pc.fill_null(pc.index_in(words, self.words.cast(words.type)), -1).to_numpy()
 
     def ids(self, ranks: np.ndarray) -> np.ndarray:
         """Model ids: words that the model does not know are "another word"."""
@@ -356,7 +423,10 @@ def train_parts(rows: DataFrame, words, vocabulary: int, weights, rate: float) -
         model.set_weights(weights.value)
         squares = model.squares()
         for batch in sliced(batches, "text", BATCH_BYTES):
-            texts = [known.ids(known.ranks(tokens(text))) for text in text_bytes(batch.column(0))]
+            texts = []
+            for part in sliced([batch], "text", SPLIT_BYTES):
+                parts, sizes = split_words(part.column(0))
+                texts += np.split(known.ids(known.ranks(parts)), np.cumsum(sizes)[:-1])
             model.train(texts, rate, squares)
             seen += sum(len(text) + 1 for text in texts)
         if seen:
@@ -463,28 +533,27 @@ def score_documents(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, gru = Words(words.value, vocabulary), Gru(vocabulary)
         gru.set_weights(weights.value)
-        logs, number = log_counts.value, TaskContext.get().partitionId() << 40
+        logs = np.append(log_counts.value, 0.0)  # the last one for words without a rank
+        number = TaskContext.get().partitionId() << 40
         for batch in sliced(batches, "text", BATCH_BYTES):
             n = batch.num_rows
-            ids, sums, counted, rare, times = [], np.zeros((n, 2)), np.zeros((n, 3), dtype=np.int64), [], []
-            for row, text in enumerate(text_bytes(batch.column(1))):
-                parts = tokens(text)
-                ranks = known.ranks(parts)
-                ids.append(known.ids(ranks))
-                found = ranks[ranks >= 0]
-                sums[row] = logs[found].sum(), logs[found[found >= vocabulary]].sum()
-                counted[row] = len(parts) + 1, len(found), len(parts) - np.count_nonzero(found < vocabulary)
-                missing = Counter(parts[at] for at in np.flatnonzero(ranks < 0).tolist())
-                rare.append(list(missing))
-                times.append(list(missing.values()))
-            scores = gru.score(ids)
+            texts, columns = [], []
+            for part in sliced([batch], "text", SPLIT_BYTES):
+                parts, sizes = split_words(part.column(1))
+                ranks, owner = known.ranks(parts), np.repeat(np.arange(len(sizes)), sizes)
+                logs_here = logs[ranks]
+                of_text = lambda values: np.bincount(owner, values, len(sizes))  # noqa: B023, E731
+                texts += np.split(known.ids(ranks), np.cumsum(sizes)[:-1])
+                columns.append([
+                    pa.array(sizes + 1), pa.array(of_text(ranks >= 0).astype(np.int64)),
+                    pa.array(sizes - of_text((ranks >= 0) & (ranks < vocabulary)).astype(np.int64)),
+                    pa.array(of_text(logs_here)), pa.array(of_text(np.where(ranks >= vocabulary, logs_here, 0.0))),
+                    *_rare(parts.filter(pa.array(ranks < 0)), owner[ranks < 0], len(sizes)),
+                ])
+            *counted, rare, times = [pa.concat_arrays(arrays) for arrays in zip(*columns)]
+            scores = pa.array(gru.score(texts) / np.log(10.0))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(number + np.arange(n)), batch.column(0), *[pa.array(counted[:, at].copy()) for at in range(3)],
-                    *[pa.array(sums[:, at].copy()) for at in range(2)], pa.array(scores / np.log(10.0)),
-                    pa.array(rare, type=pa.list_(pa.binary())).cast(pa.list_(pa.string())),
-                    pa.array(times, type=pa.list_(pa.int64())),
-                ],
+                [pa.array(number + np.arange(n)), batch.column(0), *counted, scores, rare, times],
                 SCORED_NAMES,
             )
             number += n
@@ -511,6 +580,16 @@ def score_documents(
     )
 
 
+def _rare(words: pa.Array, owner: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
+    """The different words of each of ``n`` texts, and how often each stands there (``owner``: the text of a word)."""
+    coded = words.dictionary_encode()
+    size = max(1, len(coded.dictionary))
+    pairs, times = np.unique(owner * size + coded.indices.to_numpy(), return_counts=True)
+    offsets = pa.array(np.searchsorted(pairs, np.arange(n + 1) * size).astype(np.int32))
+    found = coded.dictionary.take(pa.array(pairs % size)).cast(pa.string())
+    return pa.ListArray.from_arrays(offsets, found), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64)))
+
+
 SCORED = (
     "row long, id {}, n_tokens long, n_found long, n_other long, all_logs double, other_logs double, model double, "
     "rare array<string>, times array<long>"

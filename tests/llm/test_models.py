@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,3 +257,35 @@ def test_model_beats_counts_on_held_out_texts(spark):
     rows = QUERIES["op8_language_model"](spark, SF_DIR.replace("0.001", "0.01")).filter("held_out")
     sums = rows.agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
     assert sums.score > 0.97 * sums.base
+
+
+def test_windows_share_memory():
+    """A window's large arrays are those of the window before; new ones cost page faults each time."""
+    rng = np.random.default_rng(3)
+    model, texts = Gru(40, hidden=4), [rng.integers(0, 41, size=90) for _ in range(4)]
+    first, second = [
+        model.run(inputs, fresh, state, keep=True) for inputs, _, fresh, state, _ in model._windows(texts, 4, 40)
+    ][:2]
+    assert all(np.shares_memory(one, other) for one, other in zip(first, second))
+
+
+def test_sums_of_rows():
+    rng = np.random.default_rng(4)
+    for rows in (1, 130, 2_000):
+        values, keys = rng.normal(size=(3, rows, 5)), (rng.pareto(1.0, size=rows) * 3).astype(np.int64) % 70_000
+        found, sums = gru_lm._sums(values, keys)
+        expected = np.zeros((3, 70_000, 5))
+        for part in range(3):
+            np.add.at(expected[part], keys, values[part])
+        assert found.tolist() == sorted(set(keys.tolist())) and np.allclose(sums, expected[:, found])
+
+
+def test_words_are_split_as_bytes_are():
+    draw = random.Random(9)
+    letters = [*map(chr, range(256)), "\u0130", "\u2003", "\u3000", "\u0085", *" \n\t\x0b\x1cAZaz" * 8]
+    texts = ["".join(draw.choices(letters, k=draw.randint(0, 30))) for _ in range(3_000)] + ["", None, " ", "\n a", "A "]
+    words, sizes = gru_lm.split_words(pa.array(texts))
+    expected = [tokens((text or "").encode()) for text in texts]
+    assert [word.encode() for word in words.to_pylist()] == [word for some in expected for word in some]
+    assert sizes.tolist() == list(map(len, expected))
+    assert [len(some) for some in gru_lm.split_words(pa.array([], type=pa.string()))] == [0, 0]
