@@ -21,12 +21,13 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import new_folder
-from .bpe import BATCH_BYTES, MOST_PIECES, PieceEncoder, Pool
+from .bpe import BATCH_BYTES, PieceEncoder, Pool
 from .common import sliced
 
 BLOCK_IDS = 1 << 20
@@ -34,6 +35,9 @@ PART_BYTES = 32 << 20
 SELECT_STEP = 256
 #: New pieces that the library encodes as one text.
 JOINED_PIECES = 500
+#: Pieces of text whose ids a task remembers, and pieces whose ids are read at once.
+MOST_PIECES = 400_000
+READ_PIECES = 1 << 18
 
 FILES = (
     "part int, block int, width int, n_docs long, n_ids long, low_bits int, doc_ids array<long>, "
@@ -139,35 +143,83 @@ class PieceTokenizer(PieceEncoder):
         for token, number in self.tokenizer.get_vocab().items():
             self.sizes[number] = len(token)  # a byte-level token has one character for each byte
 
+    def encode(self, texts: pa.Array | list) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and the number of ids of each; null is empty.
+
+        Arrow cuts the texts at spaces and tells the different pieces, so that only these are
+        looked up one by one.
+        """
+        self.trim()
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, type=pa.string()), "")
+        counts = np.zeros(len(texts), dtype=np.int64)
+        if not len(texts):
+            return np.empty(0, dtype=np.int32), counts
+        lists = pc.split_pattern(texts, " ")
+        starts = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64)))
+        words = lists.flatten()
+        firsts = self._numbers([(word,) for word in words.take(pa.array(starts[:-1])).to_pylist()])
+        coded = words.dictionary_encode()
+        numbers = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        numbers[starts[:-1]] = firsts
+        self._learn()
+        uneven = np.flatnonzero(np.logical_or.reduceat(self.uneven[numbers], starts[:-1])).tolist()
+        again = {row: self._numbers([(piece,) for piece in self.EVEN_CUT.split(texts[row].as_py())]) for row in uneven}
+        self._learn()
+        ids, row = [np.empty(0, dtype=np.int32)], 0
+        while row < len(texts):  # some texts at once
+            last = max(row + 1, int(np.searchsorted(starts, starts[row] + READ_PIECES, side="right")) - 1)
+            parts = [again.get(at, numbers[starts[at] : starts[at + 1]]) for at in range(row, last)]
+            found, sizes = self.pool.read(np.concatenate(parts))
+            ids.append(found)
+            ends = np.cumsum([len(part) for part in parts])
+            counts[row:last] = np.diff(np.concatenate(([0], np.cumsum(sizes)))[ends], prepend=0)
+            row = last
+        return np.concatenate(ids), counts
+
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(encoding.ids, dtype=np.int32) for encoding in found]
 
-    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self) -> None:
         """Words after a space are encoded many at a time and told apart by their bytes."""
-        plain = np.array([
-            len(piece) > 1 and piece[0] == " " and not piece[1].isspace() and not piece[-1].isspace() for piece in pieces
-        ])
-        counts = np.zeros(len(pieces), dtype=np.int64)
-        ids = [np.empty(0, dtype=np.int32)] * len(pieces)
-        rows = np.flatnonzero(plain)
-        groups = [rows[low : low + JOINED_PIECES].tolist() for low in range(0, len(rows), JOINED_PIECES)]
-        for group, found in zip(groups, self._ids(["".join([pieces[row] for row in group]) for group in groups])):
-            ends = np.cumsum([len(pieces[row].encode()) for row in group])
-            cuts = np.searchsorted(np.cumsum(self.sizes[found]), ends) + 1
-            counts[group] = np.diff(cuts, prepend=0)
-            ids[group[0]] = found  # the group's ids in a row, split by the counts
-        others = np.flatnonzero(~plain).tolist()
-        for row, found in zip(others, self._ids([pieces[row] for row in others])):
-            counts[row], ids[row] = len(found), found
-        order = np.concatenate((rows, others)).astype(np.int64)
-        flat = np.concatenate([ids[row] for row in order.tolist()]) if len(order) else np.empty(0, dtype=np.int32)
-        # from the order encoded back to the order asked for
-        pool = Pool()
-        pool.append(flat, counts[order])
+        new, self.pieces.new = self.pieces.new, []
+        if not new:
+            return
+        after = np.array([type(piece) is str for piece in new])  # a space
+        inner = [piece if type(piece) is str else piece[0] for piece in new]
+        bare, lengths = _bare(inner)
+        self.uneven = np.concatenate((self.uneven, bare))
+        rows, others = np.flatnonzero(after & ~bare), np.flatnonzero(~after | bare)
+        words = [" " + inner[row] for row in rows.tolist()]
+        joined = self._ids(["".join(words[low : low + JOINED_PIECES]) for low in range(0, len(words), JOINED_PIECES)])
+        flat = np.concatenate([np.empty(0, dtype=np.int32), *joined])
+        ends = np.cumsum(lengths[rows] + 1)
+        cuts = np.searchsorted(np.cumsum(self.sizes[flat]), ends) + 1  # a word ends with the id that reaches its last byte
+        alone = self._ids([" " + inner[row] if after[row] else inner[row] for row in others.tolist()])
+        sizes = np.concatenate((np.diff(cuts, prepend=0), np.array([len(found) for found in alone], dtype=np.int64)))
+        order = np.concatenate((rows, others))
+        pool = Pool()  # from the order encoded back to the order asked for
+        pool.append(np.concatenate([flat, *alone]), sizes)
         back = np.empty(len(order), dtype=np.int64)
         back[order] = np.arange(len(order))
-        return pool.read(back)
+        self.pool.append(*pool.read(back))
+
+
+def _bare(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Which texts are empty or have white space at an end, and the bytes of each."""
+    array = pa.array(texts, type=pa.large_string())
+    _, offsets, data = array.buffers()
+    offsets = np.frombuffer(offsets, dtype=np.int64)[: len(texts) + 1]
+    lengths = np.diff(offsets)
+    data = np.append(np.frombuffer(data or b"", dtype=np.uint8), 0)
+    plain = lengths > 0
+    for end in (data[offsets[:-1]], data[np.maximum(offsets[1:] - 1, 0)]):
+        plain &= (end > 32) & (end < 127)  # visible ASCII; the others are looked at one by one
+    bare = np.zeros(len(texts), dtype=bool)
+    for row in np.flatnonzero(~plain).tolist():
+        text = texts[row]
+        bare[row] = not text or text[0].isspace() or text[-1].isspace()
+    return bare, lengths
 
 
 def write_token_files(
@@ -198,7 +250,7 @@ def write_token_files(
         names: list[int | None] = []
         size = 0
         for batch in sliced(batches, "text", BATCH_BYTES):
-            ids, counts = encoder.encode([text or "" for text in batch.column(1).to_pylist()])
+            ids, counts = encoder.encode(batch.column(1))
             encoded = np.split(ids, np.cumsum(counts)[:-1])
             for name, ids in zip(batch.column(0).to_pylist(), encoded):
                 held.append(np.append(ids, end_id).astype(f"<u{width}"))

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -97,5 +98,23 @@ def test_spelled_special_token(spark):
     assert 50256 in np.frombuffer(next(bytes(row.ids) for row in found if row.doc_id == 1), dtype="<u4")
 
 
+def test_pieces_are_looked_up_once_a_batch(monkeypatch):
+    """Words that repeat, in one text or several, are told apart before any is looked up."""
+    tokenizer = token_files.PieceTokenizer(open(PATH, encoding="utf-8").read(), most_pieces=50)
+    asked, numbers = [], tokenizer._numbers
+    monkeypatch.setattr(tokenizer, "_numbers", lambda pieces: asked.append(len(pieces)) or numbers(pieces))
+    draw = random.Random(3)
+    library = Tokenizer.from_file(PATH)
+    words = ["one", "two,", "drei", "caf\u00e9", "\u4f60\u597d", "x" * 40, "a\u0301", "\U0001f600", *map(str, range(60))]
+    for _ in range(4):
+        texts = [" ".join(draw.choices(words, k=draw.randint(1, 400))) for _ in range(30)]
+        texts += ["", None, " ", "  two  spaces ", "a\tb \nc", "\u00a0one two\u2003 three", "<|endoftext|> one <|endoftext|>"]
+        ids, counts = tokenizer.encode(pa.array(texts))
+        expected = [library.encode(text or "", add_special_tokens=False).ids for text in texts]
+        assert counts.tolist() == list(map(len, expected))
+        assert ids.tolist() == [number for some in expected for number in some]
+    assert sum(asked) < 1_000  # 24,000 words
+
+
 def test_empty(spark, nothing):
     assert read_token_files(spark, write_token_files(nothing, PATH, end_id=2)).collect() == []
