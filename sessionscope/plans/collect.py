@@ -15,6 +15,7 @@ from sessionscope.operators.enrich import (
 from sessionscope.operators.filters import active_sessions, not_idle, pid_filter
 from sessionscope.operators.locks import final_blockers
 from sessionscope.schema import keys_of
+from sessionscope.session import cut_lineage
 
 PROBE_COLUMNS = ("pourcentage_cpu", "mem", "swapped")
 
@@ -79,7 +80,8 @@ def collect(
     is the sampler. ``text_search`` stores the words of each query, ``"stems"`` their English
     stems. ``normalize`` and ``application_fields`` can be turned off. ``earlier``
     (dtcol, pid, mem, swapped) are stored values that memory goes on from. ``folder`` is that
-    of :func:`final_blockers`. Without ``carry`` the probed memory is stored as it is.
+    of :func:`final_blockers`; where it is given, the memory is worked out and written there first.
+    Without ``carry`` the probed memory is stored as it is.
     """
     choose = not_idle if pids is None else lambda rows: pid_filter(rows, pids)
     chosen = choose(active_sessions(samples, own_pid))
@@ -104,10 +106,10 @@ def collect(
         blockers = samples.sparkSession.createDataFrame([], f"{blocked_type}, final_blockers array<bigint>")
     else:
         blockers = final_blockers(locks, depth, choose(samples.filter("pid is not null")), folder)
+    memory = carry_memory(probes, interval_seconds, fresh) if carry else probes
+    if folder is not None:
+        # a plan of its own: the driver holds one plan at a time, with all its copies while it is optimized
+        memory = cut_lineage(memory, folder, "memory")
     return enrich_samples(
-        sessions,
-        samples.filter("pid is null and datid is null"),
-        blockers,
-        cpu_probes,
-        carry_memory(probes, interval_seconds, fresh) if carry else probes,
+        sessions, samples.filter("pid is null and datid is null"), blockers, cpu_probes, memory
     )

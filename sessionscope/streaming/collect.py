@@ -13,6 +13,7 @@ from sessionscope.operators.enrich import carry_memory, memory_horizon
 from sessionscope.operators.filters import active_sessions, host_rows, not_idle, pid_filter
 from sessionscope.plans.collect import collect
 from sessionscope.schema import keys_of
+from sessionscope.session import release
 from sessionscope.sources.history import (
     delete_folder,
     append_samples,
@@ -135,6 +136,7 @@ def stream_collect(
 
     def write(batch: DataFrame, number: int) -> None:
         write_batch(batch, table, own, number, interval_seconds, locks, depth, **options)
+        release(batch.sparkSession)
 
     (
         samples.writeStream.foreachBatch(write)

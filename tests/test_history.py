@@ -14,6 +14,7 @@ from sessionscope.sources import flatfile
 from sessionscope.sources import history as H
 from sessionscope.sources import text_index
 from sessionscope.streaming import aas
+from sessionscope.streaming import collect as collecting
 from sessionscope.streaming.collect import stream_collect, write_batch
 
 START = dt.datetime(2024, 1, 1)
@@ -367,3 +368,25 @@ def test_a_repeated_late_batch_changes_nothing(spark, tmp_path):
             assert rows == before
         before = rows
     assert H.read_history(spark, table).filter("pid is null").count() == 40
+
+
+def planned(monkeypatch, name, place):
+    """The plan of the rows that a batch hands to a function."""
+    plans, original = [], getattr(collecting, name)
+
+    def watched(*arguments):
+        plans.append(arguments[place]._jdf.queryExecution().optimizedPlan().toString())
+        return original(*arguments)
+
+    monkeypatch.setattr(collecting, name, watched)
+    return plans
+
+
+def test_memory_is_not_part_of_a_batch_plan(spark, tmp_path, monkeypatch):
+    """The driver plans the carried memory apart from the rows, and lets go of a batch when it is stored."""
+    frame, raw, table = spark.createDataFrame(raw_samples(), RAW), str(tmp_path / "raw"), str(tmp_path / "table")
+    plans, released = planned(monkeypatch, "append_samples", 0), []
+    monkeypatch.setattr(collecting, "release", released.append)
+    frame.write.parquet(raw)
+    stream_collect(spark.readStream.schema(frame.schema).parquet(raw), table, str(tmp_path / "offsets"), 10)
+    assert len(plans) == len(released) == 1 and "Window" not in plans[0]
