@@ -13,7 +13,7 @@ from sessionscope.operators.enrich import carry_memory, memory_horizon
 from sessionscope.operators.filters import active_sessions, host_rows, not_idle, pid_filter
 from sessionscope.plans.collect import collect
 from sessionscope.schema import keys_of
-from sessionscope.session import release
+from sessionscope.session import cut_lineage, release
 from sessionscope.sources.history import (
     delete_folder,
     append_samples,
@@ -99,6 +99,8 @@ def write_batch(
         append_samples(rows, table, writer, number)
         delete_folder(spark, folder)
         return
+    # they are read several times below, and collecting is a large plan
+    rows = cut_lineage(rows, folder, "collected")
     # the sessions that were collected: late ones from the batch, the others from the table
     sessions = rows.filter("pid is not null").select(*keys, F.col("probe_mem").alias("mem"), F.col("probe_swapped").alias("swapped"))
     memory = carry_memory(sessions.unionByName(earlier), interval_seconds)

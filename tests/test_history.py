@@ -390,3 +390,13 @@ def test_memory_is_not_part_of_a_batch_plan(spark, tmp_path, monkeypatch):
     frame.write.parquet(raw)
     stream_collect(spark.readStream.schema(frame.schema).parquet(raw), table, str(tmp_path / "offsets"), 10)
     assert len(plans) == len(released) == 1 and "Window" not in plans[0]
+
+
+def test_late_batch_plan_reads_what_was_collected(spark, tmp_path, monkeypatch):
+    """Collecting is planned once, not with every use of its rows."""
+    frame, table = spark.createDataFrame(raw_samples(), RAW), str(tmp_path / "table")
+    middle = sorted(row.dtcol for row in frame.select("dtcol").distinct().collect())[5]
+    plans = planned(monkeypatch, "replace_rows", 2)
+    write_batch(frame.filter(F.col("dtcol") >= middle), table, "w", 0, 10)
+    write_batch(frame.filter(F.col("dtcol") < middle), table, "w", 1, 10)
+    assert len(plans) == 1 and "regexp_replace" not in plans[0]
